@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+from . import chat, secrets, vafile
 from .bpe import op1_bpe_chunks
+from .chat import op6_chats
+from .html import op2_html_density
+from .mixing import op7_mixing
+from .secrets import op9_secrets
+from .simhash import op10_simhash
 from .sstable import op5_sstable
+from .vafile import op8_vafile
+from .winnow import op4_winnowing
 
 QUERIES = {
     "op1_bpe_chunks": op1_bpe_chunks,
+    "op2_html_density": op2_html_density,
+    "op4_winnowing": op4_winnowing,
     "op5_sstable": op5_sstable,
+    "op6_chats": op6_chats,
+    "op7_mixing": op7_mixing,
+    "op8_vafile": op8_vafile,
+    "op9_secrets": op9_secrets,
+    "op10_simhash": op10_simhash,
 }
 
-SQL: dict[str, str] = {}
+SQL = {"op6_chats": chat.SQL, "op8_vafile": vafile.SQL, "op9_secrets": secrets.SQL}
