@@ -7,6 +7,7 @@ from .bpe import op1_bpe_chunks
 from .chat import op6_chats
 from .html import op2_html_density
 from .mixing import op7_mixing
+from .quality import op3_quality
 from .secrets import op9_secrets
 from .simhash import op10_simhash
 from .sstable import op5_sstable
@@ -16,6 +17,7 @@ from .winnow import op4_winnowing
 QUERIES = {
     "op1_bpe_chunks": op1_bpe_chunks,
     "op2_html_density": op2_html_density,
+    "op3_quality": op3_quality,
     "op4_winnowing": op4_winnowing,
     "op5_sstable": op5_sstable,
     "op6_chats": op6_chats,
