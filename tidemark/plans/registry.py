@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from . import bars, joins, scans, stats  # noqa: F401
+from .tables import Q as QUERIES
+from .tables import SQL
+
+__all__ = ["QUERIES", "SQL"]
