@@ -19,13 +19,17 @@ def _array(values: list[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
 
 
+def with_size(df: DataFrame, key: str) -> DataFrame:
+    """df with n_rows, the rows of its series. Steps that need it carry it along, so a chain of them reads its source once."""
+    return df.join(df.groupBy(key).agg((F.max("row_ix") + 1).alias("n_rows")), key)
+
+
 def _behind(df: DataFrame, key: str, value: str, reach: int, circular: bool, block: int) -> DataFrame:
     """df with `_x`: the value and those of up to `reach` rows before it, oldest first."""
     block = max(block, reach + 1)
     rows = df.withColumn("_ix", F.col("row_ix"))
     if circular:
-        n = df.groupBy(key).agg((F.max("row_ix") + 1).alias("_rows"))
-        rows = rows.join(n, key).withColumn("_turn", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("row_ix") + reach) / F.col("_rows")).cast("long"))))
+        rows = (rows if "n_rows" in df.columns else with_size(rows, key)).withColumn("_rows", F.col("n_rows")).withColumn("_turn", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("row_ix") + reach) / F.col("_rows")).cast("long"))))
         rows = rows.withColumn("_ix", F.col("row_ix") - F.col("_turn") * F.col("_rows")).drop("_rows", "_turn")
     own = F.floor(F.col("_ix") / block).cast("long")
     last = F.floor((F.col("_ix") + reach) / block).cast("long")
@@ -102,7 +106,7 @@ def daubechies4() -> list[float]:
 def modwt(df: DataFrame, key: str, value: str, taps: list[float], levels: int) -> DataFrame:
     """df's (key, row_ix) with w1..wJ and v: maximal-overlap wavelet transform, circular, filters over sqrt(2)."""
     low, high = ([t / math.sqrt(2) for t in f] for f in (taps, high_of(taps)))
-    got = df.select(key, "row_ix", F.col(value).cast("double").alias("v"))
+    got = with_size(df.select(key, "row_ix", F.col(value).cast("double").alias("v")), key)
     for j in range(1, levels + 1):
         got = fir(got, key, "v", high, 2 ** (j - 1), f"w{j}", True)
         got = fir(got, key, "v", low, 2 ** (j - 1), "_v", True).drop("v").withColumnRenamed("_v", "v")
@@ -111,15 +115,14 @@ def modwt(df: DataFrame, key: str, value: str, taps: list[float], levels: int) -
 
 def _ahead(df: DataFrame, key: str, value: str, taps: list[float], stretch: int, out: str) -> DataFrame:
     """Circular filter that reaches forward: the series turned round, filtered, turned back."""
-    n = df.groupBy(key).agg((F.max("row_ix") + 1).alias("_n"))
-    turned = df.join(n, key).withColumn("row_ix", F.col("_n") - 1 - F.col("row_ix"))
-    return fir(turned, key, value, taps, stretch, out, True).withColumn("row_ix", F.col("_n") - 1 - F.col("row_ix")).drop("_n")
+    turned = df.withColumn("row_ix", F.col("n_rows") - 1 - F.col("row_ix"))
+    return fir(turned, key, value, taps, stretch, out, True).withColumn("row_ix", F.col("n_rows") - 1 - F.col("row_ix"))
 
 
 def imodwt(df: DataFrame, key: str, taps: list[float], levels: int) -> DataFrame:
     """(key, row_ix, value) from modwt's table."""
     low, high = ([t / math.sqrt(2) for t in f] for f in (taps, high_of(taps)))
-    got = df
+    got = df if "n_rows" in df.columns else with_size(df, key)
     for j in range(levels, 0, -1):
         got = _ahead(got, key, f"w{j}", high, 2 ** (j - 1), "_w")
         got = _ahead(got, key, "v", low, 2 ** (j - 1), "_l").withColumn("v", F.col("_w") + F.col("_l")).drop("_w", "_l")
@@ -128,27 +131,27 @@ def imodwt(df: DataFrame, key: str, taps: list[float], levels: int) -> DataFrame
 
 def dwt(df: DataFrame, key: str, value: str, taps: list[float]) -> DataFrame:
     """(key, row_ix, low, high) of half as many rows: circular filters, every second row kept. Series have an even length."""
-    got = fir(fir(df.select(key, "row_ix", F.col(value).cast("double").alias("x")), key, "x", taps, 1, "low", True), key, "x", high_of(taps), 1, "high", True)
-    return got.filter("row_ix % 2 = 1").select(key, F.floor(F.col("row_ix") / 2).cast("long").alias("row_ix"), "low", "high")
+    rows = df.select(key, "row_ix", F.col(value).cast("double").alias("x"), *(["n_rows"] if "n_rows" in df.columns else []))
+    got = fir(fir(rows if "n_rows" in df.columns else with_size(rows, key), key, "x", taps, 1, "low", True), key, "x", high_of(taps), 1, "high", True)
+    return got.filter("row_ix % 2 = 1").select(key, F.floor(F.col("row_ix") / 2).cast("long").alias("row_ix"), "low", "high", F.floor(F.col("n_rows") / 2).cast("long").alias("n_rows"))
 
 
 def idwt(df: DataFrame, key: str, taps: list[float]) -> DataFrame:
     """(key, row_ix, value): the inverse of dwt. Each coefficient spreads over the rows its taps came from."""
-    n = df.groupBy(key).agg((2 * (F.max("row_ix") + 1)).alias("_n"))
-    spread = df.join(n, key).select(key, "_n", F.col("row_ix").alias("_r"), "low", "high", F.posexplode(F.arrays_zip(_array(taps), _array(high_of(taps)))).alias("_l", "_t"))
+    spread = df.select(key, (2 * F.col("n_rows")).alias("_n"), F.col("row_ix").alias("_r"), "low", "high", F.posexplode(F.arrays_zip(_array(taps), _array(high_of(taps)))).alias("_l", "_t"))
     at = F.pmod(2 * F.col("_r") + 1 - F.col("_l"), F.col("_n"))
     return spread.groupBy(key, at.alias("row_ix")).agg(F.sum(F.col("low") * F.col("_t")["0"] + F.col("high") * F.col("_t")["1"]).alias("value"))
 
 
 def packets(df: DataFrame, key: str, value: str, taps: list[float], depth: int) -> DataFrame:
     """(key, node, row_ix, value): DWT applied to both branches `depth` times; node is the path, 1 for high."""
-    now = df.select(key, F.lit("").alias("node"), "row_ix", F.col(value).cast("double").alias("value"))
+    now = with_size(df.select(key, F.lit("").alias("node"), "row_ix", F.col(value).cast("double").alias("value")), key)
     for _ in range(depth):
         both = now.withColumn("_k", F.struct(key, "node"))
         halves = dwt(both, "_k", "value", taps)
-        one = lambda c, bit: halves.select(F.col(f"_k.{key}").alias(key), F.concat("_k.node", F.lit(bit)).alias("node"), "row_ix", F.col(c).alias("value"))  # noqa: E731, B023
-        now = one("low", "0").unionByName(one("high", "1"))
-    return now
+        branch = F.explode(F.array(F.struct(F.lit("0").alias("bit"), F.col("low").alias("value")), F.struct(F.lit("1").alias("bit"), F.col("high").alias("value")))).alias("_h")
+        now = halves.select(F.col(f"_k.{key}").alias(key), "_k.node", "row_ix", "n_rows", branch).select(key, F.concat("node", "_h.bit").alias("node"), "row_ix", "n_rows", "_h.value")
+    return now.drop("n_rows")
 
 
 def morlet(scale: float, omega: float = 5.0, width: float = 4.0) -> list[float]:
@@ -161,7 +164,7 @@ def morlet(scale: float, omega: float = 5.0, width: float = 4.0) -> list[float]:
 
 def cwt(df: DataFrame, key: str, value: str, scales: list[float]) -> DataFrame:
     """(key, row_ix, scale, value): a causal, circular filter of Morlet taps for each scale."""
-    out = None
+    out, df = None, with_size(df, key)
     for s in scales:
         got = fir(df, key, value, morlet(s), 1, "_c", True).select(key, "row_ix", F.lit(s).alias("scale"), F.col("_c").alias("value"))
         out = got if out is None else out.unionByName(got)
