@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bars, joins, scalars, scans, spectral, stats, windows  # noqa: F401
+from . import bars, joins, models, scalars, scans, spectral, stats, streams, windows  # noqa: F401
 from .tables import Q as QUERIES
 from .tables import SQL
 
