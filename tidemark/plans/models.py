@@ -78,9 +78,9 @@ def _label_feature(spark, d):
 
 @query("shift_stretch_alignment", f"""WITH g AS (SELECT * FROM (VALUES (0), (1), (2)) a(sh), (VALUES (1.0::DOUBLE), (0.75::DOUBLE), (0.5::DOUBLE)) b(st)),
 s AS (SELECT l.series, sh, st, avg(abs(l.v - f.v)) AS score FROM {_L} l JOIN g ON l.row_ix >= sh JOIN {_FEAT} f ON f.series = l.series AND f.row_ix = CAST(floor((l.row_ix - sh) * st) AS BIGINT) GROUP BY ALL)
-SELECT series, round(score, 6) AS score, CAST(sh AS BIGINT) AS shift, st AS stretch FROM s QUALIFY row_number() OVER (PARTITION BY series ORDER BY round(score, 9), sh, st DESC) = 1""")
+SELECT series, round(score, 4) AS score, CAST(sh AS BIGINT) AS shift, st AS stretch FROM s QUALIFY row_number() OVER (PARTITION BY series ORDER BY round(score, 9), sh, st DESC) = 1""")
 def shift_stretch_alignment(spark, d):
-    return frames.alignment(*_label_feature(spark, d), "series", [0, 1, 2], [1.0, 0.75, 0.5]).select("series", r6("score", "score"), "shift", "stretch")
+    return frames.alignment(*_label_feature(spark, d), "series", [0, 1, 2], [1.0, 0.75, 0.5]).select("series", F.round("score", 4).alias("score"), "shift", "stretch")
 
 
 @query("apply_shift_stretch", f"SELECT a.series, a.row_ix, b.v AS moved FROM {_L} a LEFT JOIN {_L} b ON b.series = a.series AND b.row_ix = CAST(floor((a.row_ix - 2) * 0.75) AS BIGINT)")

@@ -58,7 +58,7 @@ def typed_header_source(spark, d):
     return got.select(F.col("event_id").cast("long").alias("event_id"), r6("price", "price"), F.isnan("absent").alias("absent_is_nan"))
 
 
-@query("plain_row_source", "SELECT o_orderkey, round(o_totalprice, 2) AS price, 1.0 AS tick_volume FROM orders")
+@query("plain_row_source", "SELECT o_orderkey, round(o_totalprice, 2) AS price, 1.0::DOUBLE AS tick_volume FROM orders")
 def plain_row_source(spark, d):
     o = read(spark, d, "orders")
     lines = o.select(F.concat_ws(",", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss"), F.lit("1"), F.concat(F.lit("level_0: "), F.format_string("%.2f", "o_totalprice")), F.col("o_orderkey").cast("string")).alias("value"))

@@ -36,11 +36,11 @@ def trailing_moving_average(spark, d):
     return win.norm_trailing(rows(spark, d), "series", "price", 4).select("event_id", r6("smooth", "smooth"))
 
 
-@query("tapering_mask", f"SELECT event_id, round(price * 2.0 * pow(1 - row_ix / n, 1.5), 6) AS tapered FROM {R}")
+@query("tapering_mask", f"SELECT event_id, round(price * 2.0 * pow(1 - row_ix / n, 1.5), 4) AS tapered FROM {R}")
 def tapering_mask(spark, d):
     r = rows(spark, d)
     n = r.groupBy("series").agg((F.max("row_ix") + 1).alias("n"))
-    return r.join(n, "series").select("event_id", r6(F.col("price") * win.tapered(F.col("row_ix"), F.col("n"), 2.0, 1.5), "tapered"))
+    return r.join(n, "series").select("event_id", F.round(F.col("price") * win.tapered(F.col("row_ix"), F.col("n"), 2.0, 1.5), 4).alias("tapered"))
 
 
 @query("block_difference", f"WITH b AS (SELECT series, row_ix // 4 AS slot, sum(price) / 4 AS v FROM {R} GROUP BY ALL) SELECT series, slot, round(v - lag(v) OVER (PARTITION BY series ORDER BY slot), 6) AS diff FROM b")
@@ -131,7 +131,7 @@ def arg_sort(spark, d):
     return ticks(spark, d).select("event_id", (F.row_number().over(Window.partitionBy("series").orderBy("price", "event_id")) - 1).alias("place"))
 
 
-@query("snap_to_allowed", "SELECT event_id, CASE WHEN price >= 55 THEN 100.0 WHEN price >= 7.5 THEN 10.0 WHEN price >= 3 THEN 5.0 ELSE 1.0 END AS snapped FROM {ticks}")
+@query("snap_to_allowed", "SELECT event_id, CAST(CASE WHEN price >= 55 THEN 100.0 WHEN price >= 7.5 THEN 10.0 WHEN price >= 3 THEN 5.0 ELSE 1.0 END AS DOUBLE) AS snapped FROM {ticks}")
 def snap_to_allowed(spark, d):
     return win.snapped_to(ticks(spark, d), "price", [1.0, 5.0, 10.0, 100.0]).select("event_id", "snapped")
 
