@@ -26,25 +26,33 @@ RADIUS = 3
 SEED = 42
 
 
-def fingerprint(text: str | None, words: int = 3) -> int:
-    """The SimHash of a text's word shingles: ASCII letters in lower case, words between ASCII white space."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of each run of `words` words (the whole sequence if it is shorter), ASCII letters in lower case, words between ASCII white space."""
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return 0
+        return np.empty(0, np.uint64)
+    digest, joined = xxhash.xxh64_intdigest, b" ".join(w)
     if len(w) <= words:
-        return xxhash.xxh64_intdigest(b" ".join(w), SEED)
-    joined = b" ".join(w)
+        return np.array([digest(joined, SEED)], np.uint64)
     ends, at = [], -1
     for x in w:
         at += len(x) + 1
         ends.append(at)
     starts = [0, *(e + 1 for e in ends[: len(w) - words])]
-    digest = xxhash.xxh64_intdigest
-    ones, n = np.zeros(64, np.int64), len(starts)
-    h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :], strict=True)), np.uint64, n)
-    for i in range(0, n, 65536):
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :], strict=True)), np.uint64, len(starts))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(h), 65536):
         ones += np.unpackbits(h[i : i + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    return int(np.packbits(ones * 2 > len(h), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, words: int = 3) -> int:
+    """The SimHash of a text's word shingles, repeats included; zero without words."""
+    return majority(shingle_hashes(text, words))
 
 
 def _fingerprints(words: int, at: int, keep: list[int]):
@@ -150,7 +158,8 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = state
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # written, so that the join's shuffle is its own and a hub's many edges can be split
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u > v").distinct()
@@ -165,7 +174,7 @@ def near_groups(docs_fp: DataFrame, radius: int = RADIUS) -> DataFrame:
     distinct = written(docs_fp.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
     roots = components(links(distinct, radius))
     placed = roots.join(distinct.withColumnRenamed("fp", "node"), "node")
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    smallest = written(placed.groupBy("root").agg(F.min("least").alias("component_id")), "smallest")
     moved = placed.join(smallest, "root").select(F.col("node").alias("fp"), "component_id")
     return distinct.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
 
@@ -187,6 +196,81 @@ def near_dedup(docs: DataFrame, words: int = 3, radius: int = RADIUS, text: str
     return rows.join(first, same, "left_semi").select(*docs.columns)
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """A second hash function over the first one's values."""
+    h = (h ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _two_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = np.empty(batch.num_rows, np.uint64), np.empty(batch.num_rows, np.uint64)
+        for i, t in enumerate(batch.column(2)):
+            h = shingle_hashes(t.as_py(), 1)
+            a[i], b[i] = majority(h), majority(_mixed(h))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["doc_id", "h", "fp0", "fp1"])
+
+
+def _shingle_sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in part.column(1)]
+                ends = pa.array(np.cumsum([0, *map(len, sets)]).astype("i4"))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))], names=["h", "s"])
+
+    return run
+
+
+def alike(texts: DataFrame, edges: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The edges (u, v) between texts (h, t) whose sets of word shingles have a Jaccard similarity of `similarity` or more."""
+    involved = edges.select(F.explode(F.array("u", "v")).alias("h")).distinct()
+    sets = written(texts.join(involved, "h", "left_semi").dropDuplicates(["h"]).select("h", "t").mapInArrow(_shingle_sets(words), "h long, s array<long>"), "shingles")
+    u, v = sets.select(F.col("h").alias("u"), F.col("s").alias("su")), sets.select(F.col("h").alias("v"), F.col("s").alias("sv"))
+    both = F.size(F.array_intersect("su", "sv"))
+    either = F.size("su") + F.size("sv") - both
+    return edges.join(u, "u").join(v, "v").filter((either == 0) | (both >= similarity * either)).select("u", "v")
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of docs that stay when of texts alike (shingles of `words` words, Jaccard of `similarity`) one is kept: the smallest key's.
+
+    Equal texts are one node. Candidates come from two SimHash fingerprints of single words (two hash functions), since a changed word moves
+    those least: texts of one fingerprint are linked to its first text, and fingerprints within `radius` bits to each other. Every
+    candidate link is verified on the whole texts. All columns stay as they are; null keys come last; repeated rows count as copies."""
+    whole = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("t"))
+    marked = written(whole.mapInArrow(_two_fingerprints, "doc_id long, h long, fp0 long, fp1 long"), "marked")
+    nodes = written(marked.groupBy("h").agg(F.min("doc_id").alias("least"), F.min("fp0").alias("fp0"), F.min("fp1").alias("fp1")), "texts")
+    edges = None
+    for fp in ("fp0", "fp1"):
+        first = written(nodes.groupBy(F.col(fp).alias("fp")).agg(F.min("h").alias("first")), "first")
+        inside = nodes.select(F.col(fp).alias("fp"), "h").join(first, "fp").select(F.col("h").alias("a"), F.col("first").alias("b"))
+        between = links(first, radius)
+        between = between.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select("a", "b")
+        found = inside.union(between).filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+        edges = found if edges is None else edges.union(found)
+    edges = written(edges.distinct(), "candidates")
+    roots = components(alike(whole.select("h", "t"), edges, words, similarity))
+    order = F.struct(F.col("least").isNull(), "least", "h")
+    grouped = nodes.join(roots.withColumnRenamed("node", "h"), "h").select("root", "h", "least")
+    best = written(grouped.groupBy("root").agg(F.min(order).alias("s")).select("root", F.col("s.h").alias("best")), "best")
+    gone = grouped.join(best, "root").filter("h <> best").select(F.col("h").alias("gone"))
+    rows = first_rows(docs, nodes, gone, text, key)
+    if not marked.groupBy("doc_id", "h").count().filter("count > 1").isEmpty():
+        rows = rows.dropDuplicates([key, *(c for c in rows.columns if c not in docs.columns)])
+    return rows.select(*docs.columns)
+
+
+def first_rows(docs: DataFrame, nodes: DataFrame, gone: DataFrame, text: str, key: str) -> DataFrame:
+    """Of each text (nodes: h, least) that isn't in `gone` the row of the smallest key. Joins go by key and hash together, so copies spread."""
+    copy, h, low = fresh(docs, "copy", "kept_hash", "kept_key")
+    kept = nodes.join(gone, F.col("h") == F.col("gone"), "left_anti").select(F.col("h").alias(h), F.col("least").alias(low))
+    same = F.col(key).cast("long").eqNullSafe(F.col(low)) & (F.col(copy) == F.col(h))
+    return docs.withColumn(copy, F.xxhash64(text)).join(kept, same, "left_semi")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
