@@ -23,6 +23,7 @@ def session(cpus: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-tidemark-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
