@@ -21,22 +21,22 @@ def series_catalog(spark, d):
 
 @query("range_scan", f"SELECT series, t, price FROM {{ticks}} WHERE t BETWEEN {SPAN[0]} AND {SPAN[1]}")
 def range_scan(spark, d):
-    return scans.range_scan(ticks(spark, d).select("series", "t", "price"), "t", *SPAN)
+    return scans.range_scan(ticks(spark, d, *SPAN).select("series", "t", "price"), "t", *SPAN)
 
 
 @query("range_scan_limit", f"SELECT series, t, price FROM {{ticks}} WHERE t BETWEEN {SPAN[0]} AND {SPAN[1]} ORDER BY t LIMIT 50")
 def range_scan_limit(spark, d):
-    return scans.range_scan(ticks(spark, d).select("series", "t", "price"), "t", *SPAN, limit=50)
+    return scans.range_scan(ticks(spark, d, *SPAN).select("series", "t", "price"), "t", *SPAN, limit=50)
 
 
 @query("latest_n", f"SELECT series, t, price FROM {{ticks}} WHERE t <= {MID} QUALIFY row_number() OVER (PARTITION BY series ORDER BY t DESC) <= 5")
 def latest_n(spark, d):
-    return scans.latest(ticks(spark, d).select("series", "t", "price"), "series", "t", 5, MID)
+    return scans.latest(ticks(spark, d, hi=MID).select("series", "t", "price"), "series", "t", 5, MID)
 
 
 @query("nth_last_row", f"SELECT series, t, price FROM {{ticks}} WHERE t < {MID} QUALIFY row_number() OVER (PARTITION BY series ORDER BY t DESC) = 4")
 def nth_last_row(spark, d):
-    return scans.nth_last(ticks(spark, d).select("series", "t", "price"), "series", "t", 3, MID)
+    return scans.nth_last(ticks(spark, d, hi=MID).select("series", "t", "price"), "series", "t", 3, MID)
 
 
 @query("count_before", f"SELECT series, count(*) FILTER (t < {MID}) AS n FROM {{ticks}} GROUP BY series")
@@ -53,7 +53,7 @@ def edge_records(spark, d):
 
 @query("changed_since", f"SELECT event_id, series, t FROM {{ticks}} WHERE t > {MID} ORDER BY t DESC LIMIT 100")
 def changed_since(spark, d):
-    return ticks(spark, d).filter(F.col("t") > MID).select("event_id", "series", "t").orderBy(F.desc("t")).limit(100)
+    return ticks(spark, d, MID).filter(F.col("t") > MID).select("event_id", "series", "t").orderBy(F.desc("t")).limit(100)
 
 
 @query("sorted_frames", """SELECT series, row_ix // 16 AS frame, min(t) AS first_t, max(t) AS last_t, count(*) AS n, count(*) = 16 AS "full" FROM (
@@ -81,7 +81,7 @@ def slice_with_lookback(spark, d):
 
 @query("column_values_in_range", f"SELECT series, list(price ORDER BY t) AS vals FROM {{ticks}} WHERE t BETWEEN {MID} AND {MID} + 86400000000 GROUP BY series".replace("list(price ORDER BY t) AS vals", "string_agg(CAST(CAST(round(price * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY t) AS vals"))
 def column_values_in_range(spark, d):
-    day = ticks(spark, d).filter(F.col("t").between(MID, MID + DAY))
+    day = ticks(spark, d, MID, MID + DAY)
     rows = F.array_sort(F.collect_list(F.struct("t", F.round(F.col("price") * 100).cast("long").cast("string").alias("v"))))
     return day.groupBy("series").agg(F.array_join(F.transform(rows, lambda r: r["v"]), ",").alias("vals"))
 

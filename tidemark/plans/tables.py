@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +35,19 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """event_id, series, t (microseconds), price, qty, kind."""
-    return read(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("series"), micros("ts").alias("t"), F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("long").alias("qty"), F.col("event_type").alias("kind"))
+def instant(us: int):
+    """A time in microseconds as a timestamp without zone."""
+    return F.lit((datetime(1970, 1, 1) + timedelta(microseconds=us)).isoformat(sep=" ")).cast("timestamp_ntz")
+
+
+def ticks(spark: SparkSession, sf_dir: str, lo: int | None = None, hi: int | None = None) -> DataFrame:
+    """event_id, series, t (microseconds), price, qty, kind; of [lo, hi] if given, a filter on the stored column."""
+    rows = read(spark, sf_dir, "events")
+    if lo is not None:
+        rows = rows.filter(F.col("ts") >= instant(lo))
+    if hi is not None:
+        rows = rows.filter(F.col("ts") <= instant(hi))
+    return rows.select("event_id", F.col("user_id").alias("series"), micros("ts").alias("t"), F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("long").alias("qty"), F.col("event_type").alias("kind"))
 
 
 def main_series(spark: SparkSession, sf_dir: str) -> DataFrame:
