@@ -119,7 +119,10 @@ def test_main_text():
     assert html.main_text(PAGE) == "Title & more\nFirst paragraph with bold text é.\nShort.\none item\ntwo items\nLast paragraph of the article, a bit longer than the others were."
     article = PAGE.replace('<div class="content">', "<article><header>").replace("</h1>", "</h1></header>").replace("others were.</p></div>", "others were.</p></article>")
     assert html.main_text(article) == html.main_text(PAGE)
-    for empty in (None, "", "<html><body></body></html>", "<nav>x</nav>", "<!-- x"):
+    wrapped = PAGE.replace("<nav>", '<div class="page sidebar-right"><nav>').replace('<div class="content">', '<main class="with-sidebar">').replace("others were.</p></div>", "others were.</p></main>").replace("<form>", "</div><form>")
+    assert html.main_text(wrapped) == html.main_text(PAGE)
+    assert html.main_text('<div class="social"><p>All there is.</p></div>') == "All there is."
+    for empty in (None, "", "<html><body></body></html>", "<nav>x</nav>"):
         assert html.main_text(empty) == ""
 
 
@@ -245,7 +248,9 @@ def test_simhash_rows(docs, none):
     assert simhash.near_dedup(none).count() == 0
 
 
-def test_near_copies_are_verified(spark, docs, none):
+@pytest.mark.parametrize("rows_sent", [0, 10**6])
+def test_near_copies_are_verified(spark, docs, none, rows_sent, monkeypatch):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", rows_sent)
     rnd = random.Random(11)
     words = ["".join(rnd.choice("abcdefghijkl") for _ in range(rnd.randint(2, 8))) for _ in range(4000)]
     rows, group = [], []

@@ -29,6 +29,8 @@ NOISE = frozenset("ad ads adv advert adverts advertisement advertising banner br
 ASIDE = frozenset("ad ads advert comment comments promo related reply sponsored teaser".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 REGIONS = frozenset("article main".split())
+#: A class such as "with-sidebar" tells of a page's layout, not of what the element is.
+ABOUT = frozenset("with has no without hide is".split())
 _TOKEN = re.compile("[a-z]+")
 
 RADIUS, SIGMA = 3, 1.5
@@ -37,8 +39,9 @@ RADIUS, SIGMA = 3, 1.5
 class Lines(HTMLParser):
     """Lines of a page: text, tags in it, characters in links, and the chain of regions it stands in."""
 
-    def __init__(self):
+    def __init__(self, by_class: bool = True):
         super().__init__(convert_charrefs=True)
+        self.by_class, self.seen_region = by_class, False
         self.stack: list[tuple[str, int, bool]] = []  # element, region, left out
         self.regions = [(-1, "")]  # parent region, element
         self.lines: list[tuple[str, int, int, int]] = []
@@ -71,10 +74,10 @@ class Lines(HTMLParser):
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", "").lower():
                 return True
-            if name in ("class", "id") and value and tag not in ("html", "body", "article", "main"):
-                words = _TOKEN.findall(value.lower())
-                if not NOISE.isdisjoint(words) or "header" in words and not self._inside_article():
-                    return True
+            if name in ("class", "id") and value and self.by_class and tag not in ("html", "body", "article", "main"):
+                for words in map(_TOKEN.findall, value.lower().split()):
+                    if words and words[0] not in ABOUT and (not NOISE.isdisjoint(words) or "header" in words and not self._inside_article()):
+                        return True
             elif name in ("class", "id") and value and tag == "article" and not ASIDE.isdisjoint(_TOKEN.findall(value.lower())):
                 return True
             if name == "role" and value and value.lower() in ROLES:
@@ -100,6 +103,8 @@ class Lines(HTMLParser):
             self.text.append(" ")
         self.tags += not out
         region = self.stack[-1][1] if self.stack else 0
+        if tag in REGIONS and not self.seen_region and not any(name in NEVER for name, _, _ in self.stack):
+            out, self.seen_region = False, True  # the first article counts, whatever its wrapper is called
         if not out:
             out = self._left_out(tag, attrs)
             if out:
@@ -158,8 +163,12 @@ def threshold(x: np.ndarray) -> float:
 
 
 def main_text(html: str | None) -> str:
-    """The article's blocks, one a line; empty where there is none."""
-    page = Lines()
+    """The article's blocks, one a line; empty where there is none. Where class words leave out all text, elements and roles alone decide."""
+    return _main_text(html, True) or _main_text(html, False)
+
+
+def _main_text(html: str | None, by_class: bool) -> str:
+    page = Lines(by_class)
     page.feed(html or "")
     lines = page.result()
     if not lines:
