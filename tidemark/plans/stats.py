@@ -198,7 +198,7 @@ def best_parameters_per_group(spark, d):
     return li.groupBy(F.col("l_returnflag").alias("l_shipmode")).agg(F.min_by("l_partkey", F.struct("l_extendedprice", "l_orderkey", "l_linenumber")).alias("l_partkey"))
 
 
-@query("running_evaluation", f"""SELECT series, t, round(avg(abs(forecast - actual)) OVER w, 4) AS mae, round(100 * sum(abs(forecast - actual)) OVER w / sum(abs(actual)) OVER w, 4) AS mape,
+@query("running_evaluation", f"""SELECT series, t, round(avg(abs(forecast - actual)) OVER w + 1e-9, 4) AS mae, round(100 * sum(abs(forecast - actual)) OVER w / sum(abs(actual)) OVER w + 1e-9, 4) AS mape,
   round(100 * avg(CASE WHEN sign(forecast - known) = sign(actual - known) THEN 1.0 ELSE 0.0 END) OVER w, 4) AS direction FROM {FORECASTS} WINDOW w AS (PARTITION BY series ORDER BY t ROWS UNBOUNDED PRECEDING)""")
 def running_evaluation(spark, d):
     from pyspark.sql import Window
@@ -206,5 +206,5 @@ def running_evaluation(spark, d):
     w = Window.partitionBy("series").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     e, f = F.abs(F.col("forecast") - F.col("actual")), forecasts(spark, d)
     hit = (F.signum(F.col("forecast") - F.col("known")) == F.signum(F.col("actual") - F.col("known"))).cast("double")
-    return f.select("series", "t", F.round(F.avg(e).over(w), 4).alias("mae"), F.round(100 * F.sum(e).over(w) / F.sum(F.abs("actual")).over(w), 4).alias("mape"), F.round(100 * F.avg(hit).over(w), 4).alias("direction"))
+    return f.select("series", "t", F.round(F.avg(e).over(w) + 1e-9, 4).alias("mae"), F.round(100 * F.sum(e).over(w) / F.sum(F.abs("actual")).over(w) + 1e-9, 4).alias("mape"), F.round(100 * F.avg(hit).over(w), 4).alias("direction"))
 
