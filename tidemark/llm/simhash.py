@@ -24,6 +24,8 @@ from .common import fresh, written
 
 RADIUS = 3
 SEED = 42
+BROADCAST_ROWS = 1_000_000
+SKETCH = 256
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -212,26 +214,37 @@ def _two_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["doc_id", "h", "fp0", "fp1"])
 
 
-def _shingle_sets(words: int):
+def _sketches(words: int):
+    """Of each text the SKETCH smallest 32-bit hashes of its distinct shingles, ascending: all of them if there are no more."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in part.column(1)]
+                sets = [np.unique((_mixed(shingle_hashes(t.as_py(), words)) >> np.uint64(32)).astype(np.uint32).view(np.int32))[:SKETCH] for t in part.column(1)]
                 ends = pa.array(np.cumsum([0, *map(len, sets)]).astype("i4"))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))], names=["h", "s"])
 
     return run
 
 
+def sized(table: DataFrame) -> DataFrame:
+    """A written table of a few longs a row, sent to all tasks while it has at most BROADCAST_ROWS rows; a larger one is joined by shuffle."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def alike(texts: DataFrame, edges: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The edges (u, v) between texts (h, t) whose sets of word shingles have a Jaccard similarity of `similarity` or more."""
-    involved = edges.select(F.explode(F.array("u", "v")).alias("h")).distinct()
-    sets = written(texts.join(involved, "h", "left_semi").dropDuplicates(["h"]).select("h", "t").mapInArrow(_shingle_sets(words), "h long, s array<long>"), "shingles")
+    """The edges (u, v) between texts (h, t) whose shingles have a Jaccard similarity of `similarity` or more.
+
+    It is read off the SKETCH smallest hashes of both texts' shingles together: exact for texts of no more shingles, else with a
+    deviation of 0.025 at 0.8. Sketches cover whole texts, and an edge moves a kilobyte instead of all shingles."""
+    involved = written(edges.select(F.explode(F.array("u", "v")).alias("h")).distinct(), "involved")
+    each = texts.join(sized(involved), "h", "left_semi").select("h", "t").mapInArrow(_sketches(words), "h long, s array<int>")
+    sets = written(each.groupBy("h").agg(F.first("s").alias("s")), "sketches")
     u, v = sets.select(F.col("h").alias("u"), F.col("s").alias("su")), sets.select(F.col("h").alias("v"), F.col("s").alias("sv"))
-    both = F.size(F.array_intersect("su", "sv"))
-    either = F.size("su") + F.size("sv") - both
-    return edges.join(u, "u").join(v, "v").filter((either == 0) | (both >= similarity * either)).select("u", "v")
+    pairs = edges.join(u, "u").join(v, "v").withColumn("least", F.slice(F.array_sort(F.array_union("su", "sv")), 1, SKETCH))
+    both = F.size(F.array_intersect(F.array_intersect("least", "su"), "sv"))
+    return pairs.filter((F.size("least") == 0) | (both >= similarity * F.size("least"))).select("u", "v")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -239,7 +252,7 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, r
 
     Equal texts are one node. Candidates come from two SimHash fingerprints of single words (two hash functions), since a changed word moves
     those least: texts of one fingerprint are linked to its first text, and fingerprints within `radius` bits to each other. Every
-    candidate link is verified on the whole texts. All columns stay as they are; null keys come last; repeated rows count as copies."""
+    candidate link is verified by the texts' shingles (see alike). All columns stay as they are; null keys come last; repeated rows count as copies."""
     whole = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("t"))
     marked = written(whole.mapInArrow(_two_fingerprints, "doc_id long, h long, fp0 long, fp1 long"), "marked")
     nodes = written(marked.groupBy("h").agg(F.min("doc_id").alias("least"), F.min("fp0").alias("fp0"), F.min("fp1").alias("fp1")), "texts")
@@ -257,18 +270,22 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, r
     grouped = nodes.join(roots.withColumnRenamed("node", "h"), "h").select("root", "h", "least")
     best = written(grouped.groupBy("root").agg(F.min(order).alias("s")).select("root", F.col("s.h").alias("best")), "best")
     gone = grouped.join(best, "root").filter("h <> best").select(F.col("h").alias("gone"))
-    rows = first_rows(docs, nodes, gone, text, key)
+    rows = first_rows(docs, marked, nodes, gone, text, key)
     if not marked.groupBy("doc_id", "h").count().filter("count > 1").isEmpty():
         rows = rows.dropDuplicates([key, *(c for c in rows.columns if c not in docs.columns)])
     return rows.select(*docs.columns)
 
 
-def first_rows(docs: DataFrame, nodes: DataFrame, gone: DataFrame, text: str, key: str) -> DataFrame:
-    """Of each text (nodes: h, least) that isn't in `gone` the row of the smallest key. Joins go by key and hash together, so copies spread."""
-    copy, h, low = fresh(docs, "copy", "kept_hash", "kept_key")
-    kept = nodes.join(gone, F.col("h") == F.col("gone"), "left_anti").select(F.col("h").alias(h), F.col("least").alias(low))
-    same = F.col(key).cast("long").eqNullSafe(F.col(low)) & (F.col(copy) == F.col(h))
-    return docs.withColumn(copy, F.xxhash64(text)).join(kept, same, "left_semi")
+def first_rows(docs: DataFrame, marked: DataFrame, nodes: DataFrame, gone: DataFrame, text: str, key: str) -> DataFrame:
+    """Of each text (nodes: h, least) that isn't in `gone` the rows of the smallest key, and a column with the text's hash.
+
+    The rows to leave out are found on a narrow table; they go by key and hash together, so copies spread."""
+    copy, h, low = fresh(docs, "copy", "left_hash", "left_key")
+    kept = nodes.join(gone, F.col("h") == F.col("gone"), "left_anti").select(F.col("h").alias("kept_h"), F.col("least"))
+    same = (F.col("h") == F.col("kept_h")) & F.col("doc_id").eqNullSafe(F.col("least"))
+    left = written(marked.select("doc_id", "h").distinct().join(kept, same, "left_anti").select(F.col("doc_id").alias(low), F.col("h").alias(h)), "left-out")
+    this = F.col(key).cast("long").eqNullSafe(F.col(low)) & (F.col(copy) == F.col(h))
+    return docs.withColumn(copy, F.xxhash64(text)).join(sized(left), this, "left_anti")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
