@@ -26,6 +26,10 @@ RADIUS = 3
 SEED = 42
 BROADCAST_ROWS = 1_000_000
 SKETCH = 256
+#: MinHash bands of ROWS hashes each: at a similarity of 0.8 a pair shares a band with probability 0.9993.
+BANDS, ROWS = 24, 6
+#: Members of one side that a comparison of blocks of a bucket takes.
+BLOCK = 256
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -205,13 +209,30 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _two_fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = np.empty(batch.num_rows, np.uint64), np.empty(batch.num_rows, np.uint64)
-        for i, t in enumerate(batch.column(2)):
-            h = shingle_hashes(t.as_py(), 1)
-            a[i], b[i] = majority(h), majority(_mixed(h))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["doc_id", "h", "fp0", "fp1"])
+_MULT, _MASK = (_mixed(np.arange(1 + BANDS * ROWS * i, 1 + BANDS * ROWS * (i + 1), dtype=np.uint64)).astype(np.uint32) for i in (0, 1))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """BANDS keys of a shingle set, each over ROWS MinHashes of its own; two sets share one with probability 1 - (1 - J ** ROWS) ** BANDS."""
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    h = (_mixed(shingles) >> np.uint64(32)).astype(np.uint32)
+    for i in range(0, len(h), 1024):
+        least = np.minimum(least, ((h[i : i + 1024, None] ^ _MASK) * (_MULT | np.uint32(1))).min(axis=0))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T:
+        key = _mixed(key ^ column)
+    return key
+
+
+def _banded(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [band_keys(shingle_hashes(t.as_py(), words)) for t in batch.column(2)]
+            flat = pa.array(np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64))
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype="i4") * BANDS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "h", "keys"])
+
+    return run
 
 
 def _sketches(words: int):
@@ -233,39 +254,114 @@ def sized(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
-def alike(texts: DataFrame, edges: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The edges (u, v) between texts (h, t) whose shingles have a Jaccard similarity of `similarity` or more.
-
-    It is read off the SKETCH smallest hashes of both texts' shingles together: exact for texts of no more shingles, else with a
-    deviation of 0.025 at 0.8. Sketches cover whole texts, and an edge moves a kilobyte instead of all shingles."""
-    involved = written(edges.select(F.explode(F.array("u", "v")).alias("h")).distinct(), "involved")
+def sketched(texts: DataFrame, involved: DataFrame, words: int) -> DataFrame:
+    """(h, s): the sketches of the texts (h, t) whose h is in `involved`."""
     each = texts.join(sized(involved), "h", "left_semi").select("h", "t").mapInArrow(_sketches(words), "h long, s array<int>")
-    sets = written(each.groupBy("h").agg(F.first("s").alias("s")), "sketches")
+    return written(each.groupBy("h").agg(F.first("s").alias("s")), "sketches")
+
+
+def alike(sets: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
+    """The edges (u, v) between texts whose shingles have a Jaccard similarity of `similarity` or more.
+
+    It is read off the SKETCH smallest hashes of both texts' shingles together (sets: h, s): exact for texts of no more shingles, else
+    with a deviation of 0.025 at 0.8. Sketches cover whole texts, and an edge moves a kilobyte instead of all shingles."""
     u, v = sets.select(F.col("h").alias("u"), F.col("s").alias("su")), sets.select(F.col("h").alias("v"), F.col("s").alias("sv"))
     pairs = edges.join(u, "u").join(v, "v").withColumn("least", F.slice(F.array_sort(F.array_union("su", "sv")), 1, SKETCH))
     both = F.size(F.array_intersect(F.array_intersect("least", "su"), "sv"))
     return pairs.filter((F.size("least") == 0) | (both >= similarity * F.size("least"))).select("u", "v")
 
 
-def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = RADIUS, text: str = "text", key: str = "doc_id") -> DataFrame:
+def overlap(x: np.ndarray, many: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of sketch x and each row of `many` (ascending int64, padded with the largest one): how many of the SKETCH smallest hashes of both are shared, and how many there are."""
+    if not len(x):
+        return np.zeros(len(many), np.int64), np.minimum(sizes, SKETCH)
+    at = np.searchsorted(x, many)
+    shared = (x[np.minimum(at, len(x) - 1)] == many) & (np.arange(many.shape[1]) < sizes[:, None])
+    before = np.cumsum(shared, axis=1) - shared
+    both = (shared & (np.arange(many.shape[1]) + at - before < SKETCH)).sum(axis=1)
+    return both, np.minimum(SKETCH, sizes + len(x) - shared.sum(axis=1))
+
+
+def _compared(similarity: float):
+    """Of rows sorted by (b, i, j), each a member of one or both sides of a comparison, the pairs across both sides that are alike."""
+
+    def pairs(rows: list[dict]) -> list[tuple[int, int]]:
+        ours, out = [r for r in rows if r["stray"]], []
+        many = np.full((len(rows), SKETCH), np.iinfo(np.int64).max)
+        for k, r in enumerate(rows):
+            many[k, : len(r["s"])] = r["s"]
+        sizes = np.array([len(r["s"]) for r in rows])
+        roots, hs = np.array([r["root"] for r in rows]), np.array([r["h"] for r in rows])
+        at = {r["h"]: k for k, r in enumerate(rows)}
+        for r in ours:
+            other = np.flatnonzero(roots != roots[at[r["h"]]])
+            if not len(other):
+                continue
+            both, least = overlap(np.array(r["s"], np.int64), many[other], sizes[other])
+            hit = other[(least == 0) | (both >= similarity * least)]
+            # of components that this links, which are one from now on, one verified pair each
+            _, one = np.unique(roots[hit], return_index=True)
+            out += [(max(r["h"], int(x)), min(r["h"], int(x))) for x in hs[hit[one]]]
+            roots[np.isin(roots, roots[hit])] = roots[at[r["h"]]]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found(rows):
+            if got := pairs(rows):
+                u, v = zip(*got, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+        at, held = None, []
+        for batch in batches:
+            for r in (r for k in range(0, batch.num_rows, 512) for r in batch.slice(k, 512).to_pylist()):
+                if (now := (r["b"], r["i"], r["j"])) != at:
+                    if held:
+                        yield from found(held)
+                    at, held = now, []
+                held.append(r)
+        if held:
+            yield from found(held)
+
+    return run
+
+
+def strays(members: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (u > v) still to be found in buckets (b, h) whose members are not all of one root.
+
+    Every member outside its bucket's largest component is compared with every member of another component. Sides are dealt into blocks, so that
+    no task holds a bucket, and pairs that are not alike never become rows."""
+    placed = members.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("b", "h", F.coalesce("root", "h").alias("root"))
+    counts = written(placed.groupBy("b", "root").agg(F.count("*").alias("n")), "bucket-roots")
+    mixed = counts.groupBy("b").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most")).filter("kinds > 1")
+    mixed = written(mixed.select("b", "n", F.col("most.root").alias("main"), (F.col("n") - F.col("most.n")).alias("k")), "mixed")
+    ours, theirs = (F.ceil(F.col(c) / BLOCK).cast("int") for c in ("k", "n"))
+    rows = written(placed.join(sized(mixed), "b").withColumn("i_n", ours).withColumn("j_n", theirs).withColumn("salt", F.xxhash64("h")), "mixed-members")
+    left = rows.filter("root <> main").select("b", F.pmod("salt", "i_n").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("j_n") - 1)).alias("j"), "h", "root", F.lit(True).alias("stray"))
+    right = rows.select("b", F.explode(F.sequence(F.lit(0), F.col("i_n") - 1)).alias("i"), F.pmod("salt", "j_n").cast("int").alias("j"), "h", "root", F.lit(False).alias("stray"))
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a member of both sides is one row
+    sides = left.union(right).groupBy("b", "i", "j", "h", "root").agg(F.max("stray").alias("stray")).join(sets, "h")
+    dealt = sides.select("b", "i", "j", "h", "root", "stray", "s").repartition(n, "b", "i", "j").sortWithinPartitions("b", "i", "j")
+    return dealt.mapInArrow(_compared(similarity), "u long, v long").distinct()
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of docs that stay when of texts alike (shingles of `words` words, Jaccard of `similarity`) one is kept: the smallest key's.
 
-    Equal texts are one node. Candidates come from two SimHash fingerprints of single words (two hash functions), since a changed word moves
-    those least: texts of one fingerprint are linked to its first text, and fingerprints within `radius` bits to each other. Every
-    candidate link is verified by the texts' shingles (see alike). All columns stay as they are; null keys come last; repeated rows count as copies."""
+    Equal texts are one node. Texts that share a MinHash band are in one bucket. Each is verified against its bucket's first text; where that leaves a
+    bucket in several components, all pairs across them are verified too (see strays), so every two texts of a bucket are linked or
+    have been compared. All columns stay as they are; null keys come last; repeated rows count as copies."""
     whole = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("t"))
-    marked = written(whole.mapInArrow(_two_fingerprints, "doc_id long, h long, fp0 long, fp1 long"), "marked")
-    nodes = written(marked.groupBy("h").agg(F.min("doc_id").alias("least"), F.min("fp0").alias("fp0"), F.min("fp1").alias("fp1")), "texts")
-    edges = None
-    for fp in ("fp0", "fp1"):
-        first = written(nodes.groupBy(F.col(fp).alias("fp")).agg(F.min("h").alias("first")), "first")
-        inside = nodes.select(F.col(fp).alias("fp"), "h").join(first, "fp").select(F.col("h").alias("a"), F.col("first").alias("b"))
-        between = links(first, radius)
-        between = between.join(first.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(first.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v").select("a", "b")
-        found = inside.union(between).filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        edges = found if edges is None else edges.union(found)
-    edges = written(edges.distinct(), "candidates")
-    roots = components(alike(whole.select("h", "t"), edges, words, similarity))
+    marked = written(whole.mapInArrow(_banded(words), "doc_id long, h long, keys array<long>"), "marked")
+    nodes = written(marked.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")), "texts")
+    each = nodes.select(F.explode("keys").alias("b"), "h")
+    buckets = written(each.groupBy("b").agg(F.min("h").alias("first"), F.count("*").alias("n")).filter("n > 1").select("b", "first"), "buckets")
+    members = written(each.join(sized(buckets), "b"), "members")
+    edges = written(members.filter("h <> first").select(F.col("h").alias("u"), F.col("first").alias("v")).distinct(), "candidates")
+    sets = sketched(whole.select("h", "t"), written(members.select("h").distinct(), "involved"), words)
+    edges = written(alike(sets, edges, similarity), "linked")
+    edges = edges.union(written(strays(members.select("b", "h"), components(edges), sets, similarity), "strays"))
+    roots = components(edges)
     order = F.struct(F.col("least").isNull(), "least", "h")
     grouped = nodes.join(roots.withColumnRenamed("node", "h"), "h").select("root", "h", "least")
     best = written(grouped.groupBy("root").agg(F.min(order).alias("s")).select("root", F.col("s.h").alias("best")), "best")
