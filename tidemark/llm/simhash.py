@@ -26,6 +26,8 @@ RADIUS = 3
 SEED = 42
 BROADCAST_ROWS = 1_000_000
 SKETCH = 256
+#: Pairs of which a sketch says less than this from the similarity asked for (four deviations) are counted on their whole shingle sets.
+NEAR = 0.1
 #: MinHash bands of ROWS hashes each: at a similarity of 0.8 a pair shares a band with probability 0.9993.
 BANDS, ROWS = 24, 6
 #: Members of one side that a comparison of blocks of a bucket takes.
@@ -261,14 +263,49 @@ def sketched(texts: DataFrame, involved: DataFrame, words: int) -> DataFrame:
 
 
 def alike(sets: DataFrame, edges: DataFrame, similarity: float) -> DataFrame:
-    """The edges (u, v) between texts whose shingles have a Jaccard similarity of `similarity` or more.
+    """(u, v, sure): the edges between texts whose shingles have a Jaccard similarity of `similarity` or more, and those to be counted (not sure).
 
-    It is read off the SKETCH smallest hashes of both texts' shingles together (sets: h, s): exact for texts of no more shingles, else
-    with a deviation of 0.025 at 0.8. Sketches cover whole texts, and an edge moves a kilobyte instead of all shingles."""
+    It is read off the SKETCH smallest hashes of both texts' shingles together (sets: h, s): exact where those are all, else with a
+    deviation of 0.025 at 0.8. Sketches cover whole texts, and an edge moves a kilobyte instead of all shingles."""
     u, v = sets.select(F.col("h").alias("u"), F.col("s").alias("su")), sets.select(F.col("h").alias("v"), F.col("s").alias("sv"))
     pairs = edges.join(u, "u").join(v, "v").withColumn("least", F.slice(F.array_sort(F.array_union("su", "sv")), 1, SKETCH))
-    both = F.size(F.array_intersect(F.array_intersect("least", "su"), "sv"))
-    return pairs.filter((F.size("least") == 0) | (both >= similarity * F.size("least"))).select("u", "v")
+    both, n = F.size(F.array_intersect(F.array_intersect("least", "su"), "sv")), F.size("least")
+    sure = (n < SKETCH) | (F.abs(both - similarity * n) >= NEAR * n)
+    return pairs.select("u", "v", sure.alias("sure"), ((n == 0) | (both >= similarity * n)).alias("like")).filter("like or not sure").select("u", "v", "sure")
+
+
+def _whole_sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in part.column(1)]
+                ends = pa.array(np.cumsum([0, *map(len, sets)]).astype("i4"))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets)))], names=["h", "x"])
+
+    return run
+
+
+def counted(texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) of texts (h, t) with that similarity by their whole shingle sets."""
+    involved = written(pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct(), "near")
+    each = texts.join(sized(involved), "h", "left_semi").select("h", "t").mapInArrow(_whole_sets(words), "h long, x array<long>")
+    sets = written(each.groupBy("h").agg(F.first("x").alias("x")), "whole-sets")
+    u, v = sets.select(F.col("h").alias("u"), F.col("x").alias("xu")), sets.select(F.col("h").alias("v"), F.col("x").alias("xv"))
+    got = pairs.join(u, "u").join(v, "v").withColumn("both", F.size(F.array_intersect("xu", "xv")))
+    return got.filter(F.col("both") >= similarity * (F.size("xu") + F.size("xv") - F.col("both"))).select("u", "v")
+
+
+def settled(edges: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The edges (u, v, sure) that hold. One that isn't sure is counted unless the sure ones link its ends anyway."""
+    sure, rest = edges.filter("sure").select("u", "v"), edges.filter("not sure").select("u", "v").distinct()
+    if rest.isEmpty():
+        return sure
+    roots = written(components(sure), "sure-roots")
+    for c in ("u", "v"):
+        rest = rest.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+    apart = F.coalesce("root_u", "u") != F.coalesce("root_v", "v")
+    return sure.union(written(counted(texts, written(rest.filter(apart).select("u", "v"), "unsure"), words, similarity), "counted"))
 
 
 def overlap(x: np.ndarray, many: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -283,9 +320,9 @@ def overlap(x: np.ndarray, many: np.ndarray, sizes: np.ndarray) -> tuple[np.ndar
 
 
 def _compared(similarity: float):
-    """Of rows sorted by (b, i, j), each a member of one or both sides of a comparison, the pairs across both sides that are alike."""
+    """Of rows sorted by (b, i, j), each a member of one or both sides of a comparison, the pairs across both sides that are alike or to be counted."""
 
-    def pairs(rows: list[dict]) -> list[tuple[int, int]]:
+    def pairs(rows: list[dict]) -> list[tuple[int, int, bool]]:
         ours, out = [r for r in rows if r["stray"]], []
         many = np.full((len(rows), SKETCH), np.iinfo(np.int64).max)
         for k, r in enumerate(rows):
@@ -298,18 +335,19 @@ def _compared(similarity: float):
             if not len(other):
                 continue
             both, least = overlap(np.array(r["s"], np.int64), many[other], sizes[other])
-            hit = other[(least == 0) | (both >= similarity * least)]
+            sure = (least < SKETCH) | (np.abs(both - similarity * least) >= NEAR * least)
+            hit = other[sure & ((least == 0) | (both >= similarity * least))]
             # of components that this links, which are one from now on, one verified pair each
             _, one = np.unique(roots[hit], return_index=True)
-            out += [(max(r["h"], int(x)), min(r["h"], int(x))) for x in hs[hit[one]]]
+            out += [(max(r["h"], int(x)), min(r["h"], int(x)), k < len(one)) for k, x in enumerate(hs[np.r_[hit[one], other[~sure]]])]
             roots[np.isin(roots, roots[hit])] = roots[at[r["h"]]]
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(rows):
             if got := pairs(rows):
-                u, v = zip(*got, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                u, v, sure = zip(*got, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(sure)], names=["u", "v", "sure"])
 
         at, held = None, []
         for batch in batches:
@@ -326,7 +364,7 @@ def _compared(similarity: float):
 
 
 def strays(members: DataFrame, roots: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The edges (u > v) still to be found in buckets (b, h) whose members are not all of one root.
+    """The edges (u > v, sure) still to be found in buckets (b, h) whose members are not all of one root.
 
     Every member outside its bucket's largest component is compared with every member of another component. Sides are dealt into blocks, so that
     no task holds a bucket, and pairs that are not alike never become rows."""
@@ -342,7 +380,7 @@ def strays(members: DataFrame, roots: DataFrame, sets: DataFrame, similarity: fl
     # a member of both sides is one row
     sides = left.union(right).groupBy("b", "i", "j", "h", "root").agg(F.max("stray").alias("stray")).join(sets, "h")
     dealt = sides.select("b", "i", "j", "h", "root", "stray", "s").repartition(n, "b", "i", "j").sortWithinPartitions("b", "i", "j")
-    return dealt.mapInArrow(_compared(similarity), "u long, v long").distinct()
+    return dealt.mapInArrow(_compared(similarity), "u long, v long, sure boolean").distinct()
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -359,8 +397,10 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, t
     members = written(each.join(sized(buckets), "b"), "members")
     edges = written(members.filter("h <> first").select(F.col("h").alias("u"), F.col("first").alias("v")).distinct(), "candidates")
     sets = sketched(whole.select("h", "t"), written(members.select("h").distinct(), "involved"), words)
-    edges = written(alike(sets, edges, similarity), "linked")
-    edges = edges.union(written(strays(members.select("b", "h"), components(edges), sets, similarity), "strays"))
+    texts = whole.select("h", "t")
+    edges = written(settled(written(alike(sets, edges, similarity), "linked"), texts, words, similarity), "settled")
+    more = strays(members.select("b", "h"), components(edges), sets, similarity)
+    edges = settled(edges.withColumn("sure", F.lit(True)).union(written(more, "strays")), texts, words, similarity)
     roots = components(edges)
     order = F.struct(F.col("least").isNull(), "least", "h")
     grouped = nodes.join(roots.withColumnRenamed("node", "h"), "h").select("root", "h", "least")
