@@ -131,6 +131,26 @@ def test_kernel_fit_learns_its_chunk(spark):
     assert all(r["prediction"] == pytest.approx(math.sin(r["i"] / 3.0), abs=0.01) for r in got.collect())
 
 
+def test_cross_validation_holds_no_fold_in_one_group(spark):
+    import numpy as np
+
+    from tidemark.plans import models
+
+    rnd = random.Random(1)
+    rows = [(i % 3, x, 2 * x[0] - x[1] + rnd.gauss(0, 0.1)) for i in range(200) for x in [[rnd.random(), rnd.random()]]]
+    got = models.cross_validated(table(spark, rows, "own int, x array<double>, y double").repartition(5), [0.1, 10.0])
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+    x, y, own = np.array([[*r[1], 1.0] for r in rows]), np.array([r[2] for r in rows]), np.array([r[0] for r in rows])
+    found = {(r["lam"], r["fold"]): (r["n"], r["mae"]) for r in got.collect()}
+    assert len(found) == 6
+    for (lam, fold), (n, mae) in found.items():
+        a, b = x[own != fold], y[own != fold]
+        w = np.linalg.solve(a.T @ a + lam * np.eye(3), a.T @ b)
+        assert n == (own == fold).sum() and mae == pytest.approx(np.abs(x[own == fold] @ w - y[own == fold]).mean())
+    alone = models.cross_validated(table(spark, rows, "own int, x array<double>, y double").filter("own = 0"), [0.1])
+    assert alone.count() == 0
+
+
 def test_typed_header():
     assert files.header_fields("Time:time;VOLUME:double;p:double") == [("Time", "timestamp_ntz"), ("VOLUME", "double"), ("p", "double")]
     with pytest.raises(ValueError):
