@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_path
+from .common import mapped, shared_path
 from .pieces import pieces
 
 BLOCK_BYTES = 64 * 1024
@@ -254,7 +254,7 @@ def write_shards(docs: DataFrame, path: str, folder: str, end_id: int = 2, shard
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     n = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return sorted(dealt.mapInArrow(_write(path, folder, end_id), "shard long, name string, n_docs long, n_tokens long").collect())
+    return sorted(mapped(dealt, _write(path, folder, end_id), "shard long, name string, n_docs long, n_tokens long").collect())
 
 
 def _scan(folder: str):
@@ -287,7 +287,7 @@ def read_shards(spark: SparkSession, folder: str, manifest: list) -> DataFrame:
     files = spark.createDataFrame(starts, "shard long, name string, start long")
     if starts:
         files = files.repartitionByRange(len(starts), "shard")
-    return files.mapInArrow(_scan(folder), "doc_id long, start long, n_tokens long, ids binary")
+    return mapped(files, _scan(folder), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op5_sstable(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
