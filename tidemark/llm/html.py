@@ -18,13 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, mapped
 
 # Elements and words in class, id or role that mark what isn't the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead title tr ul".split())
 NEVER = frozenset("script style noscript template head title nav footer aside form button select option textarea input iframe object svg canvas menu dialog audio video math datalist label".split())
 CLOSES_P = BLOCK - {"body", "html"}
+HOLDS_P = frozenset("article div section td main body li".split())
+LISTS = frozenset("ul ol menu".split())
+ARTICLES = frozenset("article main body".split())
 NOISE = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification outbrain pager pagination paywall popup promo promoted promotion related respond responses share sharing sidebar skip social sponsor sponsored subscribe subscription taboola toolbar widget alert signup login search reviews replies reply tags topbar".split())
 ASIDE = frozenset("ad ads advert comment comments promo related reply sponsored teaser".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
@@ -37,13 +40,15 @@ RADIUS, SIGMA = 3, 1.5
 
 
 class Lines(HTMLParser):
-    """Lines of a page: text, tags in it, characters in links, and the chain of regions it stands in."""
+    """Lines of a page: text, tags in it, characters in links, and the region it stands in. Each event costs the same however deep it stands."""
 
-    def __init__(self, by_class: bool = True):
+    def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.by_class, self.seen_region = by_class, False
+        self.seen_region = False
         self.stack: list[tuple[str, int, bool]] = []  # element, region, left out
-        self.regions = [(-1, "")]  # parent region, element
+        self.open: dict[str, list[int]] = {}  # of each element its places in the stack
+        self.never = 0  # open elements that never belong to an article
+        self.regions = [(-1, "", False)]  # parent region, element, inside an article
         self.lines: list[tuple[str, int, int, int]] = []
         self.text: list[str] = []
         self.tags = self.linked = 0
@@ -59,12 +64,7 @@ class Lines(HTMLParser):
         self.text = []
 
     def _inside_article(self) -> bool:
-        r = self.stack[-1][1] if self.stack else 0
-        while r > 0:
-            if self.regions[r][1] in REGIONS:
-                return True
-            r = self.regions[r][0]
-        return False
+        return self.regions[self.stack[-1][1] if self.stack else 0][2]
 
     def _left_out(self, tag: str, attrs: list) -> bool:
         if tag in NEVER:
@@ -74,7 +74,7 @@ class Lines(HTMLParser):
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", "").lower():
                 return True
-            if name in ("class", "id") and value and self.by_class and tag not in ("html", "body", "article", "main"):
+            if name in ("class", "id") and value and tag not in ("html", "body", "article", "main"):
                 for words in map(_TOKEN.findall, value.lower().split()):
                     if words and words[0] not in ABOUT and (not NOISE.isdisjoint(words) or "header" in words and not self._inside_article()):
                         return True
@@ -84,6 +84,12 @@ class Lines(HTMLParser):
                 return True
         return False
 
+    def _push(self, tag: str, region: int, out: bool) -> None:
+        self.in_link += tag == "a"
+        self.never += tag in NEVER
+        self.open.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((tag, region, out))
+
     def handle_starttag(self, tag, attrs):
         out = bool(self.stack) and self.stack[-1][2]
         if tag in VOID:
@@ -96,40 +102,41 @@ class Lines(HTMLParser):
         if tag in BLOCK:
             self._end_line()
             if tag in CLOSES_P:
-                self._close("p", {"article", "div", "section", "td", "main", "body", "li"})
+                self._close("p", HOLDS_P)
             if tag == "li":
-                self._close("li", {"ul", "ol", "menu"})
+                self._close("li", LISTS)
         elif tag in ("td", "th"):
             self.text.append(" ")
+        out = bool(self.stack) and self.stack[-1][2]
         self.tags += not out
         region = self.stack[-1][1] if self.stack else 0
-        if tag in REGIONS and not self.seen_region and not any(name in NEVER for name, _, _ in self.stack):
+        if tag in REGIONS and not self.seen_region and not self.never:
             out, self.seen_region = False, True  # the first article counts, whatever its wrapper is called
         if not out:
             out = self._left_out(tag, attrs)
             if out:
                 self._end_line()
             elif tag in BLOCK and tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "dt", "dd", "pre", "html"):
-                self.regions.append((region, tag))
+                self.regions.append((region, tag, tag in REGIONS or self.regions[region][2]))
                 region = len(self.regions) - 1
-        self.in_link += tag == "a"
-        self.stack.append((tag, region, out))
+        self._push(tag, region, out)
 
-    def _close(self, tag: str, until: frozenset | set) -> None:
-        """Closes an open element of this name, unless an element of `until` stands between."""
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                for name, _, _ in self.stack[i:]:
-                    self.in_link -= name == "a"
-                del self.stack[i:]
-                return
-            if self.stack[i][0] in until:
-                return
+    def _close(self, tag: str, until: frozenset) -> None:
+        """Closes the last open element of this name, unless an element of `until` stands between."""
+        places = self.open.get(tag)
+        if not places or any(self.open.get(u) and self.open[u][-1] > places[-1] for u in until if u != tag):
+            return
+        at = places[-1]
+        while len(self.stack) > at:
+            name = self.stack.pop()[0]
+            self.open[name].pop()
+            self.in_link -= name == "a"
+            self.never -= name in NEVER
 
     def handle_endtag(self, tag):
         if tag in BLOCK or tag in NEVER:
             self._end_line()
-        self._close(tag, {"article", "main", "body"} if tag not in ("article", "main", "body", "html") else frozenset())
+        self._close(tag, ARTICLES if tag not in ("article", "main", "body", "html") else frozenset())
 
     def handle_data(self, data):
         if self.stack and self.stack[-1][2]:
@@ -163,12 +170,8 @@ def threshold(x: np.ndarray) -> float:
 
 
 def main_text(html: str | None) -> str:
-    """The article's blocks, one a line; empty where there is none. Where class words leave out all text, elements and roles alone decide."""
-    return _main_text(html, True) or _main_text(html, False)
-
-
-def _main_text(html: str | None, by_class: bool) -> str:
-    page = Lines(by_class)
+    """The article's blocks, one a line; empty where there is none."""
+    page = Lines()
     page.feed(html or "")
     lines = page.result()
     if not lines:
@@ -176,25 +179,43 @@ def _main_text(html: str | None, by_class: bool) -> str:
     ratio = np.array([max(0, len(t) - linked) / (1 + tags) for t, tags, linked, _ in lines])
     level = smoothed(np.log1p(ratio))
     chosen = level >= threshold(level)
-    mass: dict[int, int] = {}
+    mass, plain, links = ([0] * len(page.regions) for _ in range(3))
     for (text, _, linked, region), keep in zip(lines, chosen, strict=True):
-        if keep:
-            while region >= 0:
-                mass[region] = mass.get(region, 0) + max(0, len(text) - linked)
-                region = page.regions[region][0]
-    if not mass:
+        own = max(0, len(text) - linked)
+        mass[region] += keep * own
+        plain[region] += own
+        links[region] += linked
+    # a region's children stand behind it
+    for r in range(len(mass) - 1, 0, -1):
+        for sums in (mass, plain, links):
+            sums[page.regions[r][0]] += sums[r]
+    if not mass[0]:
         return ""
-    # the smallest article or main element, else the smallest region, that holds most of the content
-    total = mass[0]
-    named = [r for r in mass if page.regions[r][1] in REGIONS and mass[r] * 2 > total]
-    best = max(named or [r for r in mass if mass[r] * 5 >= total * 4], key=lambda r: r)
-    out = []
-    for text, _, _, region in lines:
-        while region > best:
-            region = page.regions[region][0]
-        if region == best:
-            out.append(text)
-    return "\n".join(out)
+    best = content_regions(page.regions, mass, plain, links)
+    inside = [False] * len(mass)
+    for r, (parent, _, _) in enumerate(page.regions):
+        inside[r] = r in best or parent >= 0 and inside[parent]
+    return "\n".join(text for text, _, _, region in lines if inside[region])
+
+
+def content_regions(regions: list[tuple[int, str, bool]], mass: list[int], plain: list[int], linked: list[int]) -> set[int]:
+    """The regions whose lines are the text: the articles (main where there is none) with lines over the threshold, if they hold half of
+    all such lines' text together; else the smallest region that holds four fifths of it.
+
+    An article beside such a one counts as well, unless most of it is links. Articles inside others are part of them."""
+    for name in ("article", "main"):
+        within = [False] * len(regions)
+        top = []
+        for r, (parent, tag, _) in enumerate(regions):
+            above = parent >= 0 and within[parent]
+            within[r] = above or tag == name
+            if within[r] and not above:
+                top.append(r)
+        found = {r for r in top if mass[r]}
+        if sum(mass[r] for r in found) * 2 > mass[0]:
+            beside = {regions[r][0] for r in found}
+            return found | {r for r in top if regions[r][0] in beside and plain[r] > linked[r]}
+    return {max(r for r in range(len(mass)) if mass[r] * 5 >= mass[0] * 4)}
 
 
 def _extract(at: int, keep: list[int]):
@@ -216,7 +237,7 @@ def extract(pages: DataFrame, html: str = "html", out: str = "text", keep: list[
     (out,) = fresh(pages.select(*(pages.columns[k] for k in kept)), out)
     schema = ", ".join([*(f"c{k} {pages.schema.fields[k].dataType.simpleString()}" for k in kept), "text string"])
     rows = pages.toDF(*[f"c{i}" for i in range(len(pages.columns))])
-    return rows.mapInArrow(_extract(pages.columns.index(html), kept), schema).toDF(*(pages.columns[k] for k in kept), out)
+    return mapped(rows, _extract(pages.columns.index(html), kept), schema).toDF(*(pages.columns[k] for k in kept), out)
 
 
 def op2_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
