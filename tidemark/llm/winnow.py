@@ -4,7 +4,7 @@ Every run of K characters gets a rolling hash; of each window of W neighbouring
 a tie, and kept with its position. Any shared passage of W+K-1 characters shares a chosen hash, wherever it stands. Texts
 shorter than that have one window over all their hashes (or one hash of the whole text).
 
-Each document needs the one behind it, so documents are dealt out by ranges of doc_id, each range sorted and read as a stream;
+Each document needs the one behind it, so documents are dealt out by ranges of doc_id, one task each, sorted and read as a stream;
 the first document of a range goes to the range before it as well, and the very first to the last.
 """
 
@@ -14,11 +14,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, mapped
 
 K, W = 24, 32
 _BASE = np.uint32(0x01000193)
@@ -124,21 +125,37 @@ def _pairs(k: int, w: int):
     return run
 
 
+def _placed(bounds: list[int], firsts: dict[int, int]):
+    """pandas UDF of k: its range by binary search in the bounds, and the range before it if k is the first of its own (else null)."""
+    edges = np.array(bounds, np.int64)
+    starts = np.array(sorted(firsts), np.int64)
+    before = np.array([firsts[k] for k in sorted(firsts)], np.int32)
+
+    def run(k: pd.Series) -> pd.DataFrame:
+        v = k.to_numpy(np.int64)
+        part = np.searchsorted(edges, v).astype(np.int32)
+        if not len(starts):
+            return pd.DataFrame({"part": part, "ahead": pd.array([None] * len(v), "Int32")})
+        at = np.minimum(np.searchsorted(starts, v), len(starts) - 1)
+        return pd.DataFrame({"part": part, "ahead": pd.array(np.where(starts[at] == v, before[at], -1), "Int32").copy()})
+
+    run.__annotations__ = {"k": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(run, "part int, ahead int")
+
+
 def with_next(docs: DataFrame, ranges: int) -> DataFrame:
-    """(part, doc_id, text, ahead): documents in ranges of doc_id, each range with the first rows of the next one (ahead).
+    """(part, k, doc_id, text, ahead): documents in ranges of doc_id, each range with the first rows of the next one (ahead).
 
     Bounds come from an approximate quantile over all identifiers, the first identifier of each range from an exact
     aggregate over that one column; both are as long as there are ranges."""
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("k"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     bounds = rows.agg(F.percentile_approx("k", F.lit([i / ranges for i in range(1, ranges)]), F.lit(10_000)).alias("b")).first()["b"] if ranges > 1 else []
     bounds = sorted(set(bounds or []))
-    steps = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<bigint>")
-    part = F.size(F.filter(steps, lambda b: b < F.col("k")))
-    firsts = sorted((r["part"], r["k"]) for r in rows.select("k").withColumn("part", part).groupBy("part").agg(F.min("k").alias("k")).collect())
-    to = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)}
-    ahead = F.create_map(*[x for k, p in to.items() for x in (F.lit(k), F.lit(p))])[F.col("k")] if to else F.lit(None).cast("int")
-    both = F.when(ahead.isNull(), F.array(F.struct(part.alias("part"), F.lit(False).alias("ahead")))).otherwise(F.array(F.struct(part.alias("part"), F.lit(False).alias("ahead")), F.struct(ahead.alias("part"), F.lit(True).alias("ahead"))))
-    return rows.select("k", "doc_id", "text", F.explode(both).alias("p")).select("p.part", "k", "doc_id", "text", "p.ahead")
+    firsts = sorted((r["part"], r["k"]) for r in rows.select("k").withColumn("part", _placed(bounds, {})("k")["part"]).groupBy("part").agg(F.min("k").alias("k")).collect())
+    placed = rows.withColumn("p", _placed(bounds, {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)})("k"))
+    own, other = (F.struct(F.col(c).alias("part"), F.lit(ahead).alias("ahead")) for c, ahead in (("p.part", False), ("p.ahead", True)))
+    both = F.when(F.coalesce("p.ahead", F.lit(-1)) < 0, F.array(own)).otherwise(F.array(own, other))
+    return placed.select("k", "doc_id", "text", F.explode(both).alias("p")).select("p.part", "k", "doc_id", "text", "p.ahead")
 
 
 def fingerprint_pairs(docs: DataFrame, k: int = K, w: int = W, ranges: int | None = None) -> DataFrame:
@@ -147,9 +164,9 @@ def fingerprint_pairs(docs: DataFrame, k: int = K, w: int = W, ranges: int | Non
     Null texts are empty; null doc_ids come first; rows of one doc_id follow each other by text. A single document is its
     own next one. Other columns are not read. An empty table gives an empty one."""
     n = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = with_next(docs, 2 * n).repartition(n, "part").sortWithinPartitions("part", "ahead", "k", "text")
+    dealt = with_next(docs, n).repartitionById(n, "part").sortWithinPartitions("part", "ahead", "k", "text")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.select("part", "doc_id", "text", "ahead").mapInArrow(_pairs(k, w), schema)
+    return mapped(dealt.select("part", "doc_id", "text", "ahead"), _pairs(k, w), schema)
 
 
 def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
