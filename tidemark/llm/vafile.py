@@ -3,14 +3,15 @@
 The file is a table of blocks. Of each vector it holds a cell (one byte a dimension, equal steps between the block's smallest
 and largest component) beside the exact vector. A query scans the cells first: they give a lower and an upper bound of every score.
 Exact vectors are then read in descending order of upper bound (the order of lower distance bounds) until the k-th best
-exact score is above the next upper bound. Queries come in blocks of a fixed number; each block is sent to all tasks, and a task
-keeps k results a query however many vectors it scans. Equal vectors of a block are read once: of their identifiers
+exact score is above the next upper bound. Queries come in blocks too; each of their blocks meets each block of vectors, and a task
+keeps k results a query of the last HELD ones. Equal vectors of a block are read once: of their identifiers
 the k+1 smallest can be in a result, so no others are kept there.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from itertools import batched
 
 import numpy as np
@@ -18,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import shared_path, written
+from .common import mapped, written
 
 BLOCK = 4096
-QUERIES = 2048
+QUERY_BYTES = 1 << 20
+#: Queries whose best vectors a task holds at a time.
+HELD = 32_768
 CELLS = 256
 
 
@@ -29,7 +32,7 @@ def quantised(vectors: DataFrame, key: str, vector: str, scale: int = 1024) -> D
     """(vec_id, v): floor(scale * x) of every component. Rows with a null key, vector or component, or one that isn't finite, go."""
     x = F.transform(vector, lambda c: c.cast("double"))
     whole = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
-    return vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull() & F.coalesce(whole, F.lit(False))).select(F.col(key).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale).cast("long")).alias("v"))
+    return vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull() & F.coalesce(whole, F.lit(False))).select(F.col(key).cast("long").alias("vec_id"), F.transform(x, lambda c: F.when(F.abs(c * scale) <= float(1 << 53), F.floor(c * scale).cast("long")).otherwise(F.raise_error(F.lit("a component beyond 2^53 after scaling")).cast("long"))).alias("v"))
 
 
 def _blocks(k: int):
@@ -68,15 +71,44 @@ def _blocks(k: int):
 
 def build(vectors: DataFrame, k: int) -> DataFrame:
     """The vector-approximation file of a table (vec_id, v): a row for each block, written to the shared folder."""
-    return written(vectors.mapInArrow(_blocks(k), "dim long, low array<long>, step array<long>, cells binary, exact binary, ids binary, owner binary"), "vafile")
-
-
-def best_of_block(q: np.ndarray, qid: int, mid: np.ndarray, half: np.ndarray, exact: np.ndarray, members: list, floor: tuple | None, k: int) -> tuple[list[tuple[int, int]], int]:
-    """(score, vec_id) of the k best of one block for one query, and how many exact vectors were read."""
-    centre, slack = mid @ q, float(np.abs(q) @ half) + 1e-6 * float(np.abs(q) @ np.abs(mid).max(axis=0, initial=0)) if len(q) else 0.0
-    upper = centre + slack
+    return written(mapped(vectors, _blocks(k), "dim long, low array<long>, step array<long>, cells binary, exact binary, ids binary, owner binary"), "vafile")
+
+
+def score_of(a: np.ndarray, b: np.ndarray) -> int:
+    """The inner product in whole numbers; an error if 64 bits can't hold it."""
+    s = sum(x * y for x, y in zip(a.tolist(), b.tolist(), strict=True))
+    if not -(1 << 63) <= s < 1 << 63:
+        raise OverflowError("an inner product beyond 64 bits")
+    return s
+
+
+@dataclass
+class Block:
+    """A block of the file: cells' middles and half widths, exact vectors, identifiers by distinct vector, and the largest size of each component."""
+
+    mid: np.ndarray
+    half: np.ndarray
+    exact: np.ndarray
+    members: list[np.ndarray]
+    most: np.ndarray
+
+    @classmethod
+    def of(cls, row: dict) -> Block:
+        dim, ids = row["dim"], np.frombuffer(row["ids"], np.int64)
+        owner = np.frombuffer(row["owner"], np.int64)
+        exact = np.frombuffer(row["exact"], np.int64).reshape(-1, dim) if dim else np.zeros((1, 0), np.int64)
+        cells = np.frombuffer(row["cells"], np.uint8).reshape(len(exact), dim)
+        low, step = (np.array(row[c], np.float64) for c in ("low", "step"))
+        mid = low + cells * step + (step - 1) / 2
+        return cls(mid, (step - 1) / 2, exact, np.split(ids, np.flatnonzero(np.diff(owner)) + 1), np.abs(exact).max(axis=0, initial=0).astype(np.float64))
+
+
+def best_of_block(q: np.ndarray, qid: int, block: Block, floor: tuple | None, k: int) -> tuple[list[tuple[int, int]], int]:
+    """(score, vec_id) of the k best of one block for one query of whole numbers, and how many exact vectors were read."""
+    x, size = q.astype(np.float64), np.abs(q).astype(np.float64)
+    upper = block.mid @ x + float(size @ block.half) + 1e-6 * float(size @ (block.most + block.half))
     found, read, kth = [], 0, floor[0] if floor else -(1 << 63)
-    n = len(upper)
+    n, narrow = len(upper), float(size @ block.most) < 2.0**62  # in 64 bits unless a sum could leave them
     take = min(n, 4 * k)
     while True:
         order = np.argpartition(-upper, take - 1)[:take] if take < n else np.arange(n)
@@ -85,9 +117,9 @@ def best_of_block(q: np.ndarray, qid: int, mid: np.ndarray, half: np.ndarray, ex
             if upper[i] < kth:
                 return found, read
             read += 1
-            s = int(exact[i] @ q.astype(np.int64))
+            s = int(block.exact[i] @ q) if narrow else score_of(block.exact[i], q)
             if s >= kth:
-                found += [(s, int(x)) for x in members[i] if x != qid]
+                found += [(s, int(x)) for x in block.members[i] if x != qid]
                 if len(found) >= k:
                     found = sorted(found, key=lambda x: (-x[0], x[1]))[:k]
                     kth = max(kth, found[-1][0])
@@ -96,30 +128,42 @@ def best_of_block(q: np.ndarray, qid: int, mid: np.ndarray, half: np.ndarray, ex
         take = min(n, take * 4)
 
 
-def _search(queries: list[tuple[int, list[int]]], k: int):
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Queries in blocks of QUERY_BYTES at most, one number of components each."""
+    for batch in batches:
+        held: dict[int, list[tuple[int, list[int]]]] = {}
+        for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            held.setdefault(len(v), []).append((i, v))
+        for dim, rows in held.items():
+            for part in batched(rows, max(1, QUERY_BYTES // (8 * max(1, dim)))):
+                ids, v = (np.array(x, np.int64) for x in zip(*part, strict=True))
+                yield pa.RecordBatch.from_pylist([{"q_dim": dim, "q_ids": ids.tobytes(), "q": v.tobytes()}], pa.schema([("q_dim", pa.int64()), ("q_ids", pa.binary()), ("q", pa.binary())]))
+
+
+def _search(k: int):
+    """Of rows (block of queries, block of vectors) the k best of each query, or fewer where better ones came before in this task."""
+    schema = ["query_id", "vec_id", "score"]
+
+    def rows_of(best: dict) -> pa.RecordBatch | None:
+        rows = [(qid, i, s) for (_, qid), found in best.items() for s, i in found]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=schema) if rows else None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked = [(i, np.array(v, np.float64)) for i, v in queries]
-        best: list[list[tuple[int, int]]] = [[] for _ in asked]
+        best: dict[tuple[int, int], list[tuple[int, int]]] = {}
         for batch in batches:
-            for at in range(batch.num_rows):
-                row = batch.slice(at, 1)
-                dim, ids = row.column("dim")[0].as_py(), np.frombuffer(row.column("ids")[0].as_py(), np.int64)
-                owner = np.frombuffer(row.column("owner")[0].as_py(), np.int64)
-                exact = np.frombuffer(row.column("exact")[0].as_py(), np.int64).reshape(-1, dim) if dim else np.zeros((1, 0), np.int64)
-                cells = np.frombuffer(row.column("cells")[0].as_py(), np.uint8).reshape(len(exact), dim)
-                low, step = (np.array(row.column(c)[0].as_py(), np.float64) for c in ("low", "step"))
-                mid, half = low + cells * step + (step - 1) / 2, (step - 1) / 2
-                members = np.split(ids, np.flatnonzero(np.diff(owner)) + 1)
-                for j, (qid, q) in enumerate(asked):
-                    if len(q) != dim:
-                        continue
-                    floor = best[j][-1] if len(best[j]) == k else None
-                    found, _ = best_of_block(q, qid, mid, half, exact, members, floor, k)
+            for row in (batch.slice(at, 1).to_pylist()[0] for at in range(batch.num_rows)):
+                dim, block = row["dim"], Block.of(row)
+                asked = np.frombuffer(row["q_ids"], np.int64)
+                for qid, q in zip(asked.tolist(), np.frombuffer(row["q"], np.int64).reshape(len(asked), dim), strict=True):
+                    known = best.get((dim, qid), [])
+                    found, _ = best_of_block(q, qid, block, known[-1] if len(known) == k else None, k)
                     if found:
-                        best[j] = sorted({*best[j], *found}, key=lambda x: (-x[0], x[1]))[:k]
-        rows = [(asked[j][0], i, s) for j, b in enumerate(best) for s, i in b]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["query_id", "vec_id", "score"])
+                        best[dim, qid] = sorted({*known, *found}, key=lambda x: (-x[0], x[1]))[:k]
+                if len(best) > HELD:  # the last step puts all tasks' rows in order anyway
+                    yield rows_of(best)
+                    best = {}
+        if (rest := rows_of(best)) is not None:
+            yield rest
 
     return run
 
@@ -129,18 +173,16 @@ def top_k(vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "e
 
     Queries are rows whose key is divisible by `every`. Vectors are compared with those of as many components. Rows with a null
     key, or a null, broken or infinite vector take no part; rows of one key and one vector count once, and a query is not compared with rows
-    of its own key. Fewer than k others give fewer rows; an empty table none. Other columns are not read."""
-    spark = vectors.sparkSession
+    of its own key. Fewer than k others give fewer rows; an empty table none. Other columns are not read. Scores are exact: a component of over
+    2^53 after scaling, or an inner product beyond 64 bits, is an error. Each block of queries meets each block of vectors in one job: a row
+    is a pair of blocks, not of vectors, and no query goes through the driver unless all blocks are below Spark's broadcast threshold."""
     rows = quantised(vectors, key, vector, scale)
     file = build(rows, k)
-    asked = written(rows.filter(F.pmod("vec_id", F.lit(every)) == 0).distinct(), "queries")
-    path = shared_path(spark, "topk")
-    schema = "query_id long, vec_id long, score long"
-    spark.createDataFrame([], schema).write.parquet(path)
-    for block in batched(asked.toLocalIterator(), QUERIES):
-        file.mapInArrow(_search([(r["vec_id"], r["v"]) for r in block], k), schema).write.mode("append").parquet(path)
+    asked = rows.filter(F.pmod("vec_id", F.lit(every)) == 0).distinct()
+    blocks = written(mapped(asked, _packed, "q_dim long, q_ids binary, q binary"), "queries")
+    pairs = blocks.crossJoin(file).filter("q_dim = dim").drop("q_dim")
+    found = mapped(pairs, _search(k), "query_id long, vec_id long, score long").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = spark.read.schema(schema).parquet(path).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
