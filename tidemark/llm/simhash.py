@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, written
+from .common import fresh, mapped, written
 
 RADIUS = 3
 SEED = 42
@@ -78,7 +78,7 @@ def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", out: str =
     (out,) = fresh(docs.select(*(docs.columns[k] for k in kept)), out)
     schema = ", ".join([*(f"c{k} {docs.schema.fields[k].dataType.simpleString()}" for k in kept), "fp long"])
     rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return rows.mapInArrow(_fingerprints(words, docs.columns.index(text), kept), schema).toDF(*(docs.columns[k] for k in kept), out)
+    return mapped(rows, _fingerprints(words, docs.columns.index(text), kept), schema).toDF(*(docs.columns[k] for k in kept), out)
 
 
 _FLIPS = np.concatenate([[np.uint64(0)], np.uint64(1) << np.arange(32, dtype=np.uint64)])
@@ -151,8 +151,8 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     if radius > 3:
         raise ValueError("two segments with one changed bit each find distances up to 3")
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = distinct.select("fp").mapInArrow(_keys, "key long, fp long")
-    return keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_links(radius), "u long, v long").distinct()
+    keys = mapped(distinct.select("fp"), _keys, "key long, fp long")
+    return mapped(keys.repartition(n, "key").sortWithinPartitions("key"), _links(radius), "u long, v long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -196,7 +196,8 @@ def near_dedup(docs: DataFrame, words: int = 3, radius: int = RADIUS, text: str
     marked = written(fingerprints(whole, words, "t", "fp", ["doc_id", "h"]), "marked")
     groups = near_groups(marked, radius)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "h")
-    first = marked.join(groups, "fp").groupBy("component_id").agg(F.min(order).alias("s")).select(F.col("s.doc_id").alias(k), F.col("s.h").alias(h))
+    best = marked.groupBy("fp").agg(F.min(order).alias("s"))
+    first = best.join(groups, "fp").groupBy("component_id").agg(F.min("s").alias("s")).select(F.col("s.doc_id").alias(k), F.col("s.h").alias(h))
     rows = docs.withColumn(copy, F.xxhash64(text))
     if not marked.groupBy("doc_id", "h").count().filter("count > 1").isEmpty():
         rows = rows.dropDuplicates([key, copy])
@@ -258,7 +259,7 @@ def sized(table: DataFrame) -> DataFrame:
 
 def sketched(texts: DataFrame, involved: DataFrame, words: int) -> DataFrame:
     """(h, s): the sketches of the texts (h, t) whose h is in `involved`."""
-    each = texts.join(sized(involved), "h", "left_semi").select("h", "t").mapInArrow(_sketches(words), "h long, s array<int>")
+    each = mapped(texts.join(sized(involved), "h", "left_semi").select("h", "t"), _sketches(words), "h long, s array<int>")
     return written(each.groupBy("h").agg(F.first("s").alias("s")), "sketches")
 
 
@@ -289,7 +290,7 @@ def _whole_sets(words: int):
 def counted(texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (u, v) of texts (h, t) with that similarity by their whole shingle sets."""
     involved = written(pairs.select(F.explode(F.array("u", "v")).alias("h")).distinct(), "near")
-    each = texts.join(sized(involved), "h", "left_semi").select("h", "t").mapInArrow(_whole_sets(words), "h long, x array<long>")
+    each = mapped(texts.join(sized(involved), "h", "left_semi").select("h", "t"), _whole_sets(words), "h long, x array<long>")
     sets = written(each.groupBy("h").agg(F.first("x").alias("x")), "whole-sets")
     u, v = sets.select(F.col("h").alias("u"), F.col("x").alias("xu")), sets.select(F.col("h").alias("v"), F.col("x").alias("xv"))
     got = pairs.join(u, "u").join(v, "v").withColumn("both", F.size(F.array_intersect("xu", "xv")))
@@ -380,7 +381,7 @@ def strays(members: DataFrame, roots: DataFrame, sets: DataFrame, similarity: fl
     # a member of both sides is one row
     sides = left.union(right).groupBy("b", "i", "j", "h", "root").agg(F.max("stray").alias("stray")).join(sets, "h")
     dealt = sides.select("b", "i", "j", "h", "root", "stray", "s").repartition(n, "b", "i", "j").sortWithinPartitions("b", "i", "j")
-    return dealt.mapInArrow(_compared(similarity), "u long, v long, sure boolean").distinct()
+    return mapped(dealt, _compared(similarity), "u long, v long, sure boolean").distinct()
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -390,7 +391,7 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, t
     bucket in several components, all pairs across them are verified too (see strays), so every two texts of a bucket are linked or
     have been compared. All columns stay as they are; null keys come last; repeated rows count as copies."""
     whole = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("t"))
-    marked = written(whole.mapInArrow(_banded(words), "doc_id long, h long, keys array<long>"), "marked")
+    marked = written(mapped(whole, _banded(words), "doc_id long, h long, keys array<long>"), "marked")
     nodes = written(marked.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")), "texts")
     each = nodes.select(F.explode("keys").alias("b"), "h")
     buckets = written(each.groupBy("b").agg(F.min("h").alias("first"), F.count("*").alias("n")).filter("n > 1").select("b", "first"), "buckets")
@@ -424,8 +425,22 @@ def first_rows(docs: DataFrame, marked: DataFrame, nodes: DataFrame, gone: DataF
     return docs.withColumn(copy, F.xxhash64(text)).join(sized(left), this, "left_anti")
 
 
+def grouped(marked: DataFrame, groups: DataFrame) -> DataFrame:
+    """marked (doc_id, fp) with the component of its fingerprint, groups being (fp, component_id).
+
+    Fingerprints that hold a thousandth of the rows or more, a thousand of them at most, are sent to all tasks; the rest is joined by shuffle, so no
+    task gets more than a thousandth of the rows for one fingerprint."""
+    counts = written(marked.groupBy("fp").agg(F.count("*").alias("n")), "counts")
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    groups = written(groups, "groups")
+    hot = groups.join(counts.filter(F.col("n") * 1000 >= total), "fp", "left_semi").select("fp", F.struct("component_id").alias("hot"))
+    placed = marked.join(F.broadcast(hot), "fp", "left")
+    cold = placed.filter("hot IS NULL").drop("hot").join(groups, "fp")
+    return placed.filter("hot IS NOT NULL").select(*marked.columns, "hot.component_id").unionByName(cold)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and component."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     marked = written(fingerprints(docs, 3, keep=["doc_id"]), "marked")
-    return marked.join(near_groups(marked), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return grouped(marked, near_groups(marked)).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
