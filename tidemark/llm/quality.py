@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, mapped
 
 FIT_ROWS = 20_000
 BINS, COARSE, ROUNDS, PAIR_ROUNDS, PAIRS, RATE, RIDGE, LEAST_HESSIAN = 32, 8, 150, 80, 8, 0.15, 1.0, 1.0
@@ -156,12 +156,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = FIT_ROWS) -> Model:
     """The model of at most `rows` labels (doc_id, `label`) outside the held-out fifth: those whose hash is smallest.
 
-    Labels that are null or neither 0 nor 1, and those without a document, are left out; a document labelled twice counts twice."""
+    Labels that are null or neither 0 nor 1, and those without a document, are left out; a document labelled 0 and 1 counts as both, and of
+    several documents of one identifier the one with the smallest features counts, so the model hangs on no order of tasks."""
     usable = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
+    chosen = usable.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")  # `rows` rows at most
-    got = sorted(joined.mapInArrow(_features, "doc_id long, y int, x array<double>").limit(2 * rows).collect())
+    got = sorted(mapped(joined, _features, "doc_id long, y int, x array<double>").groupBy("doc_id", "y").agg(F.min("x").alias("x")).collect())
     x = np.array([r["x"] for r in got]).reshape(len(got), len(NAMES))
     return fit(x, np.array([r["y"] for r in got], float))
 
@@ -186,7 +187,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", out: str = "score",
     (out,) = fresh(docs.select(*(docs.columns[k] for k in kept)), out)
     schema = ", ".join([*(f"c{k} {docs.schema.fields[k].dataType.simpleString()}" for k in kept), "score double"])
     rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    return rows.mapInArrow(_scores(model, docs.columns.index(text), kept), schema).toDF(*(docs.columns[k] for k in kept), out)
+    return mapped(rows, _scores(model, docs.columns.index(text), kept), schema).toDF(*(docs.columns[k] for k in kept), out)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
