@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.shared import written
+
 from . import core
 
 
@@ -149,9 +151,11 @@ def sequence_kernel(kind: str, **p):
         x, y = stack(a), stack(b)
         if not len(x):
             return pd.Series([], dtype=float)
+        # a few pairs at a time: a programme's tables have a cell for each two elements of each pair
+        parts = [(x[i : i + 256], y[i : i + 256]) for i in range(0, len(x), 256)]
         if kind == "gak":
-            return pd.Series(np.exp(log_gak(x, y) - 0.5 * (log_gak(x, x) + log_gak(y, y))))
-        return pd.Series(path(x, y) if kind == "path" else kdtw(x, y))
+            return pd.Series(np.concatenate([np.exp(log_gak(a, b) - 0.5 * (log_gak(a, a) + log_gak(b, b))) for a, b in parts]))
+        return pd.Series(np.concatenate([(path if kind == "path" else kdtw)(a, b) for a, b in parts]))
 
     run.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, "double")
@@ -184,13 +188,35 @@ def predict_chunks(frame: DataFrame, models: DataFrame, on: list[str], row: list
 
 
 def bacon(df: DataFrame, keys: list[str], columns: list[str], cutoff: float, rounds: int = 5) -> DataFrame:
-    """df with `outlier`: rows whose scaled distance from the basic subset's mean is over the cutoff; the subset starts around the medians and
-    is chosen anew each round from all rows (diagonal Mahalanobis distance)."""
-    start = df.groupBy(*keys).agg(*(F.median(c).alias(f"m_{c}") for c in columns), *((F.stddev_pop(c) + 1e-12).alias(f"s_{c}") for c in columns))
-    rows = df
+    """df with `outlier`: rows whose Mahalanobis distance from the basic subset is over the cutoff.
+
+    The subset starts as the rows whose scaled distance from the medians is within the cutoff, and is chosen anew each round from all rows by its mean and
+    covariance (blocked adaptive outlier nomination). Sums are taken in Spark; only each group's matrix, as large as its columns, is inverted in Python."""
+    import numpy as np
+    import pandas as pd
+
+    p = len(columns)
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+
+    def inverted(m: pd.Series) -> pd.Series:
+        out = []
+        for flat in m:
+            c = np.zeros((p, p))
+            for (i, j), v in zip(pairs, flat, strict=True):
+                c[i, j] = c[j, i] = v
+            out.append(np.linalg.pinv(c, hermitian=True).ravel().tolist())
+        return pd.Series(out)
+
+    inverted.__annotations__ = {"m": pd.Series, "return": pd.Series}
+    inverse = F.pandas_udf(inverted, "array<double>")
+    middle = df.groupBy(*keys).agg(*(F.median(c).alias(f"_m{i}") for i, c in enumerate(columns)), *((F.stddev_pop(c) + 1e-12).alias(f"_s{i}") for i, c in enumerate(columns)))
+    d2 = sum(((F.col(c) - F.col(f"_m{i}")) / F.col(f"_s{i}")) ** 2 for i, c in enumerate(columns))
+    rows = df.join(middle, keys).withColumn("outlier", d2 > cutoff * cutoff).select(*df.columns, "outlier")
     for _ in range(rounds):
-        d2 = sum(((F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}")) ** 2 for c in columns)
-        rows = df.join(start, keys).withColumn("outlier", d2 > cutoff * cutoff).select(*df.columns, "outlier")
-        inner = rows.filter(~F.col("outlier"))
-        start = inner.groupBy(*keys).agg(*(F.avg(c).alias(f"m_{c}") for c in columns), *((F.stddev_pop(c) + 1e-12).alias(f"s_{c}") for c in columns))
+        basic = rows.filter(~F.col("outlier"))
+        cov = F.array(*(F.coalesce(F.covar_samp(columns[i], columns[j]), F.lit(0.0)) for i, j in pairs))
+        shape = basic.groupBy(*keys).agg(*(F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)), cov.alias("_cov")).withColumn("_inv", inverse("_cov"))
+        off = [F.col(c) - F.col(f"_m{i}") for i, c in enumerate(columns)]
+        d2 = sum(off[i] * off[j] * F.col("_inv")[i * p + j] for i in range(p) for j in range(p))
+        rows = written(df.join(shape, keys).withColumn("outlier", d2 > cutoff * cutoff).select(*df.columns, "outlier"), "bacon")
     return rows

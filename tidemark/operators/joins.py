@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import DAY, asof, gaps, grid, nearest, row_index
+from .core import DAY, asof, bucket, gaps, grid, nearest, row_index
+
+MONTH = 30 * DAY
 
 
 def within_deviation(probes: DataFrame, data: DataFrame, key: str, probe_time: str, data_time: str, values: list[str], deviation: int, width: int = DAY) -> DataFrame:
@@ -53,9 +55,10 @@ def merged_intervals(intervals: DataFrame, key: str, start: str, end: str) -> Da
 
 
 def in_period(df: DataFrame, time: str, periods: DataFrame) -> DataFrame:
-    """df with `period` of the (name, lo, hi) that the time lies strictly inside; periods is a small parameter table."""
-    got = df.join(F.broadcast(periods), (df[time] > periods["lo"]) & (df[time] < periods["hi"]), "left")
-    return got.select(*df.columns, F.col("name").alias("period"))
+    """df with `period` of the (name, lo, hi) that the time lies strictly inside; a bucket of MONTH is the equi-key, so no table need be small."""
+    spread = periods.select("name", "lo", "hi", F.explode(F.sequence(bucket("lo", MONTH), bucket("hi", MONTH))).alias("_pb"))
+    inside = (F.col("_b") == F.col("_pb")) & (F.col(time) > F.col("lo")) & (F.col(time) < F.col("hi"))
+    return df.withColumn("_b", bucket(time, MONTH)).join(spread, inside, "left").select(*df.columns, F.col("name").alias("period"))
 
 
 def wildcard(column: str, value: Column | int) -> Column:
@@ -73,10 +76,10 @@ def merged_factors(old: DataFrame, new: DataFrame, keys: list[str], values: list
 def kept_pairs(rows: DataFrame, key: str, every: int, columns: list[str]) -> DataFrame:
     """Pairs (i, j) of a series' rows 0..n-1 whose i*n+j is divisible by `every`, with both rows' columns.
 
-    The kept numbers are generated, so no cross product is formed; rows need row_ix."""
+    Each row makes the numbers of its own partners, so no cross product is formed and no list is longer than GRID; rows need row_ix."""
     n = rows.groupBy(key).agg((F.max("row_ix") + 1).alias("n"))
-    pairs = n.withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") * F.col("n") - 1, F.lit(every).cast("long"))))
-    pairs = pairs.select(key, F.floor(F.col("p") / F.col("n")).cast("long").alias("i"), (F.col("p") % F.col("n")).alias("j"))
-    left = rows.select(key, F.col("row_ix").alias("i"), *(F.col(c).alias(f"{c}_i") for c in columns))
+    left = rows.select(key, F.col("row_ix").alias("i"), *(F.col(c).alias(f"{c}_i") for c in columns)).join(n, key)
+    first = left.withColumn("_j", F.pmod(-(F.col("i") * F.col("n")), F.lit(every).cast("long"))).filter("_j < n")
+    pairs = grid(first, "_j", "n", every, "j").drop("_j", "n")
     right = rows.select(key, F.col("row_ix").alias("j"), *(F.col(c).alias(f"{c}_j") for c in columns))
-    return pairs.join(left, [key, "i"]).join(right, [key, "j"])
+    return pairs.join(right, [key, "j"])

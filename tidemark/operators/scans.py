@@ -105,6 +105,6 @@ def adjacent_levels(levels: int, ratio: float, count: str | Column) -> Column:
 def stratified(df: DataFrame, label: str, n: int, order: Column) -> DataFrame:
     """For each class max(1, ceil(size * n / total)) rows, the first in `order`."""
     sizes = df.groupBy(label).agg(F.count("*").alias("_size"))
-    quota = sizes.select(label, F.greatest(F.lit(1), F.ceil(F.col("_size") * n / F.lit(max(1, df.count())))).alias("_quota"))
+    quota = sizes.select(label, F.greatest(F.lit(1), F.ceil(F.col("_size") * n / F.sum("_size").over(Window.partitionBy(F.lit(0))))).alias("_quota"))  # one row a class
     ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(order)))
     return ranked.join(quota, label).filter("_r <= _quota").drop("_r", "_quota")

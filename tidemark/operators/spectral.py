@@ -12,6 +12,10 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.shared import written
+
+from .core import grid
+
 BLOCK = 4096
 
 
@@ -24,7 +28,7 @@ def with_size(df: DataFrame, key: str) -> DataFrame:
     return df.join(df.groupBy(key).agg((F.max("row_ix") + 1).alias("n_rows")), key)
 
 
-def _behind(df: DataFrame, key: str, value: str, reach: int, circular: bool, block: int) -> DataFrame:
+def behind(df: DataFrame, key: str, value: str, reach: int, circular: bool = False, block: int = BLOCK) -> DataFrame:
     """df with `_x`: the value and those of up to `reach` rows before it, oldest first."""
     block = max(block, reach + 1)
     rows = df.withColumn("_ix", F.col("row_ix"))
@@ -43,7 +47,7 @@ def fir(df: DataFrame, key: str, value: str, taps: list[float], stretch: int = 1
 
     At the head of a series, where taps reach back over its start, the sum is divided by that of the taps in use."""
     reach = (len(taps) - 1) * stretch
-    got = _behind(df, key, value, reach, circular, block)
+    got = behind(df, key, value, reach, circular, block)
     used = F.sequence(F.lit(0), F.least(F.lit(len(taps) - 1), F.floor((F.size("_x") - 1) / F.lit(stretch)).cast("int")))
     t = _array(taps)
     terms = F.transform(used, lambda j: t[j] * F.col("_x")[F.size("_x") - 1 - j * stretch])
@@ -62,11 +66,12 @@ def low_pass(length: int, f: float) -> list[float]:
     return out
 
 
-def emd(df: DataFrame, key: str, value: str, masks: list[list[float]], siftings: int, cut=lambda df: df) -> DataFrame:
+def emd(df: DataFrame, key: str, value: str, masks: list[list[float]], siftings: int, cut=None) -> DataFrame:
     """(key, row_ix, level, value): for each mask the rest loses its mode, the last rest is level 0.
 
-    A mode starts as the rest and loses its own filtered self `siftings` times. cut: what cuts the plan after each level (a
-    checkpoint on long runs)."""
+    A mode starts as the rest and loses its own filtered self `siftings` times. cut: what cuts the plan after each level, a
+    table in the shared folder by default, since both the level and the rest read it."""
+    cut = cut or (lambda df: written(df, "emd"))
     rest = df.select(key, "row_ix", F.col(value).cast("double").alias("rest"))
     levels = None
     for i, mask in enumerate(masks):
@@ -84,8 +89,7 @@ def recompose(levels: DataFrame, keys: list[str], product: bool = False) -> Data
     """(keys, value): the sum of levels, or their product."""
     if not product:
         return levels.groupBy(*keys).agg(F.sum("value").alias("value"))
-    values = F.transform(F.array_sort(F.collect_list(F.struct("level", "value"))), lambda x: x["value"])
-    return levels.groupBy(*keys).agg(F.aggregate(values, F.lit(1.0), lambda s, x: s * x).alias("value"))
+    return levels.groupBy(*keys).agg(F.product("value").alias("value"))
 
 
 HAAR = [math.sqrt(0.5), math.sqrt(0.5)]
@@ -143,6 +147,77 @@ def idwt(df: DataFrame, key: str, taps: list[float]) -> DataFrame:
     return spread.groupBy(key, at.alias("row_ix")).agg(F.sum(F.col("low") * F.col("_t")["0"] + F.col("high") * F.col("_t")["1"]).alias("value"))
 
 
+def swt(df: DataFrame, key: str, value: str, taps: list[float], levels: int) -> DataFrame:
+    """(key, row_ix, w1..wJ, v): the undecimated transform, circular; the filters of level j reach 2^(j-1) rows a tap. A series whose length is no multiple
+    of 2^levels is filled up with its last value (see padded)."""
+    got = with_size(df.select(key, "row_ix", F.col(value).cast("double").alias("v")), key)
+    for j in range(1, levels + 1):
+        got = fir(got, key, "v", high_of(taps), 2 ** (j - 1), f"w{j}", True)
+        got = fir(got, key, "v", taps, 2 ** (j - 1), "_v", True).drop("v").withColumnRenamed("_v", "v")
+    return got
+
+
+def iswt(df: DataFrame, key: str, taps: list[float], levels: int) -> DataFrame:
+    """(key, row_ix, value) from swt's table: of both filters turned forward, half the sum at each level."""
+    got = df if "n_rows" in df.columns else with_size(df, key)
+    for j in range(levels, 0, -1):
+        got = _ahead(got, key, f"w{j}", high_of(taps), 2 ** (j - 1), "_w")
+        got = _ahead(got, key, "v", taps, 2 ** (j - 1), "_l").withColumn("v", (F.col("_w") + F.col("_l")) / 2).drop("_w", "_l")
+    return got.select(key, "row_ix", F.col("v").alias("value"))
+
+
+def padded(df: DataFrame, key: str, value: str, levels: int) -> DataFrame:
+    """(key, row_ix, value, n_own): rows up to the next multiple of 2^levels, those behind the series' own n_own with its last value."""
+    own = df.select(key, "row_ix", F.col(value).cast("double").alias("value"))
+    ends = own.groupBy(key).agg((F.max("row_ix") + 1).alias("n_own"), F.max_by("value", "row_ix").alias("value"))
+    full = F.ceil(F.col("n_own") / 2**levels).cast("long") * 2**levels
+    more = grid(ends.withColumn("_full", full).filter("_full > n_own"), "n_own", "_full", 1, "row_ix").select(key, "row_ix", "value", "n_own")
+    return own.join(ends.select(key, "n_own"), key).select(key, "row_ix", "value", "n_own").unionByName(more)
+
+
+def dwt_symmetric(df: DataFrame, key: str, value: str, taps: list[float]) -> DataFrame:
+    """(key, row_ix, low, high, n_rows): the transform of a series mirrored at both ends (its edge rows twice), floor((n + L - 1) / 2) coefficients.
+
+    Series have as many rows as taps at least."""
+    size = len(taps)
+    n = df.groupBy(key).agg((F.max("row_ix") + 1).alias("n_rows")).withColumn("_to", F.floor((F.col("n_rows") + size - 1) / 2).cast("long"))
+    asked = grid(n.withColumn("_from", F.lit(0).cast("long")), "_from", "_to", 1, "k").select(key, "n_rows", "k", F.posexplode(F.arrays_zip(_array(taps), _array(high_of(taps)))).alias("_l", "_t"))
+    at = 2 * F.col("k") + 1 - F.col("_l")
+    source = F.when(at < 0, -1 - at).when(at >= F.col("n_rows"), 2 * F.col("n_rows") - 1 - at).otherwise(at)
+    rows = df.select(key, F.col("row_ix").alias("_s"), F.col(value).cast("double").alias("_x"))
+    both = asked.withColumn("_s", source).join(rows, [key, "_s"])
+    return both.groupBy(key, F.col("k").alias("row_ix"), "n_rows").agg(F.sum(F.col("_x") * F.col("_t")["0"]).alias("low"), F.sum(F.col("_x") * F.col("_t")["1"]).alias("high")).select(key, "row_ix", "low", "high", "n_rows")
+
+
+def idwt_symmetric(df: DataFrame, key: str, taps: list[float]) -> DataFrame:
+    """(key, row_ix, value): the inverse of dwt_symmetric, for orthonormal taps."""
+    spread = df.select(key, "n_rows", F.col("row_ix").alias("_r"), "low", "high", F.posexplode(F.arrays_zip(_array(taps), _array(high_of(taps)))).alias("_l", "_t"))
+    rows = spread.withColumn("at", 2 * F.col("_r") + 1 - F.col("_l")).filter("at >= 0 AND at < n_rows")
+    return rows.groupBy(key, F.col("at").alias("row_ix")).agg(F.sum(F.col("low") * F.col("_t")["0"] + F.col("high") * F.col("_t")["1"]).alias("value"))
+
+
+def best_basis(df: DataFrame, key: str, value: str, taps: list[float], depth: int) -> DataFrame:
+    """(key, node, cost): the nodes of the packet tree whose Shannon costs together are least; a node stays whole where its own cost is no larger
+    than that of the best below it. node is the path from the root ("")."""
+    x2 = F.col("value") * F.col("value")
+    levels = [df.select(key, F.lit("").alias("node"), F.col(value).cast("double").alias("value"))] + [packets(df, key, value, taps, d) for d in range(1, depth + 1)]
+    costs = [t.groupBy(key, "node").agg(F.round(F.sum(F.when(x2 > 0, -x2 * F.log(x2)).otherwise(0.0)), 9).alias("cost")) for t in levels]
+    best = written(costs[-1].select(key, "node", "cost", F.col("cost").alias("least"), F.lit(False).alias("split")), "basis")
+    tree = [best]
+    for level in reversed(costs[:-1]):
+        below = best.groupBy(key, F.expr("left(node, length(node) - 1)").alias("node")).agg(F.sum("least").alias("below"))
+        best = written(level.join(below, [key, "node"]).select(key, "node", "cost", F.least("cost", "below").alias("least"), (F.col("below") < F.col("cost")).alias("split")), "basis")
+        tree.append(best)
+    out, reached = None, tree[-1]
+    for under in [*reversed(tree[:-1]), None]:
+        whole = reached.filter("NOT split").select(key, "node", "cost")
+        out = whole if out is None else out.unionByName(whole)
+        if under is not None:
+            opened = reached.filter("split").select(key, F.explode(F.array(F.concat("node", F.lit("0")), F.concat("node", F.lit("1")))).alias("node"))
+            reached = under.join(opened, [key, "node"], "left_semi")
+    return out
+
+
 def packets(df: DataFrame, key: str, value: str, taps: list[float], depth: int) -> DataFrame:
     """(key, node, row_ix, value): DWT applied to both branches `depth` times; node is the path, 1 for high."""
     now = with_size(df.select(key, F.lit("").alias("node"), "row_ix", F.col(value).cast("double").alias("value")), key)
@@ -173,7 +248,7 @@ def cwt(df: DataFrame, key: str, value: str, scales: list[float]) -> DataFrame:
 
 def stft(df: DataFrame, key: str, value: str, size: int, step: int = 1) -> DataFrame:
     """(key, frame, bin, re, im): the DFT of every full frame of `size` rows that starts at a multiple of `step`; bins 0..size/2."""
-    got = _behind(df.select(key, "row_ix", F.col(value).cast("double").alias("v")), key, "v", size - 1, False, BLOCK).filter(F.size("_x") == size)
+    got = behind(df.select(key, "row_ix", F.col(value).cast("double").alias("v")), key, "v", size - 1, False, BLOCK).filter(F.size("_x") == size)
     got = got.withColumn("frame", F.col("row_ix") - size + 1).filter(F.pmod("frame", F.lit(step)) == 0)
     basis = lambda f, s: F.array(*[_array([s * f(2 * math.pi * k * i / size) for i in range(size)]) for k in range(size // 2 + 1)])
     part = lambda b: F.aggregate(F.zip_with("_x", b[F.col("bin")], lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
@@ -245,7 +320,8 @@ def rotation_bank(df: DataFrame, key: str, value: str, omegas: list[float], alph
         pdf = pdf.sort_values("row_ix")
         return pd.DataFrame({"k": pdf["k"], "row_ix": pdf["row_ix"], "modes": run(pdf, np.array(pdf["start"].iloc[0])).tolist()})
 
-    rows = df.select(F.col(key).cast("long").alias("k"), "row_ix", F.col(value).cast("double").alias("v"), F.floor(F.col("row_ix") / block).cast("long").alias("b"))
-    states = rows.groupBy("k", "b").applyInPandas(final_state, "k long, b long, n long, s array<double>")
-    starts = states.groupBy("k").applyInPandas(carried, "k long, b long, start array<double>")
-    return rows.join(starts, ["k", "b"]).groupBy("k", "b").applyInPandas(replay, "k long, row_ix long, modes array<double>").withColumnRenamed("k", key)
+    kind = df.schema[key].dataType.simpleString()
+    rows = df.select(F.col(key).alias("k"), "row_ix", F.col(value).cast("double").alias("v"), F.floor(F.col("row_ix") / block).cast("long").alias("b"))
+    states = rows.groupBy("k", "b").applyInPandas(final_state, f"k {kind}, b long, n long, s array<double>")
+    starts = states.groupBy("k").applyInPandas(carried, f"k {kind}, b long, start array<double>")
+    return rows.join(starts, ["k", "b"]).groupBy("k", "b").applyInPandas(replay, f"k {kind}, row_ix long, modes array<double>").withColumnRenamed("k", key)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .core import in_order
+
 
 def basic(df: DataFrame, key: str, value: str) -> DataFrame:
     """Mean, sums, extremes and spread of a value by series, of itself and of its size."""
@@ -22,8 +24,8 @@ def deviation_score(value: Column) -> Column:
 
 def band_means(df: DataFrame, key: str, value: str, q: float) -> DataFrame:
     """Means of the lowest and highest share q of |value|, and of what lies between."""
-    w = Window.partitionBy(key)
-    ranked = df.withColumn("_n", F.count("*").over(w)).withColumn("_r", F.row_number().over(w.orderBy(F.abs(F.col(value)), F.col(value)))).withColumn("_k", F.greatest(F.floor(F.col("_n") * q), F.lit(1)))
+    ids = df.withColumn("_id", F.monotonically_increasing_id())
+    ranked = in_order(ids, key, [F.abs(F.col(value)), F.col(value), F.col("_id")], "_r").withColumn("_n", F.col("_r_of")).withColumn("_k", F.greatest(F.floor(F.col("_n") * q), F.lit(1)))
     size = F.abs(F.col(value))
     low, high = F.col("_r") <= F.col("_k"), F.col("_r") > F.col("_n") - F.col("_k")
     return ranked.groupBy(key).agg(F.avg(F.when(low, size)).alias("low"), F.avg(F.when(~low & ~high, size)).alias("middle"), F.avg(F.when(high, size)).alias("high"))

@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .core import in_order
+from .spectral import behind
+
 
 def circular_mean(df: DataFrame, key: str, value: str, radius: int, out: str = "mean") -> DataFrame:
     """Mean over 2*radius+1 neighbours by row_ix, wrapping round each series' ends."""
@@ -18,10 +21,13 @@ def circular_mean(df: DataFrame, key: str, value: str, radius: int, out: str = "
     return df.join(means, [key, "row_ix"])
 
 
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+
 def norm_trailing(df: DataFrame, key: str, value: str, bins: int, out: str = "smooth") -> DataFrame:
     """From row `bins` on the sum of bins+1 values over bins, before it the value; then shifted to keep the series' total."""
-    w = Window.partitionBy(key).orderBy("row_ix").rowsBetween(-bins, 0)
-    rows = df.withColumn("_s", F.when(F.col("row_ix") >= bins, F.sum(value).over(w) / bins).otherwise(F.col(value)))
+    rows = behind(df, key, value, bins).withColumn("_s", F.when(F.col("row_ix") >= bins, _total(F.col("_x")) / bins).otherwise(F.col(value))).drop("_x")
     shift = rows.groupBy(key).agg(((F.sum(value) - F.sum("_s")) / F.count("*")).alias("_d"))
     return rows.join(shift, key).withColumn(out, F.col("_s") + F.col("_d")).drop("_s", "_d")
 
@@ -50,8 +56,9 @@ def stretched(df: DataFrame, key: str, value: str, factor: float, out: str = "st
 
 def moving(df: DataFrame, key: str, value: str, n: int) -> DataFrame:
     """Simple moving mean and population deviation over the last n rows."""
-    w = Window.partitionBy(key).orderBy("row_ix").rowsBetween(1 - n, 0)
-    return df.withColumn("sma", F.avg(value).over(w)).withColumn("sdev", F.stddev_pop(value).over(w))
+    got = behind(df, key, value, n - 1).withColumn("sma", _total(F.col("_x")) / F.size("_x"))
+    squares = F.transform("_x", lambda x: (x - F.col("sma")) * (x - F.col("sma")))
+    return got.withColumn("sdev", F.sqrt(_total(squares) / F.size("_x"))).drop("_x")
 
 
 def chunked(df: DataFrame, key: str, size: int, overlap: float) -> DataFrame:
@@ -73,14 +80,12 @@ def worst_rows(df: DataFrame, key: str, label: str, drop: int) -> DataFrame:
     """df without the `drop` rows of each series whose summed distance to all labels is largest.
 
     Over sorted labels the sum of |L_i - L_j| follows from the prefix sum, so no pairs are formed."""
-    w = Window.partitionBy(key).orderBy(label, "row_ix")
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(key)
-    i, n = F.row_number().over(w), F.count("*").over(whole)
-    before, total = F.sum(label).over(run), F.sum(label).over(whole)
-    score = F.col(label) * (2 * i - n) + total - 2 * before
-    ranked = df.withColumn("score", score).withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.round("score", 6).desc(), "row_ix")))
-    return ranked.filter(F.col("_r") > drop).drop("_r")
+    got = in_order(df, key, [F.col(label), F.col("row_ix")], "_i", {"_run": F.col(label)})
+    totals = df.groupBy(key).agg(F.sum(label).alias("_total"))
+    score = F.col(label) * (2 * F.col("_i") - F.col("_i_of")) + F.col("_total") - 2 * F.col("_run")
+    scored = got.join(totals, key).withColumn("score", score).withColumn("_s", -F.round("score", 6))
+    ranked = in_order(scored.select(*df.columns, "score", "_s"), key, [F.col("_s"), F.col("row_ix")], "_r")
+    return ranked.filter(F.col("_r") > drop).drop("_r", "_r_of", "_s")
 
 
 def weights_from_scores(df: DataFrame, key: str, score: str) -> DataFrame:
