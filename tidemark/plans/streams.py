@@ -2,29 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from tidemark.operators import core
-from tidemark.operators.core import DAY, HOUR
-from tidemark.sources import files
+from tidemark.operators.core import DAY, HOUR, micros
+from tidemark.shared import shared_path
+from tidemark.sources import files, requests
 from tidemark.streaming import jobs
 
 from .tables import TICKS, main_series, query, r6, read, ticks
 
 
 def folder(spark, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='spark-tidemark-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared_path(spark, name)
 
 
-def stream(spark, d):
-    return jobs.tick_stream(spark, f"{d}/events.parquet")
+def streamed(spark, d, name: str, build, mode: str = "append"):
+    """What build(stream) gives of the events, fed in ranges of time, as a table."""
+    to = folder(spark, name)
+    out = []
+    jobs.replay(spark, f"{d}/events.parquet", to, lambda ticks: out.append(jobs.run_once(build(ticks), to, mode)))
+    return out[-1]
 
 
 CUT = 1705276800000000
@@ -39,14 +37,20 @@ def bulk_append_sink(spark, d):
 
 @query("key_replace_sink", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM orders")
 def key_replace_sink(spark, d):
-    o = read(spark, d, "orders").select("o_orderkey")
-    return core.replace_keys(o.withColumn("state", F.lit("old")), o.filter("o_orderkey % 3 = 0").withColumn("state", F.lit("new")), ["o_orderkey"])
+    """Saves all keys, then every third one again with another state, and reads the table back."""
+    to, o = folder(spark, "saved"), read(spark, d, "orders").select("o_orderkey")
+    files.replace_into(to, o.withColumn("state", F.lit("old")), ["o_orderkey"])
+    files.replace_into(to, o.filter("o_orderkey % 3 = 0").withColumn("state", F.lit("new")), ["o_orderkey"])
+    return spark.read.parquet(to).select("o_orderkey", "state")
 
 
 @query("row_upsert_sink", "SELECT series, max(t) AS t, arg_max(price, t) AS price FROM {ticks} GROUP BY series")
 def row_upsert_sink(spark, d):
-    t = ticks(spark, d).select("series", "t", "price")
-    return files.upserted(t.filter("t < 0"), t, ["series"], "t")
+    """Upserts the ticks before a time, then those from it on into the rows stored by then."""
+    to, t = folder(spark, "upserted"), ticks(spark, d).select("series", "t", "price")
+    files.upsert_into(to, t.filter(F.col("t") < CUT), ["series"], "t")
+    files.upsert_into(to, t.filter(F.col("t") >= CUT), ["series"], "t")
+    return spark.read.parquet(to).select("series", "t", "price")
 
 
 @query("typed_header_source", "SELECT event_id, round(price, 6) AS price, true AS absent_is_nan FROM {ticks}")
@@ -98,29 +102,36 @@ def response_sink(spark, d):
     return files.merged_response(narrow, ["series", "t"], ["price", "n"])
 
 
-@query("stream_tail_overwrite", "SELECT event_id, series, t, price FROM {ticks}")
-def stream_tail_overwrite(spark, d):
-    to = folder(spark, "tail")
-    rows = stream(spark, d).select("event_id", "series", F.unix_micros("ts").alias("t"), "price")
-    last = []
+def _versions(spark, d, name: str, rows, put):
+    """The last version of a table that a foreachBatch writer keeps, after all ranges of the events."""
+    to, last = folder(spark, name), []
 
-    def put(batch, number):
-        jobs.tail_overwriting(to, "series", "t")(batch, number)
+    def each(batch, number):
+        put(to)(batch, number)
         last.append(number)
 
-    jobs.run_batches(rows, to, put)
+    jobs.replay(spark, f"{d}/events.parquet", to, lambda ticks: jobs.run_batches(rows(ticks), to, each))
     return spark.read.parquet(f"{to}/v{max(last)}")
 
 
-@query("stream_key_replace", "SELECT event_id, series, price FROM {ticks}")
+@query("stream_tail_overwrite", "SELECT event_id, series, t, price FROM {ticks}")
+def stream_tail_overwrite(spark, d):
+    rows = lambda s: s.select("event_id", "series", F.unix_micros("ts").alias("t"), "price")
+    return _versions(spark, d, "tail", rows, lambda to: jobs.tail_overwriting(to, "series", "t"))
+
+
+@query("stream_key_replace", "SELECT slot, arg_max(price, (t, event_id)) AS price FROM (SELECT *, event_id % 100 AS slot FROM {ticks}) GROUP BY slot")
 def stream_key_replace(spark, d):
+    """Each batch brings the last price of a hundred slots; what is stored of a slot gives way."""
     to, last = folder(spark, "replace"), []
 
     def put(batch, number):
-        jobs.key_replacing(to, ["event_id"])(batch, number)
+        newest = batch.groupBy("slot").agg(F.max_by("price", F.struct("ts", "event_id")).alias("price"))
+        jobs.key_replacing(to, ["slot"])(newest, number)
         last.append(number)
 
-    jobs.run_batches(stream(spark, d).select("event_id", "series", "price"), to, put)
+    rows = lambda s: s.select((F.col("event_id") % 100).alias("slot"), "event_id", "ts", "price")
+    jobs.replay(spark, f"{d}/events.parquet", to, lambda s: jobs.run_batches(rows(s), to, put))
     return spark.read.parquet(f"{to}/v{max(last)}")
 
 
@@ -129,41 +140,48 @@ _CLOSED = f"(SELECT series, t // {HOUR} * {HOUR} AS start, avg(price) AS price,
 
 @query("stream_tumbling_bars", f"SELECT series, start, round(price, 6) AS price, open, high, low, close, n FROM {_CLOSED} WHERE start + {HOUR} <= (SELECT max(t) FROM {TICKS}) // 1000 * 1000 - 3600000000")
 def stream_tumbling_bars(spark, d):
-    got = jobs.run_once(jobs.tumbling_bars(stream(spark, d), "1 hour", "1 hour"), folder(spark, "bars"))
+    got = streamed(spark, d, "bars", lambda s: jobs.tumbling_bars(s, "1 hour", "1 hour"))
     return got.select("series", F.unix_micros("start").alias("start"), r6("price", "price"), "open", "high", "low", "close", "n")
 
 
-@query("stream_live_second_bars")
+#: A stream's watermark: the newest time, in whole milliseconds, less what may be late.
+_MARK = f"((SELECT max(t) FROM {TICKS}) // 1000 * 1000 - {{0}})"
+
+
+@query("stream_live_second_bars", f"SELECT series, t // 1000000 * 1000000 AS start, round(avg(price), 6) AS price, count(*) AS n FROM {TICKS} GROUP BY ALL HAVING start + 1000000 <= {_MARK.replace('{0}', '600000000')}")
 def stream_live_second_bars(spark, d):
-    got = jobs.run_once(jobs.tumbling_bars(stream(spark, d), "1 second", "10 minutes"), folder(spark, "secs"))
+    got = streamed(spark, d, "secs", lambda s: jobs.tumbling_bars(s, "1 second", "10 minutes"))
     return got.select("series", F.unix_micros("start").alias("start"), r6("price", "price"), "n")
 
 
-@query("stream_trailing_twap")
+@query("stream_trailing_twap", f"""WITH w AS (SELECT series, t, price, (t // {12 * HOUR} + k) * {12 * HOUR} AS until FROM {TICKS}, (VALUES (1), (2)) v(k)), l AS (SELECT *, lag(t) OVER p AS pt, lag(price) OVER p AS pp FROM w WINDOW p AS (PARTITION BY series, until ORDER BY t, price))
+SELECT series, until, round(CASE WHEN sum(t - pt) > 0 THEN sum((price + pp) / 2 * (t - pt)) / sum(t - pt) ELSE arg_max(price, (t, price)) END, 6) AS twap FROM l GROUP BY series, until HAVING until <= {_MARK.replace('{0}', '3600000000')}""")
 def stream_trailing_twap(spark, d):
-    got = jobs.run_once(jobs.trailing_twap(stream(spark, d), "1 day", "12 hours", "1 hour"), folder(spark, "twap"))
+    got = streamed(spark, d, "twap", lambda s: jobs.trailing_twap(s, "1 day", "12 hours", "1 hour"))
     return got.select("series", F.unix_micros("until").alias("until"), r6("twap", "twap"))
 
 
 @query("stream_state_retention", f"SELECT series, max(t) AS t, count(*) AS kept FROM {TICKS} JOIN (SELECT series AS s, max(t) AS newest FROM {TICKS} GROUP BY 1) ON s = series AND t > newest - 50 * {HOUR} GROUP BY series")
 def stream_state_retention(spark, d):
-    got = jobs.run_once(jobs.retained(stream(spark, d), 50, HOUR), folder(spark, "kept"))
+    got = streamed(spark, d, "kept", lambda s: jobs.retained(s, 50, HOUR))
     return got.groupBy("series").agg(F.max_by(F.struct("t", "kept"), "t").alias("r")).select("series", "r.*")
 
 
-@query("stream_last_good_fallback")
+@query("stream_last_good_fallback", f"""WITH s AS (SELECT series, t // {HOUR} AS slot, avg(price) AS price FROM {TICKS} GROUP BY ALL), n AS (SELECT *, lead(slot) OVER (PARTITION BY series ORDER BY slot) AS next FROM s)
+SELECT series, slot, round(price, 6) AS price, true AS fresh FROM n WHERE next IS NOT NULL
+UNION ALL SELECT series, unnest(range(slot + 1, least(next, slot + 11))) AS slot, round(price, 6), false FROM n WHERE next IS NOT NULL""")
 def stream_last_good_fallback(spark, d):
-    return jobs.run_once(jobs.last_good(stream(spark, d), HOUR, 10), folder(spark, "good")).select("series", "slot", r6("price", "price"), "fresh")
+    return streamed(spark, d, "good", lambda s: jobs.last_good(s, HOUR, 10)).select("series", "slot", r6("price", "price"), "fresh")
 
 
 @query("stream_self_requests")
 def stream_self_requests(spark, d):
-    return jobs.run_once(jobs.self_requests(stream(spark, d), DAY, 3 * HOUR), folder(spark, "asks"))
+    return streamed(spark, d, "asks", lambda s: jobs.self_requests(s, DAY, 3 * HOUR))
 
 
 @query("stream_online_modes")
 def stream_online_modes(spark, d):
-    got = jobs.run_once(jobs.online_modes(stream(spark, d), [0.1, 0.7]), folder(spark, "modes"))
+    got = streamed(spark, d, "modes", lambda s: jobs.online_modes(s, [0.1, 0.7]))
     return got.select("series", "t", F.transform("modes", lambda x: F.round(x, 6)).alias("modes"))
 
 
@@ -175,10 +193,31 @@ def increment_detection(spark, d):
     return t.join(marks, "series").groupBy("series").agg(F.min(F.when(new, F.col("t"))).alias("first_new"), F.count_if(new).alias("fresh"))
 
 
-@query("open_requests", "SELECT o_custkey, o_orderpriority, max(o_orderkey) AS request_id FROM orders WHERE o_orderstatus = 'O' GROUP BY ALL")
+@query("open_requests", "SELECT o_custkey, o_orderpriority, epoch_us(o_orderdate) AS end_t, max(o_orderkey) AS request_id FROM orders WHERE o_orderstatus <> 'F' GROUP BY ALL")
 def open_requests(spark, d):
-    """The newest unprocessed request for each (user, dataset)."""
-    return read(spark, d, "orders").filter("o_orderstatus = 'O'").groupBy("o_custkey", "o_orderpriority").agg(F.max("o_orderkey").alias("request_id"))
+    """The newest unprocessed request for each (user, dataset, range), by end time."""
+    return requests.open_requests(_requests(spark, d)).select(F.col("user_id").alias("o_custkey"), F.col("dataset").alias("o_orderpriority"), "end_t", "request_id")
+
+
+_FORCED, _PRUNED = 820454400000000, 757382400000000
+
+
+def _requests(spark, d):
+    o = read(spark, d, "orders")
+    return o.select(F.col("o_orderkey").alias("request_id"), F.col("o_custkey").alias("user_id"), F.col("o_orderpriority").alias("dataset"), (micros("o_orderdate") - DAY).alias("start_t"), micros("o_orderdate").alias("end_t"), (F.col("o_orderstatus") == "F").alias("processed"))
+
+
+@query("request_life_cycle", f"""WITH r AS (SELECT o_orderkey AS request_id, o_custkey AS user_id, o_orderpriority AS dataset, epoch_us(o_orderdate) - {DAY} AS start_t, epoch_us(o_orderdate) AS end_t, o_orderstatus = 'F' OR o_orderkey % 4 = 0 OR epoch_us(o_orderdate) < {_FORCED} AS processed FROM orders)
+SELECT * FROM r WHERE NOT (processed AND end_t < {_PRUNED})""")
+def request_life_cycle(spark, d):
+    """Requests saved, some marked done, overdue ones closed, old closed ones pruned, read back after each step."""
+    new = _requests(spark, d)
+    to, kept = folder(spark, "requests"), folder(spark, "requests-kept")
+    files.replace_into(to, new, requests.KEY)
+    requests.mark_done(to, requests.table(spark, to, new.schema), new.filter("request_id % 4 = 0"))
+    requests.force_finalize(to, requests.table(spark, to, new.schema), _FORCED)
+    files.replace_into(kept, requests.pruned(requests.table(spark, to, new.schema), _PRUNED), requests.KEY)
+    return requests.table(spark, kept, new.schema)
 
 
 @query("request_grid_expansion", f"SELECT series, unnest(range(t, t + greatest((n - 1) * {12 * HOUR}, 1), {6 * HOUR})) AS t FROM {{main}}")

@@ -6,6 +6,7 @@ overwrites the tail.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,11 +17,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from tidemark.operators.core import micros, overlay, replace_keys
 
 
-def tick_stream(spark: SparkSession, path: str, files_a_trigger: int = 8) -> DataFrame:
-    """Ticks of an events table as a stream."""
-    schema = spark.read.parquet(path).schema
-    # a glob, since a stream's plain path has to be a folder and the table may be one file
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_trigger).parquet(f"{path[:-1]}[{path[-1]}]")
+def tick_stream(spark: SparkSession, path: str) -> DataFrame:
+    """Ticks of an events folder as a stream; a trigger takes all files that are new."""
+    raw = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     return raw.select("event_id", F.col("user_id").alias("series"), F.timestamp_micros(micros("ts")).alias("ts"), F.col("value").alias("price"), F.get_json_object("props", "$.k").cast("long").alias("qty"))
 
 
@@ -31,6 +30,24 @@ def run_once(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
+def replay(spark: SparkSession, path: str, folder: str, step, ranges: int = 3) -> None:
+    """Feeds an events table to a stream in `ranges` ranges of time, oldest first, each as one micro-batch.
+
+    step(stream) runs the stream over what is there; its checkpoint goes on where the range before left it. So batches come in order of time, as a live
+    feed brings them, however many files the table has."""
+    events = spark.read.parquet(path)
+    ends = events.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).first()
+    if ends["lo"] is None:
+        events.write.mode("append").parquet(f"{folder}/in")
+        step(tick_stream(spark, f"{folder}/in"))
+        return
+    cuts = [ends["lo"] + (ends["hi"] - ends["lo"]) * i / ranges for i in range(1, ranges)]
+    place = sum((F.col("ts") >= F.lit(c).cast("timestamp_ntz")).cast("int") for c in cuts) if cuts else F.lit(0)
+    for i in range(ranges):
+        events.filter(place == i).write.mode("append").parquet(f"{folder}/in")
+        step(tick_stream(spark, f"{folder}/in"))
+
+
 def run_batches(stream: DataFrame, folder: str, each) -> None:
     """Calls each(batch, number) for all that is there now."""
     stream.writeStream.foreachBatch(each).option("checkpointLocation", f"{folder}/marks").trigger(availableNow=True).start().awaitTermination()
@@ -91,23 +108,30 @@ def retained(stream: DataFrame, periods: int, period_us: int) -> DataFrame:
 
 
 def last_good(stream: DataFrame, period_us: int, valid: int) -> DataFrame:
-    """(series, slot, price, fresh): the average of each period; an empty one gets the last good one, for up to `valid` periods."""
+    """(series, slot, price, fresh): the average of each period; an empty one gets the last good one, for up to `valid` periods.
+
+    A series' newest period stays open in the state (its sum and count) and comes out once a later one begins, so results are the same however the
+    ticks are split into batches. Ticks of a period that is closed are late: they are for the batch repair job. State and each batch's sums are
+    as large as the periods that a batch spans, not as its ticks."""
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches))
-        got = rows.assign(slot=rows["t"] // period_us).groupby("slot")["price"].mean().sort_index()
-        slot, price = state.get if state.exists else (None, None)
-        out = []
-        for s, p in got.items():
-            if slot is not None:
-                out += [(key[0], x, price, False) for x in range(slot + 1, min(int(s), slot + 1 + valid))]
-            out.append((key[0], int(s), float(p), True))
-            slot, price = int(s), float(p)
-        state.update((slot, price))
-        yield pd.DataFrame(out, columns=["series", "slot", "price", "fresh"])
+        opened, total, n = state.get if state.exists else (None, 0.0, 0)
+        sums = {opened: (total, n)} if opened is not None else {}
+        for rows in batches:
+            for s, part in rows.assign(slot=rows["t"] // period_us).groupby("slot")["price"]:
+                if opened is None or s >= opened:
+                    before = sums.get(int(s), (0.0, 0))
+                    sums[int(s)] = before[0] + float(part.sum()), before[1] + len(part)
+        slots, out = sorted(sums), []
+        for s, following in itertools.pairwise(slots):
+            price = sums[s][0] / sums[s][1]
+            out += [(key[0], s, price, True), *((key[0], x, price, False) for x in range(s + 1, min(following, s + 1 + valid)))]
+        state.update((slots[-1], *sums[slots[-1]]))
+        if out:
+            yield pd.DataFrame(out, columns=["series", "slot", "price", "fresh"])
 
     rows = stream.select("series", F.unix_micros("ts").alias("t"), "price")
-    return rows.groupBy("series").applyInPandasWithState(step, "series long, slot long, price double, fresh boolean", "slot long, price double", "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("series").applyInPandasWithState(step, "series long, slot long, price double, fresh boolean", "opened long, total double, n long", "append", GroupStateTimeout.NoTimeout)
 
 
 def self_requests(stream: DataFrame, resolution_us: int, horizon_us: int) -> DataFrame:
@@ -119,7 +143,8 @@ def self_requests(stream: DataFrame, resolution_us: int, horizon_us: int) -> Dat
         due = (newest + horizon_us) // resolution_us * resolution_us
         out = list(range(done + resolution_us, due + 1, resolution_us))
         state.update((max(done, due),))
-        yield pd.DataFrame({"series": [key[0]] * len(out), "main_t": out}, columns=["series", "main_t"]).astype("int64")
+        if out:
+            yield pd.DataFrame({"series": [key[0]] * len(out), "main_t": out})
 
     rows = stream.select("series", F.unix_micros("ts").alias("t"))
     return rows.groupBy("series").applyInPandasWithState(step, "series long, main_t long", "done long", "append", GroupStateTimeout.NoTimeout)
