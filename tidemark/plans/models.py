@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import core, frames
 from tidemark.operators.core import DAY, HOUR
+from tidemark.shared import written
 
 from .stats import FORECASTS, forecasts
 from .tables import query, r6, read, ticks
@@ -78,7 +79,7 @@ def _label_feature(spark, d):
 
 @query("shift_stretch_alignment", f"""WITH g AS (SELECT * FROM (VALUES (0), (1), (2)) a(sh), (VALUES (1.0::DOUBLE), (0.75::DOUBLE), (0.5::DOUBLE)) b(st)),
 s AS (SELECT l.series, sh, st, avg(abs(l.v - f.v)) AS score FROM {_L} l JOIN g ON l.row_ix >= sh JOIN {_FEAT} f ON f.series = l.series AND f.row_ix = CAST(floor((l.row_ix - sh) * st) AS BIGINT) GROUP BY ALL)
-SELECT series, round(score, 4) AS score, CAST(sh AS BIGINT) AS shift, st AS stretch FROM s QUALIFY row_number() OVER (PARTITION BY series ORDER BY round(score, 9), sh, st DESC) = 1""")
+SELECT series, round(round(score, 9), 4) AS score, CAST(sh AS BIGINT) AS shift, st AS stretch FROM s QUALIFY row_number() OVER (PARTITION BY series ORDER BY round(score, 9), sh, st DESC) = 1""")
 def shift_stretch_alignment(spark, d):
     return frames.alignment(*_label_feature(spark, d), "series", [0, 1, 2], [1.0, 0.75, 0.5]).select("series", F.round("score", 4).alias("score"), "shift", "stretch")
 
@@ -100,12 +101,12 @@ def feature_tuning(spark, d):
     return out.groupBy("series").agg(F.min(F.struct(F.round("score", 6).alias("score"), "quantum", "shift")).alias("b")).select("series", "b.*")
 
 
-#: Chunks of 25 vectors, of which the first eight components count.
-_V = "(SELECT vec_id, vec_id // 25 AS chunk, list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE)) AS x, CAST(label AS DOUBLE) AS y FROM embeddings)"
+#: Chunks of 25 vectors.
+_V = "(SELECT vec_id, vec_id // 25 AS chunk, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x, CAST(label AS DOUBLE) AS y FROM embeddings)"
 
 
 def _vectors(spark, d):
-    return read(spark, d, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 25).cast("long").alias("chunk"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("x"), F.col("label").cast("double").alias("y"))
+    return read(spark, d, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 25).cast("long").alias("chunk"), F.transform("embedding", lambda x: x.cast("double")).alias("x"), F.col("label").cast("double").alias("y"))
 
 
 _D2 = "list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
@@ -163,18 +164,21 @@ def chunked_kernel_fit(spark, d):
 
 @query("chunked_prediction")
 def chunked_prediction(spark, d):
+    """Every fifth row, predicted by the models of its group's four chunks, which are fitted to the other rows."""
     v = _vectors(spark, d).withColumn("group", F.floor(F.col("chunk") / 4))
-    models = frames.fit_chunks(v, ["group", "chunk"], 0.5)
-    return frames.predict_chunks(v, models, ["group"], ["vec_id"]).select("vec_id", r6("prediction", "prediction"))
+    models = frames.fit_chunks(v.filter("vec_id % 5 <> 0"), ["group", "chunk"], 0.5)
+    return frames.predict_chunks(v.filter("vec_id % 5 = 0"), models, ["group"], ["vec_id"]).select("vec_id", r6("prediction", "prediction"))
 
 
 @query("residual_models")
 def residual_models(spark, d):
-    """A second model of each chunk learns what the first leaves; the forecast is the sum of both."""
+    """A chunk's first model learns from its even rows, the second from what the first leaves on the odd ones, which it hasn't seen; the forecast of
+    every row is the sum of both."""
     v = _vectors(spark, d)
-    first = frames.predict_chunks(v, frames.fit_chunks(v, ["chunk"], 0.1, 1.0), ["chunk"], ["vec_id"]).withColumnRenamed("prediction", "p1")
-    left = v.join(first, ["chunk", "vec_id"]).withColumn("y", F.col("y") - F.col("p1"))
-    second = frames.predict_chunks(left, frames.fit_chunks(left.select("chunk", "vec_id", "x", "y"), ["chunk"], 1.0, 0.1), ["chunk"], ["vec_id"])
+    first = frames.predict_chunks(v, frames.fit_chunks(v.filter("vec_id % 2 = 0"), ["chunk"], 0.1, 1.0), ["chunk"], ["vec_id"]).withColumnRenamed("prediction", "p1")
+    left = written(v.join(first, ["chunk", "vec_id"]).withColumn("y", F.col("y") - F.col("p1")), "residuals")
+    learn = left.filter("vec_id % 2 = 1").select("chunk", "vec_id", "x", "y")
+    second = frames.predict_chunks(left, frames.fit_chunks(learn, ["chunk"], 1.0, 0.1), ["chunk"], ["vec_id"])
     return left.join(second, ["chunk", "vec_id"]).select("vec_id", r6("p1", "first"), r6(F.col("p1") + F.col("prediction"), "total"))
 
 
@@ -193,19 +197,19 @@ def boosted_tree_baseline(spark, d):
 
 @query("pairwise_boosted_kernel")
 def pairwise_boosted_kernel(spark, d):
-    p = frames.pairs_within(_vectors(spark, d), "chunk", "vec_id", ["x", "y"]).filter("(vec_id_i * 25 + vec_id_j) % 3 = 0")
+    p = frames.pairs_within(_vectors(spark, d), "chunk", "vec_id", ["x", "y"])
     p = p.withColumn("z", F.col("y_i") - F.col("y_j")).withColumn("xx", F.concat("x_i", "x_j"))
     return _trees(p, "xx", "z", "k").select(F.col("vec_id_i").alias("i"), F.col("vec_id_j").alias("j"), r6("k", "k"))
 
 
 @query("forecast_recombination", """WITH m AS (SELECT series, avg(price) AS dc FROM {ticks} GROUP BY series), s AS (SELECT series, any_value(dc) AS dc, avg(abs(price - dc)) AS sf FROM {ticks} JOIN m USING (series) GROUP BY series),
-f AS (SELECT series, t // 86400000000 AS day, kind, avg(price - dc) / 2 AS part FROM {ticks} JOIN s USING (series) GROUP BY ALL) SELECT series, day, round(sum(part) * CASE WHEN any_value(sf) = 0 THEN 1 ELSE any_value(sf) END + any_value(dc), 4) AS forecast FROM f JOIN s USING (series) GROUP BY series, day""")
+f AS (SELECT series, t // 86400000000 AS day, kind, avg((price - dc) / CASE WHEN sf = 0 THEN 1 ELSE sf END) / 2 AS part FROM {ticks} JOIN s USING (series) GROUP BY ALL) SELECT series, day, round(sum(part) * CASE WHEN any_value(sf) = 0 THEN 1 ELSE any_value(sf) END + any_value(dc), 4) AS forecast FROM f JOIN s USING (series) GROUP BY series, day""")
 def forecast_recombination(spark, d):
     from tidemark.operators import stats
 
     t = ticks(spark, d)
     factors = stats.scaling(t, ["series"], "price")
-    parts = t.join(factors, "series").groupBy("series", core.bucket("t", DAY).alias("day"), "kind").agg((F.avg(F.col("price") - F.col("dc")) / 2).alias("part"))
+    parts = t.join(factors, "series").groupBy("series", core.bucket("t", DAY).alias("day"), "kind").agg((F.avg((F.col("price") - F.col("dc")) / F.col("sf")) / 2).alias("part"))
     total = parts.groupBy("series", "day").agg(F.sum("part").alias("v"))
     return total.join(factors, "series").select("series", "day", F.round(F.col("v") * F.col("sf") + F.col("dc"), 4).alias("forecast"))
 
@@ -306,14 +310,25 @@ def level_parameter_recombination(spark, d):
     return bits.join(c, ["level", "candidate"]).groupBy("combo").agg(F.round(F.sum("score"), 4).alias("score")).orderBy("score", "combo").limit(1)
 
 
-@query("min_max_scaling", """WITH m AS (SELECT label, min(embedding[1]) AS lo, max(embedding[1]) AS hi FROM embeddings GROUP BY label) SELECT vec_id, round(-1 + 2 * (CAST(embedding[1] AS DOUBLE) - lo) / (CAST(hi AS DOUBLE) - lo), 6) AS scaled FROM embeddings JOIN m USING (label) WHERE hi > lo""")
+@query("min_max_scaling", """WITH e AS (SELECT vec_id, label, unnest(range(len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings), m AS (SELECT label, i, min(x) AS lo, max(x) AS hi FROM e GROUP BY ALL)
+SELECT vec_id, CAST(i AS INTEGER) AS i, round(-1 + 2 * (x - lo) / (hi - lo), 6) AS scaled FROM e JOIN m USING (label, i) WHERE hi > lo""")
 def min_max_scaling(spark, d):
-    e = read(spark, d, "embeddings").select("vec_id", "label", F.col("embedding")[0].cast("double").alias("x"))
-    m = e.groupBy("label").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).filter("hi > lo")
-    return e.join(m, "label").select("vec_id", r6(-1 + 2 * (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")), "scaled"))
+    e = read(spark, d, "embeddings").select("vec_id", "label", F.posexplode("embedding").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+    m = e.groupBy("label", "i").agg(F.min("x").alias("lo"), F.max("x").alias("hi")).filter("hi > lo")
+    return e.join(m, ["label", "i"]).select("vec_id", "i", r6(-1 + 2 * (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")), "scaled"))
 
 
-@query("outlier_bacon")
+def _bacon_sql(rounds: int, cutoff: float) -> str:
+    x, y = "l_quantity", "l_extendedprice"
+    ctes = [f"m AS (SELECT l_returnflag, median({x}) AS mx, median({y}) AS my, stddev_pop({x}) + 1e-12 AS sx, stddev_pop({y}) + 1e-12 AS sy FROM lineitem GROUP BY 1)",
+            f"r0 AS MATERIALIZED (SELECT l_returnflag, {x} AS x, {y} AS y, ({x} - mx) ** 2 / sx ** 2 + ({y} - my) ** 2 / sy ** 2 > {cutoff**2} AS o FROM lineitem JOIN m USING (l_returnflag))"]
+    for i in range(rounds):
+        ctes.append(f"s{i} AS (SELECT l_returnflag, avg(x) AS mx, avg(y) AS my, covar_samp(x, x) AS a, covar_samp(x, y) AS b, covar_samp(y, y) AS c FROM r{i} WHERE NOT o GROUP BY 1)")
+        ctes.append(f"r{i + 1} AS MATERIALIZED (SELECT l_returnflag, x, y, (c * (x - mx) ** 2 - 2 * b * (x - mx) * (y - my) + a * (y - my) ** 2) / (a * c - b * b) > {cutoff**2} AS o FROM r{i} JOIN s{i} USING (l_returnflag))")
+    return f"WITH {', '.join(ctes)} SELECT l_returnflag, count(*) FILTER (o) AS outliers, count(*) AS n FROM r{rounds} GROUP BY 1"
+
+
+@query("outlier_bacon", _bacon_sql(3, 2.0))
 def outlier_bacon(spark, d):
     li = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_extendedprice")
     return frames.bacon(li, ["l_returnflag"], ["l_quantity", "l_extendedprice"], 2.0, 3).groupBy("l_returnflag").agg(F.count_if("outlier").alias("outliers"), F.count("*").alias("n"))
@@ -328,7 +343,7 @@ def scalar_hook(spark, d):
 
 @query("aggregate_hook", "SELECT series, round(sum(price), 4) AS additive, round(exp(sum(ln(1 + abs(price) / 1000))), 6) AS multiplicative FROM {ticks} GROUP BY series")
 def aggregate_hook(spark, d):
-    factor = F.aggregate(F.array_sort(F.collect_list(1 + F.abs("price") / 1000)), F.lit(1.0), lambda s, x: s * x)
+    factor = F.product(1 + F.abs("price") / 1000)
     return ticks(spark, d).groupBy("series").agg(F.round(F.sum("price"), 4).alias("additive"), r6(factor, "multiplicative"))
 
 

@@ -146,15 +146,67 @@ def dwt_inverse(spark, d):
     return sp.idwt(sp.dwt(_even(spark, d), "series", "price", D4), "series", D4).select("series", "row_ix", F.round("value", 5).alias("value"))
 
 
-@query("stationary_wavelet_transform", f"WITH {X}, w1 AS {_circular_sql('x0', sp.high_of(D4))}, v1 AS {_circular_sql('x0', D4)} SELECT w1.series, w1.row_ix, round(w1.y, 6) AS detail, round(v1.y, 6) AS smooth FROM w1 JOIN v1 USING (series, row_ix)")
+PADDED = f"""x0 AS (SELECT series, row_ix, price AS x FROM {R} UNION ALL SELECT series, unnest(range(n, CAST(ceil(n / 4) AS BIGINT) * 4)) AS row_ix, price FROM {R} WHERE row_ix = n - 1)"""
+
+
+def _swt_sql() -> str:
+    return f"""WITH {PADDED}, w1 AS MATERIALIZED {_circular_sql('x0', sp.high_of(D4))}, v1 AS MATERIALIZED (SELECT series, row_ix, y AS x FROM {_circular_sql('x0', D4)}),
+w2 AS MATERIALIZED {_circular_sql('v1', sp.high_of(D4), stretch=2)}, v2 AS MATERIALIZED {_circular_sql('v1', D4, stretch=2)}
+SELECT w1.series, w1.row_ix, round(w1.y, 5) AS w1, round(w2.y, 5) AS w2, round(v2.y, 5) AS v FROM w1 JOIN w2 USING (series, row_ix) JOIN v2 USING (series, row_ix)"""
+
+
+def _swt(spark, d):
+    return sp.swt(sp.padded(rows(spark, d), "series", "price", 2), "series", "value", D4, 2)
+
+
+@query("stationary_wavelet_transform", _swt_sql())
 def stationary_wavelet_transform(spark, d):
-    r = sp.fir(sp.fir(rows(spark, d), "series", "price", sp.high_of(D4), 1, "detail", True), "series", "price", D4, 1, "smooth", True)
-    return r.select("series", "row_ix", r6("detail", "detail"), r6("smooth", "smooth"))
+    """Two levels of each series, filled up to a multiple of four rows."""
+    return _swt(spark, d).select("series", "row_ix", *(F.round(c, 5).alias(c) for c in ("w1", "w2", "v")))
+
+
+@query("stationary_wavelet_inverse", f"SELECT series, row_ix, round(price, 5) AS value FROM {R}")
+def stationary_wavelet_inverse(spark, d):
+    """The rows that the series came with, without those filled in."""
+    return sp.iswt(_swt(spark, d), "series", D4, 2).join(rows(spark, d).select("series", "row_ix"), ["series", "row_ix"], "left_semi").select("series", "row_ix", F.round("value", 5).alias("value"))
+
+
+def _long_enough(spark, d):
+    r = rows(spark, d)
+    return r.join(r.groupBy("series").agg(F.max("row_ix").alias("last")).filter("last >= 3"), "series", "left_semi")
+
+
+_SYMMETRIC = f"""(WITH k AS (SELECT series, n, unnest(range((n + 3) // 2)) AS k FROM (SELECT DISTINCT series, n FROM {R} WHERE n >= 4)), s AS (SELECT *, 2 * k + 1 - l AS src FROM k JOIN {{0}} ON true)
+SELECT s.series, k AS row_ix, sum(w * price) AS y FROM s JOIN {R} r ON r.series = s.series AND r.row_ix = CASE WHEN src < 0 THEN -1 - src WHEN src >= s.n THEN 2 * s.n - 1 - src ELSE src END GROUP BY ALL)"""
+
+
+@query("dwt_symmetric", f"SELECT a.series, a.row_ix, round(a.y, 5) AS low, round(b.y, 5) AS high FROM {_SYMMETRIC.replace("{0}", _values(D4))} a JOIN {_SYMMETRIC.replace("{0}", _values(sp.high_of(D4)))} b USING (series, row_ix)")
+def dwt_symmetric(spark, d):
+    return sp.dwt_symmetric(_long_enough(spark, d), "series", "price", D4).select("series", "row_ix", F.round("low", 5).alias("low"), F.round("high", 5).alias("high"))
+
+
+@query("dwt_symmetric_inverse", f"SELECT series, row_ix, round(price, 5) AS value FROM {R} WHERE n >= 4")
+def dwt_symmetric_inverse(spark, d):
+    return sp.idwt_symmetric(sp.dwt_symmetric(_long_enough(spark, d), "series", "price", D4), "series", D4).select("series", "row_ix", F.round("value", 5).alias("value"))
+
+
+def _packets_sql() -> str:
+    ctes = [f"n0 AS (SELECT series, '' AS node, row_ix, x FROM {EVEN})"]
+    for i in range(2):
+        one = f"SELECT a.series, a.node || '{{0}}' AS node, a.row_ix // 2 AS row_ix, (a.x {{1}} b.x) * sqrt(0.5) AS x FROM n{i} a JOIN n{i} b ON a.series = b.series AND a.node = b.node AND b.row_ix = a.row_ix - 1 WHERE a.row_ix % 2 = 1"
+        ctes.append(f"n{i + 1} AS ({one.format('0', '+')} UNION ALL {one.format('1', '-')})")
+    return ", ".join(ctes)
+
+
+@query("best_packet_basis")
+def best_packet_basis(spark, d):
+    """The packet nodes that cost least together, by series."""
+    return sp.best_basis(_even(spark, d), "series", "price", sp.HAAR, 2).select("series", "node", r6("cost", "cost"))
 
 
-@query("wavelet_packets")
+@query("wavelet_packets", f"WITH {_packets_sql()} SELECT series, node, row_ix, round(x, 6) + 0.0 AS value FROM n2")
 def wavelet_packets(spark, d):
-    return sp.packets(_even(spark, d), "series", "price", sp.HAAR, 2).select("series", "node", "row_ix", r6("value", "value"))
+    return sp.packets(_even(spark, d), "series", "price", sp.HAAR, 2).select("series", "node", "row_ix", (F.round("value", 6) + 0.0).alias("value"))
 
 
 @query("continuous_wavelet_transform", f"WITH {X} SELECT series, row_ix, scale, round(y, 6) AS value FROM (" + " UNION ALL ".join(f"SELECT *, {s}::DOUBLE AS scale FROM {_circular_sql('x0', sp.morlet(s))}" for s in (1.0, 2.0)) + ")")

@@ -153,13 +153,12 @@ def trades(spark, d):
     return got.select("series", "at", (side * (F.col("out") - F.col("known"))).alias("gain"), F.when(side >= 0, F.col("known") - F.col("low")).otherwise(F.col("high") - F.col("known")).alias("down"))
 
 
-@query("running_drawdown", f"""SELECT series, t AS at, round(sum(gain) OVER w, 4) AS net, round(max(down) OVER w, 6) AS drawdown FROM (SELECT series, t, side * (exit_price - entry) AS gain, CASE WHEN side >= 0 THEN entry - low ELSE high - entry END AS down FROM {_TRADES})
+@query("running_drawdown", f"""SELECT series, t AS at, round(sum(gain) OVER w, 4) AS net, round(max(down) OVER w, 6) AS drawdown, CASE WHEN max(down) OVER w > 1e-6 THEN round(sum(gain) OVER w / max(down) OVER w, 4) END AS leverage FROM (SELECT series, t, side * (exit_price - entry) AS gain, CASE WHEN side >= 0 THEN entry - low ELSE high - entry END AS down FROM {_TRADES})
 WINDOW w AS (PARTITION BY series ORDER BY t ROWS UNBOUNDED PRECEDING)""")
 def running_drawdown(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("series").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    return trades(spark, d).select("series", "at", F.round(F.sum("gain").over(w), 4).alias("net"), r6(F.max("down").over(w), "drawdown"))
+    """Net gain, worst draw-down so far, and the leverage they allow (net gain over draw-down)."""
+    run = core.running(trades(spark, d), "series", "at", {"net": F.col("gain")}, {"drawdown": F.col("down")}, 7 * DAY)
+    return run.select("series", "at", F.round("net", 4).alias("net"), r6("drawdown", "drawdown"), F.when(F.col("drawdown") > 1e-6, F.round(F.col("net") / F.col("drawdown"), 4)).alias("leverage"))
 
 
 @query("regression_metrics", f"SELECT series, round(avg((forecast - actual) ** 2), 4) AS mse, round(pow(corr(forecast, actual), 2), 6) AS r2 FROM {FORECASTS} GROUP BY series HAVING count(*) > 2")
@@ -201,10 +200,8 @@ def best_parameters_per_group(spark, d):
 @query("running_evaluation", f"""SELECT series, t, round(avg(abs(forecast - actual)) OVER w + 1e-9, 4) AS mae, round(100 * sum(abs(forecast - actual)) OVER w / sum(abs(actual)) OVER w + 1e-9, 4) AS mape,
   round(100 * avg(CASE WHEN sign(forecast - known) = sign(actual - known) THEN 1.0 ELSE 0.0 END) OVER w, 4) AS direction FROM {FORECASTS} WINDOW w AS (PARTITION BY series ORDER BY t ROWS UNBOUNDED PRECEDING)""")
 def running_evaluation(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("series").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     e, f = F.abs(F.col("forecast") - F.col("actual")), forecasts(spark, d)
     hit = (F.signum(F.col("forecast") - F.col("known")) == F.signum(F.col("actual") - F.col("known"))).cast("double")
-    return f.select("series", "t", F.round(F.avg(e).over(w) + 1e-9, 4).alias("mae"), F.round(100 * F.sum(e).over(w) / F.sum(F.abs("actual")).over(w) + 1e-9, 4).alias("mape"), F.round(100 * F.avg(hit).over(w), 4).alias("direction"))
+    run = core.running(f, "series", "t", {"e": e, "a": F.abs("actual"), "hits": hit, "n": F.lit(1)}, width=7 * DAY)
+    return run.select("series", "t", F.round(F.col("e") / F.col("n") + 1e-9, 4).alias("mae"), F.round(100 * F.col("e") / F.col("a") + 1e-9, 4).alias("mape"), F.round(100 * F.col("hits") / F.col("n"), 4).alias("direction"))
 

@@ -119,16 +119,17 @@ def drop_worst_rows(spark, d):
     return win.worst_rows(rows(spark, d), "series", "price", 3).select("event_id", F.round("score", 3).alias("score"))
 
 
-@query("priority_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority DESC, o_totalprice DESC, o_orderkey) AS place FROM orders ORDER BY place LIMIT 200")
+@query("priority_order", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority DESC, o_totalprice DESC, o_orderkey) AS place FROM orders")
 def priority_order(spark, d):
-    """The 200 datasets that come first by user priority, then by their own (a top-k report)."""
-    top = read(spark, d, "orders").orderBy(F.desc("o_orderpriority"), F.desc("o_totalprice"), "o_orderkey").limit(200)
-    return top.select("o_orderkey", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("o_orderpriority"), F.desc("o_totalprice"), "o_orderkey")).alias("place"))
+    """Every dataset with its place by user priority, then by its own; numbered range by range."""
+    o = read(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice").withColumn("whole", F.lit(0))
+    return core.in_order(o, "whole", [F.desc("o_orderpriority"), F.desc("o_totalprice"), F.col("o_orderkey")]).select("o_orderkey", "place")
 
 
 @query("arg_sort", "SELECT event_id, row_number() OVER (PARTITION BY series ORDER BY price, event_id) - 1 AS place FROM {ticks}")
 def arg_sort(spark, d):
-    return ticks(spark, d).select("event_id", (F.row_number().over(Window.partitionBy("series").orderBy("price", "event_id")) - 1).alias("place"))
+    got = core.in_order(ticks(spark, d).select("series", "price", "event_id"), "series", [F.col("price"), F.col("event_id")])
+    return got.select("event_id", (F.col("place") - 1).alias("place"))
 
 
 @query("snap_to_allowed", "SELECT event_id, CAST(CASE WHEN price >= 55 THEN 100.0 WHEN price >= 7.5 THEN 10.0 WHEN price >= 3 THEN 5.0 ELSE 1.0 END AS DOUBLE) AS snapped FROM {ticks}")
