@@ -1,8 +1,10 @@
 """The operators against brute force on small tables, with nulls, ties, repeats, clashing names and empty tables."""
 
 import array
+import collections
 import hashlib
 import json
+import math
 import random
 import re
 import time
@@ -486,6 +488,108 @@ def test_mix_meets_its_weights(spark, docs, none):
     assert {r["source"] for r in mixing.mix(docs).collect()} <= {"s0", "s1", "s2", None}
 
 
+def spark_hash(*values, seed):
+    """XXH64 of each value in turn, each hash the seed of the next; nulls leave it as it is."""
+    h = seed
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True), h % 2**64)
+    return h if h < 2**63 else h - 2**64
+
+
+def brute_mix(rows, budget, target_entropy, repetition, seed, blocks):
+    """Counter of (doc_id, text, source, epoch, place of the block) of the mix of (doc_id, text, source), by loops over lists."""
+    counted = []
+    for i, t, s in rows:
+        own = xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), 42)
+        u = spark_hash(i, t, seed=own)
+        b = spark_hash(u, seed=own) % blocks
+        counted.append((i, t, s, len(re.findall("[^\\x20\\x09-\\x0D]+", t or "")), u, b))
+    n = collections.defaultdict(int)
+    for _, _, s, k, _, _ in counted:
+        n[s] += k
+    total, live = sum(n.values()), {s: k for s, k in n.items() if k}
+
+    def weights(a):
+        w = {s: (k / total) ** a for s, k in live.items()}
+        return {s: x / sum(w.values()) for s, x in w.items()}
+
+    def root(above):
+        low, high = 0.0, 1.0
+        if above(1.0):
+            return 1.0
+        for _ in range(60):
+            mid = (low + high) / 2
+            low, high = (mid, high) if above(mid) else (low, mid)
+        return low
+
+    alpha = 1.0
+    if len(live) > 1:
+        entropy = lambda a: -sum(w * math.log(w) for w in weights(a).values())
+        alpha = root(lambda a: entropy(a) >= target_entropy * math.log(len(live)))
+        alpha = max(alpha, root(lambda a: max(w * total / live[s] for s, w in weights(a).items()) * budget > repetition))
+    got = collections.Counter()
+    for s in n:
+        own = [r for r in counted if r[2] == s]
+        wanted = round(weights(alpha)[s] * total * budget, 3) if n[s] else 0
+        passes = int(wanted // n[s]) if n[s] else 1
+        rest = wanted - passes * n[s]
+        # a struct hashes as its field, after the seed's own hash
+        order = sorted({r[5] for r in own}, key=lambda b: (xxhash_block(seed, s, b), b))
+        for place, b in enumerate(order, 1):
+            held = [r for r in own if r[5] == b]
+            size = sum(r[3] for r in held)
+            taken = set()
+            if size <= rest and n[s]:
+                taken = {r[4] for r in held}
+            elif rest > 0:
+                run = 0
+                for u in sorted({r[4] for r in held}):
+                    run += sum(r[3] for r in held if r[4] == u)
+                    if run > rest:
+                        break
+                    taken.add(u)
+            rest -= size
+            for r in held:
+                for epoch in range(1, passes + (r[4] in taken) + 1):
+                    got[(r[0], r[1], s, epoch, place)] += 1
+    return got
+
+
+def xxhash_block(seed, source, block):
+    return spark_hash(source, block, seed=xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), 42))
+
+
+@pytest.mark.parametrize("blocks,slices,budget", [(1024, 1024, 1.0), (4, 2, 2.5)])
+def test_mix_against_brute_force(spark, blocks, slices, budget, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCKS", blocks)
+    monkeypatch.setattr(mixing, "SLICES", slices)
+    rnd = random.Random(blocks)
+    rows = [(i, "w " * rnd.randint(0, 40), rnd.choice(["big"] * 7 + ["a", "b", None])) for i in range(700)]
+    rows += rows[:20] + [(None, "no key", "a"), (701, None, "big"), (702, "", "empty"), (703, None, "empty")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = collections.Counter(tuple(r) for r in mixing.mix(table, budget).select("doc_id", "text", "source", "epoch", "block").collect())
+    assert got == brute_mix(rows, budget, 0.9, 4.0, 17, blocks)
+
+
+def test_mixing_query(spark):
+    """The registered query on real documents: the same rows as the mix of counted ones, by brute force."""
+    docs = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "source").collect()]
+    words = {i: len(re.findall("[^\\x20\\x09-\\x0D]+", t or "")) for i, t, _ in docs}
+    got = registry.QUERIES["op7_mixing"](spark, DATA).collect()
+    assert all(r["n_tokens"] == words[r["doc_id"]] for r in got)
+    n = collections.Counter()
+    for i, _, s in docs:
+        n[s] += words[i]
+    mixed, passes = collections.Counter(), collections.defaultdict(set)
+    for r in got:
+        mixed[r["source"]] += r["n_tokens"]
+        passes[r["doc_id"]].add(r["epoch"])
+    assert sum(n.values()) - max(words.values()) * len(n) <= sum(mixed.values()) <= sum(n.values())
+    assert all(e == set(range(1, len(e) + 1)) for e in passes.values())
+    assert all(mixed[s] <= 4 * n[s] + 1e-3 for s in n)
+
+
 @pytest.mark.parametrize("name", sorted(registry.SQL))
 def test_sql_twins(spark, name):
     assert differences(registry.QUERIES[name](spark, DATA), duck(), registry.SQL[name]) == ""

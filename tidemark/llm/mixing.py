@@ -6,8 +6,8 @@ be repeated too often; repetition falls as the exponent rises, so the exponent g
 
 Weights times the budget give each source its tokens: whole passes over it, and the rest from one more pass, cut off.
 A hash deals each source's rows into blocks; the blocks' order is a permutation by another hash. The cut-off
-pass takes whole blocks while they fit, and of the next block rows in hash order while they fit. Only the totals of blocks and the rows
-of that one block in each source are ordered, so a source with a third of all rows is no longer a task than any other.
+pass takes whole blocks while they fit, and of the next block rows in hash order while they fit. Only the totals of blocks, those of the slices
+of that one block in each source, and the rows inside a slice are ordered, so a source with a third of all rows is no longer a task than any other.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from .common import fresh, written
 
 BLOCKS = 1024
+#: Slices of a cut-off block, a power of two.
+SLICES = 1024
 #: Rows of block totals up to which they are sent to all tasks (a few MB); above, they are joined by shuffle.
 BROADCAST_ROWS = 200_000
 SECTIONS, ROUNDS = 32, 6
@@ -88,7 +90,7 @@ def mix(docs: DataFrame, budget: float = 1.0, target_entropy: float | None = 0.9
     share = F.when(F.col("n") > 0, F.pow(F.col("n") / F.lit(float(max(total, 1))), F.lit(alpha))).otherwise(0.0)
     weight_sum = sources.agg(F.sum(share).alias("z")).first()["z"] or 1.0
     wanted = F.round(share / F.lit(weight_sum) * F.lit(float(total) * budget), 3)
-    plan = sources.select("src", F.when(F.col("n") > 0, F.floor(wanted / F.col("n"))).otherwise(1).cast("int").alias("passes"), F.when(F.col("n") > 0, wanted - F.floor(wanted / F.col("n")) * F.col("n")).otherwise(0.0).alias("rest"))
+    plan = sources.select("src", F.when(F.col("n") > 0, F.floor(wanted / F.col("n"))).otherwise(1).cast("int").alias("passes"), F.when(F.col("n") > 0, wanted - F.floor(wanted / F.col("n")) * F.col("n")).otherwise(-1.0).alias("rest"))
     permuted = Window.partitionBy("src").orderBy(F.xxhash64(F.lit(seed), "src", "b"), "b")
     placed = blocks.join(plan, "src").withColumn("place", F.row_number().over(permuted)).withColumn("upto", F.sum("n").over(permuted.rowsBetween(Window.unboundedPreceding, 0)))
     placed = placed.withColumn("state", F.when(F.col("upto") <= F.col("rest"), 1).when(F.col("upto") - F.col("n") < F.col("rest"), 0).otherwise(-1))
@@ -99,8 +101,7 @@ def mix(docs: DataFrame, budget: float = 1.0, target_entropy: float | None = 0.9
 
     cut = placed.filter("state = 0").select(F.col("src").alias("cut_src"), F.col("b").alias("cut_b"), "room")
     inside = beside(rows.select(src, n, u, b), cut, (F.col(src) == F.col("cut_src")) & (F.col(b) == F.col("cut_b")))
-    running = F.sum(n).over(Window.partitionBy("cut_src").orderBy(u).rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    last = inside.select("cut_src", u, "room", running.alias("run")).filter("run <= room").groupBy("cut_src").agg(F.max(u).alias("last_u"))
+    last = last_taken(inside.select("cut_src", "room", F.col(u).alias("u"), F.col(n).alias("n")))
     placed = placed.join(last, F.col("src") == F.col("cut_src"), "left").drop("cut_src")
     names = dict(zip(placed.columns, fresh(docs.select("*", *(F.lit(0).alias(c) for c in own.values())), *(f"mix_{c}" for c in placed.columns)), strict=True))
     full = beside(rows, placed.toDF(*names.values()), (F.col(own["src"]) == F.col(names["src"])) & (F.col(own["b"]) == F.col(names["b"])))
@@ -109,6 +110,20 @@ def mix(docs: DataFrame, budget: float = 1.0, target_entropy: float | None = 0.9
     return full.filter(copies > 0).select(*docs.columns, F.explode(F.sequence(F.lit(1), copies)).alias(epoch), F.col(names["place"]).alias(block), F.col(own["n"]).alias(n_tokens))
 
 
+def last_taken(inside: DataFrame) -> DataFrame:
+    """(cut_src, last_u): of rows (cut_src, room, u, n) the largest u up to which the tokens fit in the room of their source's cut block.
+
+    The block is cut once more, into SLICES ranges of u; each slice adds up its own rows, and what lies before it comes from the slices' sums. So the
+    rows in order are those of one slice, one of SLICES * BLOCKS parts of a source."""
+    sliced = written(inside.withColumn("slice", F.shiftright("u", 64 - SLICES.bit_length() + 1)), "slices")
+    before = Window.partitionBy("cut_src").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sliced.groupBy("cut_src", "slice", "room").agg(F.sum("n").alias("n"))
+    starts = sums.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).filter("before <= room").select("cut_src", "slice", "before")
+    running = F.sum("n").over(Window.partitionBy("cut_src", "slice").orderBy("u").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    run = sliced.join(starts, ["cut_src", "slice"]).withColumn("run", F.col("before") + running)
+    return run.filter("run <= room").groupBy("cut_src").agg(F.max("u").alias("last_u"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents at the size of the corpus: which document in which pass and block."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
