@@ -165,3 +165,74 @@ def test_upsert_refuses_missing_columns(spark):
 def test_empty_series(spark):
     none = table(spark, [], "k long, t long, v double")
     assert core.row_index(none, "k", "t").count() == core.gaps(none, "k", "t", 1).count() == bars.twap_bars(none, "k", "t", "v", 60).count() == 0
+
+
+def test_merged_intervals_against_brute_force(spark):
+    rnd = random.Random(5)
+    spans = [(rnd.choice([1, 1, 2]), a := rnd.randint(0, 3000), a + rnd.randint(0, 30)) for _ in range(300)] + [(1, 10, 900), (1, 10, 12)]
+    got = {tuple(r) for r in joins.merged_intervals(table(spark, spans, "k long, lo long, hi long"), "k", "lo", "hi", 100).collect()}
+    want = set()
+    for k in (1, 2):
+        now = None
+        for _, lo, hi in sorted(s for s in spans if s[0] == k):
+            if now and lo <= now[1]:
+                now = (now[0], max(now[1], hi))
+            else:
+                want |= {(k, *now)} if now else set()
+                now = (lo, hi)
+        want.add((k, *now))
+    assert got == want
+
+
+def test_reconciled_steps(spark):
+    s, d = core.SECOND, core.DAY
+    asked = table(spark, [(1, 0, 100 * d), (2, 0, 100 * d), (3, 90 * d, 100 * d)], "k long, since long, until long")
+    covered = table(spark, [(2, 80 * d, 100 * d - 9 * s), (3, 95 * d, 99 * d)], "k long, lo long, hi long")
+    got = {r["k"]: tuple(r)[1:] for r in joins.reconciled(covered, asked, "k").collect()}
+    assert got[1] == (70 * d, 100 * d, None, None, 70 * d, 100 * d)
+    assert got[2] == (50 * d, 100 * d - 9 * s, None, None, 50 * d, 80 * d)
+    assert got[3] == (90 * d, 100 * d, 99 * d, 100 * d, 90 * d, 95 * d)
+    book = table(spark, [(1, 5), (2, 20)], "k long, asked long")
+    assert [r["k"] for r in joins.retained(book, "asked", 10, F.lit(16)).collect()] == [2]
+
+
+@pytest.mark.parametrize("kind", sorted(spectral.MOTHERS))
+def test_centred_transform_and_its_inverse(spark, kind):
+    n = 256
+    x = [math.sin(2 * math.pi * i * 4 / n) + 0.5 * math.cos(2 * math.pi * i * 8 / n) for i in range(n)]
+    df = table(spark, [("k", i, v) for i, v in enumerate(x)], "k string, row_ix long, v double")
+    scales = [2 ** (j / 2) for j in range(2, 15)]
+    got = spectral.cwt_centred(df, "k", "v", kind, scales, 6.0)
+    half = len(spectral.mother(kind, 2.0, 6.0)) // 2
+    one = {r["row_ix"]: r["value"] for r in got.filter("scale = 2").collect()}
+    taps = spectral.mother(kind, 2.0, 6.0)
+    for i in (0, 17, 255):
+        assert one[i] == pytest.approx(sum(w * x[(i + m - half) % n] for m, w in enumerate(taps)), abs=1e-9)
+    back = {r["row_ix"]: r["value"] for r in spectral.icwt(got, "k", kind, 0.5).collect()}
+    error = math.sqrt(sum((back[i] - x[i]) ** 2 for i in range(n)) / sum(v * v for v in x))
+    assert error < 0.15
+
+
+def test_model_validation_against_numpy(spark):
+    import numpy as np
+
+    from tidemark.plans import models
+
+    rnd = np.random.default_rng(2)
+    x = rnd.random((200, 3))
+    y = x @ [1.0, -2.0, 0.5] + rnd.normal(0, 0.05, 200)
+    df = table(spark, [(i, x[i].tolist(), float(y[i])) for i in range(200)], "vec_id long, x array<double>, y double").repartition(5)
+    got = {r["source"]: r for r in models.validated(df, 4).collect()}
+    xs = np.c_[x, np.ones(200)]
+    fit = lambda m: np.linalg.solve(xs[:m].T @ xs[:m] + np.eye(4), xs[:m].T @ y[:m])
+    online = np.concatenate([xs[120 + 20 * k : 140 + 20 * k] @ fit(120 + 20 * k) for k in range(4)])
+    for name, p in {"batch": xs[120:] @ fit(120), "online": online, "known": y[119:199]}.items():
+        assert got[name]["n"] == 80 and got[name]["mae"] == pytest.approx(np.abs(p - y[120:]).mean())
+        assert got[name]["better"] == pytest.approx(100 * (np.abs(p - y[120:]) < np.abs(y[119:199] - y[120:])).mean())
+    assert got["tree"]["mae"] < got["known"]["mae"]
+
+
+def test_recombined(spark):
+    parts = table(spark, [(1, "a", 1.0), (1, "a", 2.0), (1, "b", 4.0), (2, "a", 8.0)], "k long, level string, prediction double")
+    known = table(spark, [(1, "a", 3.0), (2, "a", None)], "k long, level string, known double")
+    assert {r["k"]: r["value"] for r in frames.recombined(parts, known, ["k"], "level", 2).collect()} == {1: 5.0, 2: 4.0}

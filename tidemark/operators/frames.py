@@ -187,6 +187,14 @@ def predict_chunks(frame: DataFrame, models: DataFrame, on: list[str], row: list
     return both.withColumn("_p", one).withColumn("_w", weight).groupBy(*on, *row).agg((F.sum(F.col("_p") * F.col("_w")) / F.sum("_w")).alias("prediction"))
 
 
+def recombined(parts: DataFrame, known: DataFrame, keys: list[str], level: str, steps: int) -> DataFrame:
+    """(keys, value) of forecasts: of each level the predictions of its gradients are added up, with the level's last known value (none: 0), and
+    divided by the number of steps; levels are then added up. parts: (keys, level, prediction); known: (keys, level, known)."""
+    each = parts.groupBy(*keys, level).agg(F.sum("prediction").alias("prediction")).join(known, [*keys, level], "left")
+    value = (F.col("prediction") + F.coalesce("known", F.lit(0.0))) / steps
+    return each.groupBy(*keys).agg(F.sum(value).alias("value"))
+
+
 def bacon(df: DataFrame, keys: list[str], columns: list[str], cutoff: float, rounds: int = 5) -> DataFrame:
     """df with `outlier`: rows whose Mahalanobis distance from the basic subset is over the cutoff.
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .core import DAY, asof, bucket, gaps, grid, nearest, row_index
+from .core import DAY, SECOND, asof, bucket, gaps, grid, nearest, previous, row_index, running
 
 MONTH = 30 * DAY
 
@@ -46,12 +46,31 @@ def incomplete(declared: DataFrame, valid: DataFrame, keys: list[str]) -> DataFr
     return declared.join(valid, keys, "left_anti")
 
 
-def merged_intervals(intervals: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Union of intervals: those that touch or overlap as one."""
-    w = Window.partitionBy(key).orderBy(start, end)
-    seen = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    opened = intervals.withColumn("_new", F.when(seen.isNull() | (F.col(start) > seen), 1).otherwise(0))
-    return opened.withColumn("_island", F.sum("_new").over(w)).groupBy(key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+def merged_intervals(intervals: DataFrame, key: str, start: str, end: str, width: int = DAY) -> DataFrame:
+    """Union of intervals: those that touch or overlap as one. Running ends and island numbers go bucket by bucket."""
+    longest = intervals.groupBy(key, start).agg(F.max(end).alias(end))
+    seen = previous(running(longest, key, start, {}, {"_upto": F.col(end)}, width), key, start, ["_upto"], width)
+    opened = seen.withColumn("_new", F.when(F.col("prev__upto").isNull() | (F.col(start) > F.col("prev__upto")), 1).otherwise(0)).select(key, start, end, "_new")
+    islands = running(opened, key, start, {"_island": F.col("_new")}, width=width)
+    return islands.groupBy(key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
+
+
+def reconciled(covered: DataFrame, asked: DataFrame, key: str, month: int = 30 * DAY, least: int = 10 * SECOND) -> DataFrame:
+    """One step of the book of checked intervals: (key, lo, hi, front_lo, front_hi, back_lo, back_hi) for asked (key, since, until).
+
+    covered (key, lo, hi) are the intervals so far; a key without one starts as an empty interval at `until`. The end moves up to `until` if that
+    is `least` or more ahead, the start back to `since`, a month at most. front and back are the new parts [lo, hi) to look for gaps in, null where none."""
+    held = asked.join(covered, key, "left").withColumns({"_lo": F.coalesce("lo", "until"), "_hi": F.coalesce("hi", "until")})
+    ahead, behind = F.col("until") >= F.col("_hi") + least, F.col("since") < F.col("_lo")
+    start = F.when(behind, F.greatest(F.col("_lo") - month, "since")).otherwise(F.col("_lo"))
+    front = [F.when(ahead, F.col(c)).alias(n) for c, n in (("_hi", "front_lo"), ("until", "front_hi"))]
+    back = [F.when(behind, start).alias("back_lo"), F.when(behind, F.col("_lo")).alias("back_hi")]
+    return held.select(key, start.alias("lo"), F.when(ahead, F.col("until")).otherwise(F.col("_hi")).alias("hi"), *front, *back)
+
+
+def retained(book: DataFrame, last_request: str, retention: int, now: Column) -> DataFrame:
+    """The rows of the book that were asked for within `retention` of now."""
+    return book.filter(F.col(last_request) + retention >= now)
 
 
 def in_period(df: DataFrame, time: str, periods: DataFrame) -> DataFrame:

@@ -246,6 +246,40 @@ def cwt(df: DataFrame, key: str, value: str, scales: list[float]) -> DataFrame:
     return out
 
 
+#: Mother wavelets at zero and their reconstruction factors, of a published table for these three (fixed values).
+MOTHERS = {"morlet": (math.pi**-0.25, 0.776), "paul": (1.079, 1.132), "dog": (0.867, 3.541)}
+
+
+def mother(kind: str, scale: float, width: float = 4.0) -> list[float]:
+    """Real taps of a mother wavelet at a scale, from -half to half and of unit energy in the continuum: Morlet (frequency 6), Paul (order 4) or the
+    second derivative of a Gaussian. They end at `width` scales; below a scale of 2 rows, Morlet and Paul waves are too short for the rows."""
+    shape = {
+        "morlet": lambda x: math.pi**-0.25 * math.exp(-0.5 * x * x) * math.cos(6 * x),
+        "paul": lambda x: 2**4 * math.factorial(4) / math.sqrt(math.pi * math.factorial(8)) * ((1 - 1j * x) ** -5).real,
+        "dog": lambda x: (1 - x * x) * math.exp(-0.5 * x * x) / math.sqrt(math.gamma(2.5)),
+    }[kind]
+    half = max(1, math.ceil(width * scale))
+    return [shape(i / scale) / math.sqrt(scale) for i in range(-half, half + 1)]
+
+
+def cwt_centred(df: DataFrame, key: str, value: str, kind: str, scales: list[float], width: float = 4.0) -> DataFrame:
+    """(key, row_ix, scale, value): the real part of the transform by a mother wavelet centred at each row; series are circular."""
+    out, df = None, with_size(df, key)
+    for s in scales:
+        taps = mother(kind, s, width)
+        at = F.pmod(F.col("row_ix") - len(taps) // 2, F.col("n_rows"))
+        got = fir(df, key, value, taps, 1, "_c", True).select(key, at.alias("row_ix"), F.lit(float(s)).alias("scale"), F.col("_c").alias("value"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def icwt(coefficients: DataFrame, key: str, kind: str, step: float) -> DataFrame:
+    """(key, row_ix, value): the series from cwt_centred at scales s0 * 2^(step * j), less its mean and what lies outside these scales."""
+    at_zero, factor = MOTHERS[kind]
+    total = F.sum(F.col("value") / F.sqrt("scale")) * F.lit(step / (factor * at_zero))
+    return coefficients.groupBy(key, "row_ix").agg(total.alias("value"))
+
+
 def stft(df: DataFrame, key: str, value: str, size: int, step: int = 1) -> DataFrame:
     """(key, frame, bin, re, im): the DFT of every full frame of `size` rows that starts at a multiple of `step`; bins 0..size/2."""
     got = behind(df.select(key, "row_ix", F.col(value).cast("double").alias("v")), key, "v", size - 1, False, BLOCK).filter(F.size("_x") == size)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.operators import core, joins
-from tidemark.operators.core import DAY, HOUR, MINUTE
+from tidemark.operators.core import DAY, HOUR, MINUTE, SECOND
 
 from .tables import main_series, query, read, ticks
 
@@ -158,6 +158,24 @@ def reconciled_intervals(spark, d):
     return joins.merged_intervals(spans, "series", "lo", "hi")
 
 
+_BOOK = f"""WITH e AS (SELECT series, min(t) AS since, max(t) AS until FROM {{ticks}} GROUP BY series), s0 AS (SELECT *, CASE WHEN series % 3 > 0 THEN until - {10 * DAY} ELSE until END AS lo0, CASE WHEN series % 3 > 0 THEN until - {5 * DAY} ELSE until END AS hi0 FROM e),
+s1 AS (SELECT *, CASE WHEN since < lo0 THEN greatest(lo0 - {7 * DAY}, since) ELSE lo0 END AS lo1, CASE WHEN until >= hi0 + {10 * SECOND} THEN until ELSE hi0 END AS hi1 FROM s0)
+SELECT series, CASE WHEN since < lo1 THEN greatest(lo1 - {7 * DAY}, since) ELSE lo1 END AS lo, hi1 AS hi, CASE WHEN since < lo1 THEN greatest(lo1 - {7 * DAY}, since) END AS back_lo, CASE WHEN since < lo1 THEN lo1 END AS back_hi FROM s1 WHERE until + {14 * DAY} >= (SELECT max(until) FROM e)"""
+
+
+@query("reconciled_steps", _BOOK)
+def reconciled_steps(spark, d):
+    """Two steps of the book, seven days back each; series that have not been asked for within two weeks of the newest row are purged."""
+    asked = ticks(spark, d).groupBy("series").agg(F.min("t").alias("since"), F.max("t").alias("until"))
+    covered = asked.filter("series % 3 > 0").select("series", (F.col("until") - 10 * DAY).alias("lo"), (F.col("until") - 5 * DAY).alias("hi"))
+    for _ in range(2):
+        book = joins.reconciled(covered, asked, "series", 7 * DAY)
+        covered = book.select("series", "lo", "hi")
+    now = asked.agg(F.max("until").alias("now")).first()["now"]
+    dated = book.join(asked.select("series", "until"), "series")
+    return joins.retained(dated, "until", 14 * DAY, F.lit(now)).select("series", "lo", "hi", "back_lo", "back_hi")
+
+
 @query("metadata_joins", "SELECT c_custkey, n_name, r_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN orders ON o_custkey = c_custkey GROUP BY ALL")
 def metadata_joins(spark, d):
     c, n, r, o = (read(spark, d, t) for t in ("customer", "nation", "region", "orders"))

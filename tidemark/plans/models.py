@@ -182,12 +182,14 @@ def residual_models(spark, d):
     return left.join(second, ["chunk", "vec_id"]).select("vec_id", r6("p1", "first"), r6(F.col("p1") + F.col("prediction"), "total"))
 
 
-def _trees(frame, features: str, label: str, out: str):
+def _trees(frame, features: str, label: str, out: str, rows=None):
+    """rows (the frame's own by default) with the prediction of trees boosted on the frame."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import GBTRegressor
 
-    ready = frame.withColumn("_f", array_to_vector(F.col(features)))
-    return GBTRegressor(featuresCol="_f", labelCol=label, predictionCol=out, maxIter=5, maxDepth=3, seed=7).fit(ready).transform(ready).drop("_f")
+    ready = lambda df: df.withColumn("_f", array_to_vector(F.col(features)))
+    model = GBTRegressor(featuresCol="_f", labelCol=label, predictionCol=out, maxIter=5, maxDepth=3, seed=7).fit(ready(frame))
+    return model.transform(ready(frame if rows is None else rows)).drop("_f")
 
 
 @query("boosted_tree_baseline")
@@ -214,6 +216,25 @@ def forecast_recombination(spark, d):
     return total.join(factors, "series").select("series", "day", F.round(F.col("v") * F.col("sf") + F.col("dc"), 4).alias("forecast"))
 
 
+@query("gradient_recombination", """WITH m AS (SELECT series, avg(price) AS dc FROM {ticks} GROUP BY series), s AS (SELECT series, any_value(dc) AS dc, avg(abs(price - dc)) AS raw FROM {ticks} JOIN m USING (series) GROUP BY series),
+z AS (SELECT series, kind, t, t // 86400000000 AS day, event_id % 2 AS gradient, (price - dc) / CASE WHEN raw = 0 THEN 1 ELSE raw END AS z FROM {ticks} JOIN s USING (series)),
+l AS (SELECT series, kind, day, lag(newest) OVER (PARTITION BY series, kind ORDER BY day) AS known FROM (SELECT series, kind, day, arg_max(z, t) AS newest FROM z GROUP BY ALL)),
+p AS (SELECT series, kind, day, sum(part) AS part FROM (SELECT series, kind, day, gradient, avg(z) / 2 AS part FROM z GROUP BY ALL) GROUP BY ALL)
+SELECT series, day, round(sum((part + coalesce(known, 0)) / 2) * CASE WHEN any_value(raw) = 0 THEN 1 ELSE any_value(raw) END + any_value(dc), 4) AS forecast FROM p JOIN l USING (series, kind, day) JOIN s USING (series) GROUP BY series, day""")
+def gradient_recombination(spark, d):
+    """Kinds as levels, odd and even rows as their gradients: sums over gradients and the level's last known value of a day before, over two steps, unscaled."""
+    from tidemark.operators import stats
+
+    t = ticks(spark, d)
+    factors = stats.scaling(t, ["series"], "price")
+    z = t.join(factors, "series").select("series", "kind", "t", core.bucket("t", DAY).alias("day"), (F.col("event_id") % 2).alias("gradient"), ((F.col("price") - F.col("dc")) / F.col("sf")).alias("z"))
+    newest = z.groupBy("series", "kind", "day").agg(F.max_by("z", "t").alias("newest")).withColumn("of", F.struct("series", "kind"))
+    known = core.previous(newest, "of", "day", ["newest"], 365).select("series", "kind", "day", F.col("prev_newest").alias("known"))
+    parts = z.groupBy("series", "kind", "day", "gradient").agg((F.avg("z") / 2).alias("prediction"))
+    total = frames.recombined(parts, known, ["series", "day"], "kind", 2)
+    return total.join(factors, "series").select("series", "day", F.round(F.col("value") * F.col("sf") + F.col("dc"), 4).alias("forecast"))
+
+
 @query("validation_report", f"""SELECT source, count(*) AS n, round(avg(abs(p - actual)), 6) AS mae, round(100 * sum(abs(p - actual)) / sum(abs(actual)), 6) AS mape FROM (
   SELECT 'mean' AS source, forecast AS p, actual FROM {FORECASTS} UNION ALL SELECT 'last known', known, actual FROM {FORECASTS}) GROUP BY source""")
 def validation_report(spark, d):
@@ -301,6 +322,57 @@ def walk_forward_backtest(spark, d):
     return _ridge("lam double, fold int, n int, mae double", windows).select("fold", "n", r6("mae", "mae"))
 
 
+def _predicted(weights: dict):
+    """Of each batch the prediction of the fit to the first part (batch) and of the fit to all parts before the row's own (online)."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            for own, part in pdf.groupby("own"):
+                x = np.c_[np.array(part["x"].tolist(), float), np.ones(len(part))]
+                yield pd.DataFrame({"vec_id": part["vec_id"], "batch": x @ weights[0], "online": x @ weights[int(own) - 1]})
+
+    return run
+
+
+def validated(v, steps: int, lam: float = 1.0):
+    """(source, n, mae, mape, alpha, direction, better) on the last two fifths of vec_id's range for rows (vec_id, x, y): a ridge fit to the first
+    three fifths (batch), one that has also learnt from each of the `steps` parts before the row's own (online), boosted trees (tree) and the row's last known label.
+
+    Fits come from sums taken in Spark by part; the driver holds steps + 1 of them, whatever the number of rows."""
+    import numpy as np
+
+    from tidemark.operators import stats
+
+    ends = v.agg(F.min("vec_id").alias("lo"), F.max("vec_id").alias("hi")).first()
+    lo, span = ends["lo"] or 0, (ends["hi"] or 0) - (ends["lo"] or 0) + 1
+    place = F.floor((F.col("vec_id") - lo) * 5 * steps / F.lit(2 * span)) - F.lit(3 * steps // 2)
+    parts = v.withColumn("own", F.greatest(F.lit(0), place + 1).cast("int"))
+    sums, weights, total = {}, {}, 0.0
+    for r in parts.select("own", "x", "y").mapInPandas(_moments, "own int, at int, v double").groupBy("own", "at").agg(F.sum("v").alias("v")).orderBy("own", "at").collect():
+        sums.setdefault(r["own"], []).append(r["v"])
+    size = next((int(len(m) ** 0.5) for m in sums.values()), 0)
+    for own in range(steps + 1):
+        total = total + np.array(sums.get(own, [0.0] * (size * size + size + 1)))
+        weights[own] = np.linalg.solve(total[: size * size].reshape(size, size) + lam * np.eye(size), total[size * size : -1])
+    later = parts.filter("own > 0")
+    known = core.previous(parts.select(F.lit(0).alias("all"), "vec_id", "y"), "all", "vec_id", ["y"], 4096).select("vec_id", F.col("prev_y").alias("known"))
+    linear = later.select("own", "vec_id", "x").mapInPandas(_predicted(weights), "vec_id long, batch double, online double")
+    trees = _trees(parts.filter("own = 0"), "x", "y", "tree", later).select("vec_id", "tree")
+    rows = later.select("vec_id", "y").join(linear, "vec_id").join(trees, "vec_id").join(known, "vec_id")
+    sources = F.explode(F.array(*(F.struct(F.lit(n).alias("source"), F.col(n).alias("p")) for n in ("batch", "online", "tree", "known")))).alias("s")
+    each = rows.select("y", F.col("known").alias("last"), sources)
+    return each.groupBy(F.col("s.source").alias("source")).agg(F.count("*").alias("n"), *stats.errors(F.col("s.p"), F.col("y"), F.col("last")))
+
+
+@query("model_validation")
+def model_validation(spark, d):
+    """Batch, online, tree and last known predictions of the later vectors' labels, by the same metrics."""
+    got = validated(_vectors(spark, d), 10)
+    return got.select("source", "n", *(r6(c, c) for c in got.columns[2:]))
+
+
 @query("level_parameter_recombination", """WITH c AS (SELECT l_linenumber - 1 AS level, CASE WHEN l_returnflag = 'A' THEN 0 ELSE 1 END AS candidate, round(avg(l_discount * l_extendedprice), 4) AS score FROM lineitem GROUP BY 1, 2), n AS (SELECT unnest(range(128)) AS combo)
 SELECT combo, round(sum(score), 4) AS score FROM n JOIN c ON ((combo >> level) & 1) = candidate GROUP BY combo ORDER BY score, combo LIMIT 1""")
 def level_parameter_recombination(spark, d):

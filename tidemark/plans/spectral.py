@@ -214,6 +214,33 @@ def continuous_wavelet_transform(spark, d):
     return sp.cwt(rows(spark, d), "series", "price", [1.0, 2.0]).select("series", "row_ix", "scale", r6("value", "value"))
 
 
+_SCALES = [2.0, 2.0**1.5, 4.0]
+
+
+def _centred_sql(kind: str) -> str:
+    parts = []
+    for scale in _SCALES:
+        taps = sp.mother(kind, scale)
+        parts.append(f"SELECT y.series, ((y.row_ix - {len(taps) // 2}) % n + n) % n AS row_ix, {scale!r}::DOUBLE AS scale, y FROM {_circular_sql('x0', taps)} y JOIN (SELECT series, max(row_ix) + 1 AS n FROM x0 GROUP BY series) m ON m.series = y.series")
+    return "(" + " UNION ALL ".join(parts) + ")"
+
+
+@query("mother_wavelets", f"WITH {X} " + " UNION ALL ".join(f"SELECT '{kind}' AS mother, series, row_ix, round(scale, 6) AS scale, round(y, 6) + 0.0 AS value FROM {_centred_sql(kind)}" for kind in sp.MOTHERS))
+def mother_wavelets(spark, d):
+    """The centred transform by each mother wavelet at scales two to an octave."""
+    out = None
+    for kind in sp.MOTHERS:
+        got = sp.cwt_centred(rows(spark, d), "series", "price", kind, _SCALES).select(F.lit(kind).alias("mother"), "series", "row_ix", r6("scale", "scale"), (F.round("value", 6) + 0.0).alias("value"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query("continuous_wavelet_inverse", f"WITH {X} SELECT series, row_ix, round(sum(y / sqrt(scale)) * {0.5 / (sp.MOTHERS['dog'][0] * sp.MOTHERS['dog'][1])!r}, 5) + 0.0 AS value FROM {_centred_sql('dog')} GROUP BY ALL")
+def continuous_wavelet_inverse(spark, d):
+    got = sp.icwt(sp.cwt_centred(rows(spark, d), "series", "price", "dog", _SCALES), "series", "dog", 0.5)
+    return got.select("series", "row_ix", (F.round("value", 5) + 0.0).alias("value"))
+
+
 _N = 4
 _STFT = f"(SELECT a.series, a.row_ix AS frame, bin, sum(b.price * cos(2 * pi() * bin * (b.row_ix - a.row_ix) / {_N})) AS re, -sum(b.price * sin(2 * pi() * bin * (b.row_ix - a.row_ix) / {_N})) AS im FROM {R} a JOIN (SELECT unnest(range({_N // 2 + 1})) AS bin) ON true JOIN {R} b ON b.series = a.series AND b.row_ix >= a.row_ix AND b.row_ix < a.row_ix + {_N} WHERE a.row_ix + {_N} <= a.n GROUP BY ALL)"
 
