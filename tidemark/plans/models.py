@@ -205,7 +205,7 @@ def pairwise_boosted_kernel(spark, d):
 
 
 @query("forecast_recombination", """WITH m AS (SELECT series, avg(price) AS dc FROM {ticks} GROUP BY series), s AS (SELECT series, any_value(dc) AS dc, avg(abs(price - dc)) AS sf FROM {ticks} JOIN m USING (series) GROUP BY series),
-f AS (SELECT series, t // 86400000000 AS day, kind, avg((price - dc) / CASE WHEN sf = 0 THEN 1 ELSE sf END) / 2 AS part FROM {ticks} JOIN s USING (series) GROUP BY ALL) SELECT series, day, round(sum(part) * CASE WHEN any_value(sf) = 0 THEN 1 ELSE any_value(sf) END + any_value(dc), 4) AS forecast FROM f JOIN s USING (series) GROUP BY series, day""")
+f AS (SELECT series, t // 86400000000 AS day, kind, avg((price - dc) / CASE WHEN sf = 0 THEN 1 ELSE sf END) / 2 AS part FROM {ticks} JOIN s USING (series) GROUP BY ALL) SELECT series, day, round(sum(part) * CASE WHEN any_value(sf) = 0 THEN 1 ELSE any_value(sf) END + any_value(dc) + 1e-9, 4) AS forecast FROM f JOIN s USING (series) GROUP BY series, day""")
 def forecast_recombination(spark, d):
     from tidemark.operators import stats
 
@@ -213,14 +213,14 @@ def forecast_recombination(spark, d):
     factors = stats.scaling(t, ["series"], "price")
     parts = t.join(factors, "series").groupBy("series", core.bucket("t", DAY).alias("day"), "kind").agg((F.avg((F.col("price") - F.col("dc")) / F.col("sf")) / 2).alias("part"))
     total = parts.groupBy("series", "day").agg(F.sum("part").alias("v"))
-    return total.join(factors, "series").select("series", "day", F.round(F.col("v") * F.col("sf") + F.col("dc"), 4).alias("forecast"))
+    return total.join(factors, "series").select("series", "day", F.round(F.col("v") * F.col("sf") + F.col("dc") + 1e-9, 4).alias("forecast"))
 
 
 @query("gradient_recombination", """WITH m AS (SELECT series, avg(price) AS dc FROM {ticks} GROUP BY series), s AS (SELECT series, any_value(dc) AS dc, avg(abs(price - dc)) AS raw FROM {ticks} JOIN m USING (series) GROUP BY series),
 z AS (SELECT series, kind, t, t // 86400000000 AS day, event_id % 2 AS gradient, (price - dc) / CASE WHEN raw = 0 THEN 1 ELSE raw END AS z FROM {ticks} JOIN s USING (series)),
 l AS (SELECT series, kind, day, lag(newest) OVER (PARTITION BY series, kind ORDER BY day) AS known FROM (SELECT series, kind, day, arg_max(z, t) AS newest FROM z GROUP BY ALL)),
 p AS (SELECT series, kind, day, sum(part) AS part FROM (SELECT series, kind, day, gradient, avg(z) / 2 AS part FROM z GROUP BY ALL) GROUP BY ALL)
-SELECT series, day, round(sum((part + coalesce(known, 0)) / 2) * CASE WHEN any_value(raw) = 0 THEN 1 ELSE any_value(raw) END + any_value(dc), 4) AS forecast FROM p JOIN l USING (series, kind, day) JOIN s USING (series) GROUP BY series, day""")
+SELECT series, day, round(sum((part + coalesce(known, 0)) / 2) * CASE WHEN any_value(raw) = 0 THEN 1 ELSE any_value(raw) END + any_value(dc) + 1e-9, 4) AS forecast FROM p JOIN l USING (series, kind, day) JOIN s USING (series) GROUP BY series, day""")
 def gradient_recombination(spark, d):
     """Kinds as levels, odd and even rows as their gradients: sums over gradients and the level's last known value of a day before, over two steps, unscaled."""
     from tidemark.operators import stats
@@ -232,7 +232,7 @@ def gradient_recombination(spark, d):
     known = core.previous(newest, "of", "day", ["newest"], 365).select("series", "kind", "day", F.col("prev_newest").alias("known"))
     parts = z.groupBy("series", "kind", "day", "gradient").agg((F.avg("z") / 2).alias("prediction"))
     total = frames.recombined(parts, known, ["series", "day"], "kind", 2)
-    return total.join(factors, "series").select("series", "day", F.round(F.col("value") * F.col("sf") + F.col("dc"), 4).alias("forecast"))
+    return total.join(factors, "series").select("series", "day", F.round(F.col("value") * F.col("sf") + F.col("dc") + 1e-9, 4).alias("forecast"))
 
 
 @query("validation_report", f"""SELECT source, count(*) AS n, round(avg(abs(p - actual)), 6) AS mae, round(100 * sum(abs(p - actual)) / sum(abs(actual)), 6) AS mape FROM (
