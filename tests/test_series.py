@@ -63,6 +63,36 @@ def test_twap_weighs_by_time_and_carries_the_price(spark):
     assert got == {0: (2.0, 2, 3.0), 60: (3.0, 0, 3.0), 120: (pytest.approx(4.0), 1, 5.0)}
 
 
+@pytest.mark.parametrize("width", [7, 100, 10**9])
+def test_filled_grid_against_brute_force(spark, width):
+    import random
+
+    deal = random.Random(5)
+    rows = [(k, deal.randrange(0, 900) if k else deal.choice([3, 4, 500]), float(deal.randrange(50))) for k in (0, 1, 2) for _ in range(25)]
+    rows += [(3, 0, 1.0), (3, 10 * 9000, 2.0)]  # a silence longer than one list of the grid
+    want = set()
+    for k in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == k]
+        for t in range(min(r[1] for r in own) // 10 * 10, max(r[1] for r in own) + 1, 10):
+            want.add((k, t, max((r[1], r[2]) for r in own if r[1] < t + 10)[1], sum(t <= r[1] < t + 10 for r in own)))
+    got = bars.filled_grid(spark.createDataFrame(rows, "k long, t long, v double"), "k", "t", "v", 10, width).collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_bars_through_a_long_silence(spark):
+    ticks = spark.createDataFrame([("a", 30, 1.0), ("a", 60 * 9000 + 30, 2.0)], "k string, t long, v double")
+    got = {r["bar"]: (r["twap"], r["ticks"], r["close"]) for r in bars.twap_bars(ticks, "k", "t", "v", 60).collect()}
+    assert set(got) == set(range(0, 60 * 9000 + 1, 60))
+    assert got[0] == (1.0, 1, 1.0) and got[60] == (1.0, 0, 1.0) and got[60 * 9000] == (1.5, 1, 2.0)
+
+
+def test_range_join_over_many_buckets(spark):
+    spans = spark.createDataFrame([("a", 0, 50_000), ("a", 5, 5), ("b", 7, 9)], "k string, lo long, hi long")
+    points = spark.createDataFrame([("a", 0), ("a", 49_999), ("a", 50_000), ("b", 8)], "k string, t long")
+    got = core.range_join(spans, points, "k", "lo", "hi", "t", 5)
+    assert sorted((r["k"], r["lo"], r["t"]) for r in got.collect()) == [("a", 0, 0), ("a", 0, 49_999), ("b", 7, 8)]
+
+
 def test_trapezoid_of_one_quote_is_that_quote(spark):
     got = bars.trapezoid(table(spark, [(1, 5, 1.5, 7)], "k long, t long, p double, q long"), "k", "t", ["p"], ["q"], 10).first()
     assert (got["p"], got["q"]) == (1.5, 7)

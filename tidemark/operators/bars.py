@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .core import DAY, asof, bucket, grid, previous
+from .core import DAY, bucket, grid, previous
 
 
 def validity(ticks: DataFrame, key: str, time: str, value: str, width: int = DAY) -> DataFrame:
@@ -20,8 +20,9 @@ def twap_bars(ticks: DataFrame, key: str, time: str, value: str, step: int, widt
     A price holds from its tick to the next. A bar's average weighs prices by the time they hold inside it; before
     a series' first tick and behind its last there is no price, so such bars weigh what is known. ticks counts those that start in the bar."""
     held = validity(ticks, key, time, value, width).withColumn("until", F.coalesce("until", (F.floor(F.col(time) / step) + 1).cast("long") * step))
-    first, last = F.floor(F.col(time) / step).cast("long"), F.floor((F.greatest(F.col("until") - 1, F.col(time))) / F.lit(step)).cast("long")
-    parts = held.withColumn("bar", F.explode(F.sequence(first, last))).withColumn("bar", F.col("bar") * step)
+    first = (bucket(time, step) * step).alias("_first")
+    # the bars that a price holds through are made in lists of bounded length, however long the silence
+    parts = grid(held, first, F.greatest("until", F.col(time) + 1), step, "bar")
     inside = F.least("until", F.col("bar") + step) - F.greatest(F.col(time), F.col("bar"))
     parts = parts.withColumn("_w", inside).withColumn("_own", F.col(time) >= F.col("bar"))
     return parts.groupBy(key, "bar").agg(
@@ -53,11 +54,12 @@ def average_of_rates(rates: DataFrame, key: str, step: int) -> DataFrame:
 
 def filled_grid(ticks: DataFrame, key: str, time: str, value: str, step: int, width: int = DAY) -> DataFrame:
     """t, value, ticks on the whole grid of each series from its first to its last tick; empty slots keep the last price, with no ticks."""
-    slots = ticks.groupBy(key).agg((F.floor(F.min(time) / step) * step).cast("long").alias("lo"), (F.floor(F.max(time) / step) * step + step).cast("long").alias("hi"))
-    own = ticks.groupBy(key, (bucket(time, step) * step).alias("t")).agg(F.count("*").alias("ticks"))
-    points = grid(slots, "lo", "hi", step).select(key, "t", (F.col("t") + step).alias("_end"))
-    seen = asof(points, ticks, key, "_end", time, [value], "before", False, width)
-    return seen.join(own, [key, "t"], "left").select(key, "t", F.col(f"found.{value}").alias(value), F.coalesce("ticks", F.lit(0)).alias("ticks"))
+    newest = F.max(F.struct(F.col(time).alias("at"), F.col(value).alias("price"))).alias("_last")
+    own = ticks.groupBy(key, (bucket(time, step) * step).alias("_own")).agg(newest, F.count("*").alias("ticks"))
+    # each slot with ticks goes on until the next one
+    held = validity(own, key, "_own", "_last", max(width, step)).withColumn("until", F.coalesce("until", F.col("_own") + step))
+    slots = grid(held, "_own", "until", step)
+    return slots.select(key, "t", F.col("_last.price").alias(value), F.when(F.col("t") == F.col("_own"), F.col("ticks")).otherwise(0).alias("ticks"))
 
 
 def trapezoid(quotes: DataFrame, key: str, time: str, prices: list[str], quantities: list[str], step: int, width: int = DAY) -> DataFrame:

@@ -82,7 +82,7 @@ def nearest(probes: DataFrame, data: DataFrame, key: str, probe_time: str, data_
 
 def range_join(intervals: DataFrame, points: DataFrame, key: str, start: str, end: str, time: str, width: int, how: str = "inner") -> DataFrame:
     """Points with start <= time < end, on buckets as an equi-key; each interval goes to the buckets it touches."""
-    spread = intervals.withColumn("_b", F.explode(F.sequence(bucket(start, width), bucket(F.greatest(F.col(end) - 1, F.col(start)), width))))
+    spread = grid(intervals, bucket(start, width), bucket(F.greatest(F.col(end) - 1, F.col(start)), width) + 1, 1, "_b")
     marked = points.withColumn("_pb", bucket(time, width)).withColumnRenamed(key, "_pk")
     inside = (F.col(key) == F.col("_pk")) & (F.col("_b") == F.col("_pb")) & (F.col(time) >= F.col(start)) & (F.col(time) < F.col(end))
     return spread.join(marked, inside, how).drop("_b", "_pb", "_pk")
