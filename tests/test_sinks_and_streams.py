@@ -22,6 +22,22 @@ def test_replace_into(spark, tmp_path):
     assert dict(read())[5] == "z" and len(read()) == 101
 
 
+def test_tail_overwriting_against_brute_force(spark, tmp_path):
+    import random
+
+    deal, table, schema = random.Random(3), [], "k long, t long, v long"
+    put = jobs.tail_overwriting(f"file://{tmp_path}/tail", "k", "t")
+    for number in range(6):
+        low = number * core.DAY - (number % 2) * 2 * core.DAY  # odd batches reach back over stored days
+        batch = [(deal.randrange(3), low + deal.randrange(3 * core.DAY), number) for _ in range(20)] if number != 3 else []
+        first = {k: min(t for x, t, _ in batch if x == k) for k, _, _ in batch}
+        table = [r for r in table if r[0] not in first or r[1] < first[r[0]]] + batch
+        for _ in range(2):  # a batch that is done again changes nothing
+            put(spark.createDataFrame([*batch, (0, None, number)], schema), number)
+        got = jobs.tail_table(spark, f"file://{tmp_path}/tail", spark.createDataFrame([], schema).schema, "t")
+        assert sorted(map(tuple, got.collect())) == sorted(table)
+
+
 def test_requests(spark, tmp_path):
     schema = "request_id long, user_id long, dataset string, start_t long, end_t long, processed boolean"
     rows = [(1, 1, "a", 0, 10, False), (2, 1, "a", 0, 10, False), (3, 1, "a", 0, 20, False), (4, 2, "a", 0, 5, True), (5, 2, "b", 0, 4, False)]

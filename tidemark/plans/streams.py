@@ -102,37 +102,26 @@ def response_sink(spark, d):
     return files.merged_response(narrow, ["series", "t"], ["price", "n"])
 
 
-def _versions(spark, d, name: str, rows, put):
-    """The last version of a table that a foreachBatch writer keeps, after all ranges of the events."""
-    to, last = folder(spark, name), []
-
-    def each(batch, number):
-        put(to)(batch, number)
-        last.append(number)
-
-    jobs.replay(spark, f"{d}/events.parquet", to, lambda ticks: jobs.run_batches(rows(ticks), to, each))
-    return spark.read.parquet(f"{to}/v{max(last)}")
-
-
 @query("stream_tail_overwrite", "SELECT event_id, series, t, price FROM {ticks}")
 def stream_tail_overwrite(spark, d):
-    rows = lambda s: s.select("event_id", "series", F.unix_micros("ts").alias("t"), "price")
-    return _versions(spark, d, "tail", rows, lambda to: jobs.tail_overwriting(to, "series", "t"))
+    to, rows = folder(spark, "tail"), lambda s: s.select("event_id", "series", F.unix_micros("ts").alias("t"), "price")
+    put = jobs.tail_overwriting(f"{to}/table", "series", "t")
+    jobs.replay(spark, f"{d}/events.parquet", to, lambda s: jobs.run_batches(rows(s), to, put))
+    return jobs.tail_table(spark, f"{to}/table", rows(jobs.tick_stream(spark, f"{to}/in")).schema, "t")
 
 
 @query("stream_key_replace", "SELECT slot, arg_max(price, (t, event_id)) AS price FROM (SELECT *, event_id % 100 AS slot FROM {ticks}) GROUP BY slot")
 def stream_key_replace(spark, d):
     """Each batch brings the last price of a hundred slots; what is stored of a slot gives way."""
-    to, last = folder(spark, "replace"), []
+    to = folder(spark, "replace")
+    save = jobs.key_replacing(f"{to}/table", ["slot"])
 
     def put(batch, number):
-        newest = batch.groupBy("slot").agg(F.max_by("price", F.struct("ts", "event_id")).alias("price"))
-        jobs.key_replacing(to, ["slot"])(newest, number)
-        last.append(number)
+        save(batch.groupBy("slot").agg(F.max_by("price", F.struct("ts", "event_id")).alias("price")), number)
 
     rows = lambda s: s.select((F.col("event_id") % 100).alias("slot"), "event_id", "ts", "price")
     jobs.replay(spark, f"{d}/events.parquet", to, lambda s: jobs.run_batches(rows(s), to, put))
-    return spark.read.parquet(f"{to}/v{max(last)}")
+    return spark.read.parquet(f"{to}/table").select("slot", "price")
 
 
 _CLOSED = f"(SELECT series, t // {HOUR} * {HOUR} AS start, avg(price) AS price, arg_min(price, t) AS open, max(price) AS high, min(price) AS low, arg_max(price, t) AS close, count(*) AS n FROM {TICKS} GROUP BY ALL)"
