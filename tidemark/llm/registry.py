@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, search, secrets, vafile
+from . import chat, phrases, search, secrets, vafile
 from .bpe import op1_bpe_chunks
 from .chat import op6_chats
 from .counts import op11_token_cache
 from .html import op2_html_density
 from .mixing import op7_mixing
+from .phrases import op12_collocations
 from .quality import op3_quality
 from .search import op13_bag_search
 from .secrets import op9_secrets
@@ -28,7 +29,8 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_simhash": op10_simhash,
     "op11_token_cache": op11_token_cache,
+    "op12_collocations": op12_collocations,
     "op13_bag_search": op13_bag_search,
 }
 
-SQL = {"op6_chats": chat.SQL, "op8_vafile": vafile.SQL, "op9_secrets": secrets.SQL, "op13_bag_search": search.SQL}
+SQL = {"op6_chats": chat.SQL, "op8_vafile": vafile.SQL, "op9_secrets": secrets.SQL, "op12_collocations": phrases.SQL, "op13_bag_search": search.SQL}
