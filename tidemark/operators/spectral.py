@@ -1,8 +1,8 @@
 """Spectral transforms as table operators.
 
 A linear filter reads the rows behind each row. Series are cut into blocks of row_ix; a block also gets the rows its first outputs
-reach back to (its halo), so each block is a window partition of its own and a row moves once, with its halo copies.
-Circular filters let the halo wrap round the series' ends.
+reach back to (its halo), so a row moves once, with its halo copies, for all filters of a transform (see blocks). Circular filters let the halo
+wrap round the series' ends.
 """
 
 from __future__ import annotations
@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 
 from tidemark.shared import written
 
+from .blocks import BLOCK, Mask, over_blocks
 from .core import grid
 
-BLOCK = 4096
-
 
 def _array(values: list[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
@@ -42,18 +41,20 @@ def behind(df: DataFrame, key: str, value: str, reach: int, circular: bool = Fal
     return dealt.withColumn("_x", F.collect_list(value).over(w)).filter((F.col("_own") == F.col("_b")) & (F.col("_ix") >= 0)).drop("_own", "_b", "_ix")
 
 
-def fir(df: DataFrame, key: str, value: str, taps: list[float], stretch: int = 1, out: str = "filtered", circular: bool = False, block: int = BLOCK) -> DataFrame:
+def bank(df: DataFrame, key: str, value: str, masks: dict[str, Mask], circular: bool = False, block: int | None = None) -> DataFrame:
+    """df with a column for each mask: its sums over the value. All masks read a row and its halo in one exchange."""
+    df = with_size(df, key) if circular and "n_rows" not in df.columns else df
+    reach = max(m.reach for m in masks.values())
+    return over_blocks(df, key, [value], reach, lambda run, x: [run.apply(m, x) for m in masks.values()], [*masks], circular, block)
+
+
+def fir(df: DataFrame, key: str, value: str, taps: list[float], stretch: int = 1, out: str = "filtered", circular: bool = False, block: int | None = None) -> DataFrame:
     """df with `out` = sum of taps[l] * value[row_ix - stretch * l].
 
-    At the head of a series, where taps reach back over its start, the sum is divided by that of the taps in use."""
-    reach = (len(taps) - 1) * stretch
-    got = behind(df, key, value, reach, circular, block)
-    used = F.sequence(F.lit(0), F.least(F.lit(len(taps) - 1), F.floor((F.size("_x") - 1) / F.lit(stretch)).cast("int")))
-    t = _array(taps)
-    terms = F.transform(used, lambda j: t[j] * F.col("_x")[F.size("_x") - 1 - j * stretch])
-    total = F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)
-    weight = F.aggregate(used, F.lit(0.0), lambda s, j: s + t[j])
-    return got.withColumn(out, F.when((F.size("_x") > reach) | F.lit(circular), total).otherwise(total / weight)).drop("_x")
+    At the head of a series, where taps reach back over its start, the sum is divided by that of the taps in use. Masks of
+    more than blocks.DIRECT taps go by Fourier transforms of a block and the mask (overlap-save)."""
+    got = bank(df, key, value, {out: Mask(taps, stretch)}, circular, block)
+    return got if "n_rows" in df.columns else got.select(*df.columns, out)
 
 
 def low_pass(length: int, f: float) -> list[float]:
@@ -66,23 +67,48 @@ def low_pass(length: int, f: float) -> list[float]:
     return out
 
 
-def emd(df: DataFrame, key: str, value: str, masks: list[list[float]], siftings: int, cut=None) -> DataFrame:
+#: Rows that a pass of emd may reach back at most, unless one mask does.
+HALO = 16_384
+
+
+def sifted(masks: list[Mask], siftings: int):
+    """The modes of a block by these masks, and the rest."""
+
+    def run(run, x):
+        rest, modes = x, []
+        for mask in masks:
+            mode = rest
+            for _ in range(siftings):
+                mode = mode - run.apply(mask, mode)
+            modes.append(mode)
+            rest = rest - mode
+        return [*modes, rest]
+
+    return run
+
+
+def emd(df: DataFrame, key: str, value: str, masks: list[list[float]], siftings: int, cut=None, block: int | None = None, halo: int = HALO) -> DataFrame:
     """(key, row_ix, level, value): for each mask the rest loses its mode, the last rest is level 0.
 
-    A mode starts as the rest and loses its own filtered self `siftings` times. cut: what cuts the plan after each level, a
-    table in the shared folder by default, since both the level and the rest read it."""
+    A mode starts as the rest and loses its own filtered self `siftings` times. All siftings of all masks that together reach back `halo` rows at most
+    run in one pass over the blocks. cut: what cuts the plan between passes, a table in the shared folder by default, which its caller may remove."""
     cut = cut or (lambda df: written(df, "emd"))
-    rest = df.select(key, "row_ix", F.col(value).cast("double").alias("rest"))
-    levels = None
-    for i, mask in enumerate(masks):
-        mode = rest.withColumn("mode", F.col("rest"))
-        for _ in range(siftings):
-            mode = fir(mode, key, "mode", mask, out="low").withColumn("mode", F.col("mode") - F.col("low")).drop("low")
-        mode = cut(mode)
-        level = mode.select(key, "row_ix", F.lit(len(masks) - i).alias("level"), F.col("mode").alias("value"))
+    rest = df.select(key, "row_ix", F.col(value).cast("double").alias("_rest"))
+    ready, levels, at = [Mask(m) for m in masks], None, 0
+    while at < len(ready):
+        upto = at + 1
+        while upto < len(ready) and siftings * sum(m.reach for m in ready[at : upto + 1]) <= halo:
+            upto += 1
+        part = ready[at:upto]
+        names = [f"_m{i}" for i in range(at, upto)]
+        got = over_blocks(rest, key, ["_rest"], siftings * sum(m.reach for m in part), sifted(part, siftings), [*names, "_left"], block=block)
+        got = cut(got) if upto < len(ready) else got
+        each = [F.struct(F.lit(len(masks) - i).alias("level"), F.col(f"_m{i}").alias("value")) for i in range(at, upto)]
+        each += [F.struct(F.lit(0).alias("level"), F.col("_left").alias("value"))] if upto == len(ready) else []
+        level = got.select(key, "row_ix", F.explode(F.array(*each)).alias("_l")).select(key, "row_ix", "_l.level", "_l.value")
         levels = level if levels is None else levels.unionByName(level)
-        rest = mode.select(key, "row_ix", (F.col("rest") - F.col("mode")).alias("rest"))
-    return levels.unionByName(rest.select(key, "row_ix", F.lit(0).alias("level"), F.col("rest").alias("value")))
+        rest, at = got.select(key, "row_ix", F.col("_left").alias("_rest")), upto
+    return levels if levels is not None else rest.select(key, "row_ix", F.lit(0).alias("level"), F.col("_rest").alias("value"))
 
 
 def recompose(levels: DataFrame, keys: list[str], product: bool = False) -> DataFrame:
@@ -107,36 +133,57 @@ def daubechies4() -> list[float]:
     return [(1 + r) / d, (3 + r) / d, (3 - r) / d, (1 - r) / d]
 
 
-def modwt(df: DataFrame, key: str, value: str, taps: list[float], levels: int) -> DataFrame:
-    """df's (key, row_ix) with w1..wJ and v: maximal-overlap wavelet transform, circular, filters over sqrt(2)."""
-    low, high = ([t / math.sqrt(2) for t in f] for f in (taps, high_of(taps)))
-    got = with_size(df.select(key, "row_ix", F.col(value).cast("double").alias("v")), key)
-    for j in range(1, levels + 1):
-        got = fir(got, key, "v", high, 2 ** (j - 1), f"w{j}", True)
-        got = fir(got, key, "v", low, 2 ** (j - 1), "_v", True).drop("v").withColumnRenamed("_v", "v")
-    return got
+def _cascade(low: list[Mask], high: list[Mask]):
+    """w1..wJ and v of a block: each level filters what the one before left."""
+
+    def run(run, v):
+        out = []
+        for lo, hi in zip(low, high, strict=True):
+            out.append(run.apply(hi, v))
+            v = run.apply(lo, v)
+        return [*out, v]
+
+    return run
+
+
+def _cascaded(df: DataFrame, key: str, value: str, taps: list[float], levels: int, scale: float, block: int | None = None) -> DataFrame:
+    """(key, row_ix, n_rows, w1..wJ, v) by circular filters whose taps are 2^(j-1) rows apart at level j, all levels in one pass."""
+    low, high = ([Mask([t * scale for t in f], 2**j) for j in range(levels)] for f in (taps, high_of(taps)))
+    rows = with_size(df.select(key, "row_ix", F.col(value).cast("double").alias("_x")), key)
+    outs = [*(f"w{j}" for j in range(1, levels + 1)), "v"]
+    return over_blocks(rows, key, ["_x"], sum(m.reach for m in low), _cascade(low, high), outs, True, block).drop("_x")
+
 
+def _recascaded(df: DataFrame, key: str, taps: list[float], levels: int, scale: float, block: int | None = None) -> DataFrame:
+    """(key, row_ix, value) from w1..wJ and v: the same filters reaching forward, from the last level to the first. The series is turned round for it."""
+    low, high = ([Mask([t * scale for t in f], 2**j) for j in range(levels)] for f in (taps, high_of(taps)))
+    columns = [*(f"w{j}" for j in range(1, levels + 1)), "v"]
 
-def _ahead(df: DataFrame, key: str, value: str, taps: list[float], stretch: int, out: str) -> DataFrame:
-    """Circular filter that reaches forward: the series turned round, filtered, turned back."""
-    turned = df.withColumn("row_ix", F.col("n_rows") - 1 - F.col("row_ix"))
-    return fir(turned, key, value, taps, stretch, out, True).withColumn("row_ix", F.col("n_rows") - 1 - F.col("row_ix"))
+    def run(run, *x):
+        v = x[-1]
+        for j in range(levels - 1, -1, -1):
+            v = run.apply(high[j], x[j]) + run.apply(low[j], v)
+        return [v]
 
+    turn = F.col("n_rows") - 1 - F.col("row_ix")
+    rows = (df if "n_rows" in df.columns else with_size(df, key)).select(key, turn.alias("row_ix"), "n_rows", *columns)
+    return over_blocks(rows, key, columns, sum(m.reach for m in low), run, ["value"], True, block).select(key, turn.alias("row_ix"), "value")
 
-def imodwt(df: DataFrame, key: str, taps: list[float], levels: int) -> DataFrame:
+
+def modwt(df: DataFrame, key: str, value: str, taps: list[float], levels: int, block: int | None = None) -> DataFrame:
+    """df's (key, row_ix) with w1..wJ and v: maximal-overlap wavelet transform, circular, filters over sqrt(2)."""
+    return _cascaded(df, key, value, taps, levels, math.sqrt(0.5), block)
+
+
+def imodwt(df: DataFrame, key: str, taps: list[float], levels: int, block: int | None = None) -> DataFrame:
     """(key, row_ix, value) from modwt's table."""
-    low, high = ([t / math.sqrt(2) for t in f] for f in (taps, high_of(taps)))
-    got = df if "n_rows" in df.columns else with_size(df, key)
-    for j in range(levels, 0, -1):
-        got = _ahead(got, key, f"w{j}", high, 2 ** (j - 1), "_w")
-        got = _ahead(got, key, "v", low, 2 ** (j - 1), "_l").withColumn("v", F.col("_w") + F.col("_l")).drop("_w", "_l")
-    return got.select(key, "row_ix", F.col("v").alias("value"))
+    return _recascaded(df, key, taps, levels, math.sqrt(0.5), block)
 
 
 def dwt(df: DataFrame, key: str, value: str, taps: list[float]) -> DataFrame:
     """(key, row_ix, low, high) of half as many rows: circular filters, every second row kept. Series have an even length."""
     rows = df.select(key, "row_ix", F.col(value).cast("double").alias("x"), *(["n_rows"] if "n_rows" in df.columns else []))
-    got = fir(fir(rows if "n_rows" in df.columns else with_size(rows, key), key, "x", taps, 1, "low", True), key, "x", high_of(taps), 1, "high", True)
+    got = bank(rows, key, "x", {"low": Mask(taps), "high": Mask(high_of(taps))}, True)
     return got.filter("row_ix % 2 = 1").select(key, F.floor(F.col("row_ix") / 2).cast("long").alias("row_ix"), "low", "high", F.floor(F.col("n_rows") / 2).cast("long").alias("n_rows"))
 
 
@@ -147,23 +194,15 @@ def idwt(df: DataFrame, key: str, taps: list[float]) -> DataFrame:
     return spread.groupBy(key, at.alias("row_ix")).agg(F.sum(F.col("low") * F.col("_t")["0"] + F.col("high") * F.col("_t")["1"]).alias("value"))
 
 
-def swt(df: DataFrame, key: str, value: str, taps: list[float], levels: int) -> DataFrame:
+def swt(df: DataFrame, key: str, value: str, taps: list[float], levels: int, block: int | None = None) -> DataFrame:
     """(key, row_ix, w1..wJ, v): the undecimated transform, circular; the filters of level j reach 2^(j-1) rows a tap. A series whose length is no multiple
     of 2^levels is filled up with its last value (see padded)."""
-    got = with_size(df.select(key, "row_ix", F.col(value).cast("double").alias("v")), key)
-    for j in range(1, levels + 1):
-        got = fir(got, key, "v", high_of(taps), 2 ** (j - 1), f"w{j}", True)
-        got = fir(got, key, "v", taps, 2 ** (j - 1), "_v", True).drop("v").withColumnRenamed("_v", "v")
-    return got
+    return _cascaded(df, key, value, taps, levels, 1.0, block)
 
 
-def iswt(df: DataFrame, key: str, taps: list[float], levels: int) -> DataFrame:
+def iswt(df: DataFrame, key: str, taps: list[float], levels: int, block: int | None = None) -> DataFrame:
     """(key, row_ix, value) from swt's table: of both filters turned forward, half the sum at each level."""
-    got = df if "n_rows" in df.columns else with_size(df, key)
-    for j in range(levels, 0, -1):
-        got = _ahead(got, key, f"w{j}", high_of(taps), 2 ** (j - 1), "_w")
-        got = _ahead(got, key, "v", taps, 2 ** (j - 1), "_l").withColumn("v", (F.col("_w") + F.col("_l")) / 2).drop("_w", "_l")
-    return got.select(key, "row_ix", F.col("v").alias("value"))
+    return _recascaded(df, key, taps, levels, 0.5, block)
 
 
 def padded(df: DataFrame, key: str, value: str, levels: int) -> DataFrame:
@@ -237,40 +276,57 @@ def morlet(scale: float, omega: float = 5.0, width: float = 4.0) -> list[float]:
     return [x / size for x in raw]
 
 
+def by_scale(got: DataFrame, key: str, scales: list[float], columns: dict[str, list[str]]) -> DataFrame:
+    """(key, row_ix, scale, columns) of a table with a column for each scale."""
+    each = [F.struct(F.lit(float(s)).alias("scale"), *(F.col(names[i]).alias(c) for c, names in columns.items())) for i, s in enumerate(scales)]
+    return got.select(key, "row_ix", "n_rows", F.explode(F.array(*each)).alias("_s")).select(key, "row_ix", "n_rows", "_s.*")
+
+
 def cwt(df: DataFrame, key: str, value: str, scales: list[float]) -> DataFrame:
-    """(key, row_ix, scale, value): a causal, circular filter of Morlet taps for each scale."""
-    out, df = None, with_size(df, key)
-    for s in scales:
-        got = fir(df, key, value, morlet(s), 1, "_c", True).select(key, "row_ix", F.lit(s).alias("scale"), F.col("_c").alias("value"))
-        out = got if out is None else out.unionByName(got)
-    return out
+    """(key, row_ix, scale, value): a causal, circular filter of Morlet taps for each scale, all in one exchange."""
+    names = [f"_c{i}" for i in range(len(scales))]
+    got = bank(df.select(key, "row_ix", value), key, value, {n: Mask(morlet(s)) for n, s in zip(names, scales, strict=True)}, True)
+    return by_scale(got, key, scales, {"value": names}).drop("n_rows")
 
 
 #: Mother wavelets at zero and their reconstruction factors, of a published table for these three (fixed values).
 MOTHERS = {"morlet": (math.pi**-0.25, 0.776), "paul": (1.079, 1.132), "dog": (0.867, 3.541)}
 
 
-def mother(kind: str, scale: float, width: float = 4.0) -> list[float]:
-    """Real taps of a mother wavelet at a scale, from -half to half and of unit energy in the continuum: Morlet (frequency 6), Paul (order 4) or the
-    second derivative of a Gaussian. They end at `width` scales; below a scale of 2 rows, Morlet and Paul waves are too short for the rows."""
+def complex_mother(kind: str, scale: float, width: float = 4.0) -> list[complex]:
+    """Taps of a mother wavelet at a scale, from -half to half and of unit energy in the continuum: Morlet (frequency 6), Paul (order 4) or the
+    second derivative of a Gaussian (real). They end at `width` scales; below a scale of 2 rows, Morlet and Paul waves are too short for the rows."""
     shape = {
-        "morlet": lambda x: math.pi**-0.25 * math.exp(-0.5 * x * x) * math.cos(6 * x),
-        "paul": lambda x: 2**4 * math.factorial(4) / math.sqrt(math.pi * math.factorial(8)) * ((1 - 1j * x) ** -5).real,
-        "dog": lambda x: (1 - x * x) * math.exp(-0.5 * x * x) / math.sqrt(math.gamma(2.5)),
+        "morlet": lambda x: math.pi**-0.25 * math.exp(-0.5 * x * x) * complex(math.cos(6 * x), math.sin(6 * x)),
+        "paul": lambda x: 2**4 * math.factorial(4) / math.sqrt(math.pi * math.factorial(8)) * (1 - 1j * x) ** -5,
+        "dog": lambda x: complex((1 - x * x) * math.exp(-0.5 * x * x) / math.sqrt(math.gamma(2.5))),
     }[kind]
     half = max(1, math.ceil(width * scale))
     return [shape(i / scale) / math.sqrt(scale) for i in range(-half, half + 1)]
 
 
+def mother(kind: str, scale: float, width: float = 4.0) -> list[float]:
+    """The real parts of the taps."""
+    return [t.real for t in complex_mother(kind, scale, width)]
+
+
+def cwt_complex(df: DataFrame, key: str, value: str, kind: str, scales: list[float], width: float = 4.0) -> DataFrame:
+    """(key, row_ix, scale, value, im): real and imaginary part of the transform by a mother wavelet centred at each row; series are circular. All
+    scales and both parts are filtered in one exchange.
+
+    A coefficient is the sum of the series with the conjugate wave: a filter of its taps turned round, and of a wave with a real even and an
+    imaginary odd part those are the taps themselves."""
+    taps = [complex_mother(kind, s, width) for s in scales]
+    names = {part: [f"_{part}{i}" for i in range(len(scales))] for part in ("re", "im")}
+    masks = {n: Mask([t.real for t in ts]) for n, ts in zip(names["re"], taps, strict=True)} | {n: Mask([t.imag for t in ts]) for n, ts in zip(names["im"], taps, strict=True)}
+    got = by_scale(bank(df.select(key, "row_ix", value), key, value, masks, True), key, scales, {"value": names["re"], "im": names["im"]})
+    half = F.greatest(F.lit(1), F.ceil(F.col("scale") * width)).cast("long")
+    return got.select(key, F.pmod(F.col("row_ix") - half, F.col("n_rows")).alias("row_ix"), "scale", "value", "im")
+
+
 def cwt_centred(df: DataFrame, key: str, value: str, kind: str, scales: list[float], width: float = 4.0) -> DataFrame:
     """(key, row_ix, scale, value): the real part of the transform by a mother wavelet centred at each row; series are circular."""
-    out, df = None, with_size(df, key)
-    for s in scales:
-        taps = mother(kind, s, width)
-        at = F.pmod(F.col("row_ix") - len(taps) // 2, F.col("n_rows"))
-        got = fir(df, key, value, taps, 1, "_c", True).select(key, at.alias("row_ix"), F.lit(float(s)).alias("scale"), F.col("_c").alias("value"))
-        out = got if out is None else out.unionByName(got)
-    return out
+    return cwt_complex(df, key, value, kind, scales, width).drop("im")
 
 
 def icwt(coefficients: DataFrame, key: str, kind: str, step: float) -> DataFrame:

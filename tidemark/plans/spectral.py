@@ -235,6 +235,30 @@ def mother_wavelets(spark, d):
     return out
 
 
+def _complex_sql() -> str:
+    parts = []
+    for kind in ("morlet", "paul"):
+        for scale in _SCALES:
+            taps = sp.complex_mother(kind, scale)
+            re, im = (_circular_sql("x0", part) for part in ([t.real for t in taps], [t.imag for t in taps]))
+            at = f"((a.row_ix - {len(taps) // 2}) % n + n) % n"
+            parts.append(
+                f"""SELECT '{kind}' AS mother, a.series, {at} AS row_ix, round({scale!r}::DOUBLE, 6) AS scale, round(a.y, 6) + 0.0 AS re, round(b.y, 6) + 0.0 AS im
+                FROM {re} a JOIN {im} b USING (series, row_ix) JOIN (SELECT series, max(row_ix) + 1 AS n FROM x0 GROUP BY series) m ON m.series = a.series"""
+            )
+    return f"WITH {X} " + " UNION ALL ".join(parts)
+
+
+@query("complex_wavelet_transform", _complex_sql())
+def complex_wavelet_transform(spark, d):
+    """Real and imaginary coefficients of the two complex mother wavelets."""
+    out = None
+    for kind in ("morlet", "paul"):
+        got = sp.cwt_complex(rows(spark, d), "series", "price", kind, _SCALES).select(F.lit(kind).alias("mother"), "series", "row_ix", r6("scale", "scale"), (F.round("value", 6) + 0.0).alias("re"), (F.round("im", 6) + 0.0).alias("im"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 @query("continuous_wavelet_inverse", f"WITH {X} SELECT series, row_ix, round(sum(y / sqrt(scale)) * {0.5 / (sp.MOTHERS['dog'][0] * sp.MOTHERS['dog'][1])!r}, 5) + 0.0 AS value FROM {_centred_sql('dog')} GROUP BY ALL")
 def continuous_wavelet_inverse(spark, d):
     got = sp.icwt(sp.cwt_centred(rows(spark, d), "series", "price", "dog", _SCALES), "series", "dog", 0.5)
