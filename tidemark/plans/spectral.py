@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import core
+from tidemark.operators import core, fourier
 from tidemark.operators import spectral as sp
 
 from .tables import query, r6, read, ticks
@@ -293,12 +293,52 @@ def spectral_centroid(spark, d):
     return sp.centroid(_frames(spark, d), ["series", "frame"], _N).select("series", "frame", r6("centroid", "centroid"))
 
 
-@query("spectrum_peaks")
-def spectrum_peaks(spark, d):
+def _frames_sql(size: int) -> str:
+    return f"""(SELECT a.series, a.row_ix AS frame, bin, sum(b.price * cos(2 * pi() * bin * (b.row_ix - a.row_ix) / {size})) AS re, -sum(b.price * sin(2 * pi() * bin * (b.row_ix - a.row_ix) / {size})) AS im
+    FROM {R} a JOIN (SELECT unnest(range({size // 2 + 1})) AS bin) ON true JOIN {R} b ON b.series = a.series AND b.row_ix >= a.row_ix AND b.row_ix < a.row_ix + {size}
+    WHERE a.row_ix + {size} <= a.n GROUP BY ALL)"""
+
+
+@query("frame_peaks", f"""WITH m AS (SELECT series, frame, bin, abs(re) + abs(im) AS m FROM {_frames_sql(8)}),
+p AS (SELECT *, lag(m) OVER w AS a, lead(m) OVER w AS b FROM m WINDOW w AS (PARTITION BY series, frame ORDER BY bin)),
+s AS (SELECT series, frame, bin, m, m - (a + b) / 2 AS score FROM p WHERE m > a AND m > b)
+SELECT series, frame, CAST(bin AS INTEGER) AS bin, round(m, 6) AS m, round(score, 6) AS score FROM (SELECT *, percent_rank() OVER (PARTITION BY series, frame ORDER BY score) AS place FROM s) WHERE place >= 0.5""")
+def frame_peaks(spark, d):
+    """Local maxima of frames of eight rows, the upper half of each by height over their neighbours."""
     got = sp.peaks(sp.stft(rows(spark, d), "series", "price", 8), ["series", "frame"], 0.5)
     return got.select("series", "frame", "bin", r6("m", "m"), r6("score", "score"))
 
 
+_SPECTRUM = f"""(SELECT series, bin, n2 AS n, sum(price * cos(2 * pi() * ((bin * row_ix) % n2) / n2)) AS re, -sum(price * sin(2 * pi() * ((bin * row_ix) % n2) / n2)) AS im
+FROM (SELECT series, row_ix, price, n // 2 * 2 AS n2, unnest(range(n // 2 + 1)) AS bin FROM {R} WHERE n >= 2 AND row_ix < n // 2 * 2) GROUP BY ALL)"""
+_PEAKS = f"""s AS MATERIALIZED (SELECT series, bin, n, round(abs(re) + abs(im), 6) AS m FROM {_SPECTRUM}),
+near AS (SELECT a.series, a.bin, a.m, a.n, max(b.bin) FILTER (b.bin < a.bin AND b.m >= a.m) AS before, min(b.bin) FILTER (b.bin > a.bin AND b.m >= a.m) AS behind FROM s a JOIN s b USING (series) GROUP BY ALL),
+sides AS (SELECT *, coalesce(bin - before, 1000000000000) AS l, coalesce(behind - bin, 1000000000000) AS r FROM near),
+peaks AS MATERIALIZED (SELECT *, width + m AS score FROM (SELECT *, greatest(0, least(least(l, r, n // 2 - bin), bin, l - 1)) + greatest(0, least(least(l, r, n // 2 - bin), r - 1)) AS width FROM sides) WHERE width > 0)"""
+
+
+@query("series_spectrum", f"SELECT series, bin, n, round(re, 4) + 0.0 AS re, round(im, 4) + 0.0 AS im FROM {_SPECTRUM}")
+def series_spectrum(spark, d):
+    """The Fourier transform of each whole series."""
+    got = fourier.spectrum(rows(spark, d), "series", "price")
+    return got.select("series", "bin", "n", (F.round("re", 4) + 0.0).alias("re"), (F.round("im", 4) + 0.0).alias("im"))
+
+
+@query("spectrum_peaks", f"WITH {_PEAKS} SELECT series, bin, m, CAST(width AS BIGINT) AS width, round(score, 6) AS score FROM peaks")
+def spectrum_peaks(spark, d):
+    """Broad and tall peaks of each whole series' spectrum."""
+    m = fourier.magnitudes(fourier.spectrum(rows(spark, d), "series", "price"), 6)
+    return fourier.broad_peaks(m, "series").select("series", "bin", "m", "width", r6("score", "score"))
+
+
+@query("dominant_frequency", f"""WITH {_PEAKS}, one AS (SELECT series, score, min(bin) AS bin, any_value(n) AS n FROM peaks GROUP BY series, score),
+placed AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY score) AS place, count(*) OVER (PARTITION BY series) AS of FROM one)
+SELECT series, bin, round(0.5 * bin * 60 / n, 6) AS frequency FROM placed WHERE place - 1 = floor(0.9 * (of - 1))""")
+def dominant_frequency(spark, d):
+    """Half the frequency of the peak at nine tenths of each spectrum's peaks, at sixty samples a unit of time."""
+    return fourier.dominant_frequency(rows(spark, d), "series", "price", 0.9, 60.0, digits=6).select("series", "bin", r6("frequency", "frequency"))
+
+
 @query("vmd_filter_bank")
 def vmd_filter_bank(spark, d):
     got = sp.rotation_bank(rows(spark, d), "series", "price", [0.1, 0.7, 1.9], block=256)
