@@ -48,13 +48,13 @@ def bank(df: DataFrame, key: str, value: str, masks: dict[str, Mask], circular:
     return over_blocks(df, key, [value], reach, lambda run, x: [run.apply(m, x) for m in masks.values()], [*masks], circular, block)
 
 
-def fir(df: DataFrame, key: str, value: str, taps: list[float], stretch: int = 1, out: str = "filtered", circular: bool = False, block: int | None = None) -> DataFrame:
-    """df with `out` = sum of taps[l] * value[row_ix - stretch * l].
+def fir(df: DataFrame, key: str, value: str, taps: list[float], stretch: int = 1, out: str = "filtered", circular: bool = False, block: int | None = None, keep_size: bool = False) -> DataFrame:
+    """df with `out` = sum of taps[l] * value[row_ix - stretch * l] (keep_size: and with n_rows, for circular filters).
 
     At the head of a series, where taps reach back over its start, the sum is divided by that of the taps in use. Masks of
     more than blocks.DIRECT taps go by Fourier transforms of a block and the mask (overlap-save)."""
     got = bank(df, key, value, {out: Mask(taps, stretch)}, circular, block)
-    return got if "n_rows" in df.columns else got.select(*df.columns, out)
+    return got if keep_size or "n_rows" in df.columns else got.select(*df.columns, out)
 
 
 def low_pass(length: int, f: float) -> list[float]:

@@ -10,14 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .core import in_order
-from .spectral import behind
+from .spectral import behind, fir
 
 
 def circular_mean(df: DataFrame, key: str, value: str, radius: int, out: str = "mean") -> DataFrame:
-    """Mean over 2*radius+1 neighbours by row_ix, wrapping round each series' ends."""
-    n = df.groupBy(key).agg((F.max("row_ix") + 1).alias("_n"))
-    spread = df.select(key, F.col("row_ix").alias("_from"), F.col(value).alias("_v")).join(n, key).withColumn("_j", F.explode(F.sequence(F.lit(-radius), F.lit(radius))))
-    means = spread.groupBy(key, F.pmod(F.col("_from") + F.col("_j"), F.col("_n")).alias("row_ix")).agg((F.sum("_v") / (2 * radius + 1)).alias(out))
+    """Mean over 2*radius+1 neighbours by row_ix, wrapping round each series' ends: a circular filter, moved back by the radius."""
+    size = 2 * radius + 1
+    sums = fir(df.select(key, "row_ix", F.col(value).cast("double").alias("_v"), *(["n_rows"] if "n_rows" in df.columns else [])), key, "_v", [1.0 / size] * size, 1, "_m", True, keep_size=True)
+    means = sums.select(key, F.pmod(F.col("row_ix") - radius, F.col("n_rows")).alias("row_ix"), F.col("_m").alias(out))
     return df.join(means, [key, "row_ix"])
 
 
@@ -89,10 +89,9 @@ def worst_rows(df: DataFrame, key: str, label: str, drop: int) -> DataFrame:
 
 
 def weights_from_scores(df: DataFrame, key: str, score: str) -> DataFrame:
-    """df with `weight`: scores inverted around their extremes, over their mean."""
-    w = Window.partitionBy(key)
-    inverted = df.withColumn("_i", F.max(score).over(w) + F.min(score).over(w) - F.col(score))
-    return inverted.withColumn("weight", F.col("_i") / F.avg("_i").over(w)).drop("_i")
+    """df with `weight`: scores inverted around their extremes, over their mean (the extremes less the mean score)."""
+    ends = df.groupBy(key).agg((F.max(score) + F.min(score)).alias("_ends"), F.avg(score).alias("_mean"))
+    return df.join(ends, key).withColumn("weight", (F.col("_ends") - F.col(score)) / (F.col("_ends") - F.col("_mean"))).select(*df.columns, "weight")
 
 
 def snapped_to(df: DataFrame, value: str, allowed: list[float], out: str = "snapped") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import core, frames
+from tidemark.operators import core, frames, kernels
 from tidemark.operators.core import DAY, HOUR
 from tidemark.shared import written
 
@@ -170,6 +170,22 @@ def chunked_prediction(spark, d):
     return frames.predict_chunks(v.filter("vec_id % 5 = 0"), models, ["group"], ["vec_id"]).select("vec_id", r6("prediction", "prediction"))
 
 
+@query("blocked_prediction")
+def blocked_prediction(spark, d):
+    """Every fifth row, predicted by the two best models of its group's four chunks: exact fits towards small absolute errors, by blocks of rows and support rows."""
+    v = _vectors(spark, d).withColumn("group", F.floor(F.col("chunk") / 4))
+    models = kernels.fit_exact(v.filter("vec_id % 5 <> 0"), ["group", "chunk"], 0.5, item="vec_id")
+    return kernels.predict(v.filter("vec_id % 5 = 0"), models, ["group"], ["vec_id"], best=2).select("vec_id", r6("prediction", "prediction"))
+
+
+@query("large_chunk_fit")
+def large_chunk_fit(spark, d):
+    """Four fits to three quarters of the table's rows, and their forecasts of the others: chunks that grow with the table, over random features."""
+    v = _vectors(spark, d).withColumn("part", F.pmod(F.floor(F.col("vec_id") / 4), F.lit(4)))
+    models = kernels.fit_large(v.filter("vec_id % 4 <> 0"), ["part"], 0.05, 64, rounds=3)
+    return kernels.predict(v.filter("vec_id % 4 = 0"), models, ["part"], ["vec_id"]).select("part", "vec_id", r6("prediction", "prediction"))
+
+
 @query("residual_models")
 def residual_models(spark, d):
     """A chunk's first model learns from its even rows, the second from what the first leaves on the odd ones, which it hasn't seen; the forecast of
