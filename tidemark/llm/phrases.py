@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import mapped, whole, written
 
 LEAST, WORDS, TOP = 30, 4, 2000
-SHARD_WORDS = 1 << 21
+SHARD_WORDS = 3 << 20
 #: Rows of an Arrow batch.
 ROWS = 100_000
 #: Parts in which a language's candidates are put in order before the last step, which sees SALTS * TOP rows of a language at most.
@@ -140,7 +140,7 @@ def _shards(shard_words: int, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[Vocabulary, list[np.ndarray]]] = {}
         sizes: dict[str, int] = {}
-        shard = TaskContext.get().partitionId() << 32
+        shard = TaskContext.get().partitionId() << 12
 
         def index(lang: str) -> pa.RecordBatch:
             nonlocal shard
@@ -148,6 +148,8 @@ def _shards(shard_words: int, depth: int):
             vocabulary, parts = held.pop(lang)
             del sizes[lang]
             words = np.concatenate(parts)
+            if len(words) >= 1 << PLACE:
+                raise ValueError(f"a text of {len(words)} words")
             texts = pa.array([b"", *list(vocabulary)[1:]], pa.binary()).cast(pa.string())
             return pa.RecordBatch.from_pylist([{"shard": shard, "lang": lang, "n": int(np.count_nonzero(words)), "words": texts.to_pylist(), "bwt": packed(transform(words, depth))}], _INDEX)
 
@@ -174,7 +176,10 @@ def build(docs: DataFrame, lang: str = "lang", text: str = "text", depth: int =
     return written(mapped(rows, _shards(shard_words, depth), "shard long, lang string, n long, words array<string>, bwt binary"), "fm-index")
 
 
-_GRAMS = "lang string, phrase string, size int, n long, at_left long, at_right long, shard long, node int"
+#: Bits of a place in a shard.
+PLACE = 28
+#: A row of a phrase and a shard: phrase, tab and language; count; occurrences with a word at the left and right, 32 bits each; shard and interval.
+_GRAMS = "key string, n long, sides long, place long"
 
 
 def _grams(sizes: list[int]):
@@ -186,8 +191,8 @@ def _grams(sizes: list[int]):
             starts, *counts = (x[i : i + ROWS] for x in found)
             words = [texts.take(pa.array(w)) for w in index.words(starts)]
             phrase = pc.binary_join_element_wise(*words, " ") if len(words) > 1 else words[0]
-            rows = len(starts)
-            yield pa.RecordBatch.from_arrays([pa.repeat(lang, rows), phrase, pa.repeat(pa.scalar(index.size, pa.int32()), rows), *(pa.array(c, pa.int64()) for c in counts), pa.repeat(pa.scalar(shard, pa.int64()), rows), pa.array(starts, pa.int32())], names=[c.split()[0] for c in _GRAMS.split(", ")])
+            n, left, right = counts
+            yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(phrase, lang, "\t"), pa.array(n, pa.int64()), pa.array(left << 32 | right, pa.int64()), pa.array(shard << PLACE | starts, pa.int64())], names=[c.split()[0] for c in _GRAMS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,10 +215,17 @@ def _grams(sizes: list[int]):
 
 
 def _frequent(rows: DataFrame, least: int) -> DataFrame:
-    """Rows of phrases whose sums over all shards reach `least`, with the sums; `one` marks one row of each phrase. A phrase has one row a shard."""
-    same = Window.partitionBy("lang", "phrase")
-    summed = rows.select("lang", "phrase", "size", "shard", "node", F.sum("n").over(same).alias("a"), F.sum("at_left").over(same).alias("left_n"), F.sum("at_right").over(same).alias("right_n"), (F.max("shard").over(same) == F.col("shard")).alias("one"))
-    return written(summed.filter((F.col("a") >= least) & (F.col("one") | (F.col("size") > 1))), "grams")
+    """(lang, phrase, size, shard, node, sums) of phrases whose sums over all shards reach `least`; `one` marks one row of each phrase. A phrase has one row a shard.
+
+    Rows are dealt by phrase and sorted by a hash first, which decides nearly every comparison and needn't be shuffled."""
+    rows = rows.repartition("key")
+    same = Window.partitionBy(F.xxhash64("key"), "key")
+    low = F.lit((1 << 32) - 1)
+    total = lambda c: F.sum(c).over(same)
+    summed = rows.select("key", "place", total(F.col("n")).alias("a"), total(F.shiftright("sides", 32)).alias("left_n"), total(F.col("sides").bitwiseAND(low)).alias("right_n"), (F.max("place").over(same) == F.col("place")).alias("one")).filter(F.col("a") >= least)
+    phrase = F.substring_index("key", "\t", 1)  # which has no tab
+    named = summed.select(F.substring(F.col("key"), F.length(phrase) + 2, F.length("key")).alias("lang"), phrase.alias("phrase"), (F.length(phrase) - F.length(F.replace(phrase, F.lit(" "))) + 1).alias("size"), F.shiftright("place", PLACE).alias("shard"), F.col("place").bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int").alias("node"), "a", "left_n", "right_n", "one")
+    return written(named.filter(F.col("one") | (F.col("size") > 1)), "grams")
 
 
 def frequent_phrases(index: DataFrame, least: int = LEAST, words: int = WORDS) -> DataFrame:
@@ -255,7 +267,7 @@ def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, words: int
     Whole texts of all rows count, copies too; a null text is empty, a null language "und". a, l, r: occurrences of the phrase and of the two parts
     of its lowest-scoring cut; n: words of the language; left_n, right_n: occurrences with a word of the piece at that side. Equal scores go by a, then by the
     phrase's bytes. Languages without a candidate and empty tables have no rows; other columns are not read. A shard has some shard_words words
-    (or one text's, if that has more); a phrase is one row a shard before sums are taken, so no language or phrase is a group of all its occurrences."""
+    (or one text's, if that has more; one of 2^28 words is an error); a phrase is one row a shard before sums are taken, so no language or phrase is a group of all its occurrences."""
     index = build(docs, lang, text, words, shard_words)
     total = index.groupBy("lang").agg(F.sum("n").alias("n"))
     found = scored(frequent_phrases(index, least, words), words).withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
