@@ -179,7 +179,9 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str | None = None, text
         distinct = distinct if lacks <= broadcast_rows else distinct.join(lacking, "digest", "left_semi")
         counted = mapped(distinct.select("digest", "content"), _encoded(tokenizer), "digest binary, n_tokens long")
         counted.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache)
-    out = keyed.join(cached(spark, cache, version), "digest").select(*names, "n_bytes", "n_tokens")
+    # a table of its own on this side of the join lets Spark split the rows of a hot digest on the other
+    counts = written(cached(spark, cache, version).join(keyed.select("digest").distinct(), "digest", "left_semi"), "counts")
+    out = keyed.join(counts, "digest").select(*names, "n_bytes", "n_tokens")
     return out.toDF(*kept, n_bytes, n_tokens)
 
 
