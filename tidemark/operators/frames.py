@@ -195,36 +195,96 @@ def recombined(parts: DataFrame, known: DataFrame, keys: list[str], level: str,
     return each.groupBy(*keys).agg(F.sum(value).alias("value"))
 
 
-def bacon(df: DataFrame, keys: list[str], columns: list[str], cutoff: float, rounds: int = 5) -> DataFrame:
-    """df with `outlier`: rows whose Mahalanobis distance from the basic subset is over the cutoff.
-
-    The subset starts as the rows whose scaled distance from the medians is within the cutoff, and is chosen anew each round from all rows by its mean and
-    covariance (blocked adaptive outlier nomination). Sums are taken in Spark; only each group's matrix, as large as its columns, is inverted in Python."""
+def chi_square_quantile(p: int, tail: float) -> float:
+    """x with a tail probability P(X > x) = tail for a chi-square variable of p degrees of freedom, by bisection over the closed form of the tail."""
+
+    def above(x: float) -> float:
+        # Q(p/2, x/2): Q(a + 1, y) = Q(a, y) + y^a e^-y / gamma(a + 1), from Q(1/2, y) = erfc(sqrt(y)) or Q(1, y) = e^-y
+        y = x / 2
+        a, q = (0.5, math.erfc(math.sqrt(y))) if p % 2 else (1.0, math.exp(-y))
+        while a < p / 2:
+            q += math.exp(a * math.log(y) - y - math.lgamma(a + 1)) if y > 0 else 0.0
+            a += 1
+        return q
+
+    low, high = 0.0, 1.0
+    while above(high) > tail:
+        high *= 2
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if above(middle) > tail else (low, middle)
+    return (low + high) / 2
+
+
+def bacon_cutoff(n: int, p: int, r: int, alpha: float) -> float:
+    """The squared distance that bounds the basic subset: the chi-square quantile for alpha / n times the squared correction for n rows, p columns and a subset of r."""
+    h = (n + p + 1) // 2
+    small = 1 + (p + 1) / max(1, n - p) + 2 / max(1, n - 1 - 3 * p)
+    return chi_square_quantile(p, alpha / n) * (small + max(0.0, (h - r) / (h + r))) ** 2
+
+
+def bacon(df: DataFrame, keys: list[str], columns: list[str], alpha: float = 0.01, start: int = 4, rounds: int = 100, accuracy: int = 10_000) -> DataFrame:
+    """df with `outlier`: rows that blocked adaptive outlier nomination leaves out of the basic subset.
+
+    The first subset is the start * p rows of each group nearest to the medians (ties with the last of them too), and twice as many while its covariance has no
+    inverse. Each round takes all rows whose distance by the subset's mean and covariance is below the corrected chi-square quantile, until no group's subset
+    changes, or `rounds` are over. Medians come from mergeable sketches (1 / accuracy of the rows off at most); rows with a null are outliers of no subset (null).
+    A round reads df once and adds up moments in Spark; matrices as large as the columns are inverted, one for each group. Only numbers of changed groups go through the driver.
+    Subsets of each round are one row a group in a table of the shared folder; their caller may remove them."""
     import numpy as np
     import pandas as pd
 
     p = len(columns)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-
-    def inverted(m: pd.Series) -> pd.Series:
+    whole = F.lit(True)
+    for c in columns:
+        whole = whole & F.col(c).isNotNull()
+    rows = df.filter(whole)
+    middle = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *(F.percentile_approx(c, 0.5, accuracy).alias(f"_m{i}") for i, c in enumerate(columns)))
+    far = sum(((F.col(c) - F.col(f"_m{i}")) * (F.col(c) - F.col(f"_m{i}")) for i, c in enumerate(columns)), F.lit(0.0))
+
+    def shaped(n: pd.Series, r: pd.Series, cov: pd.Series) -> pd.DataFrame:
+        """Inverse and cutoff of each group; no inverse where the subset lies in a plane."""
         out = []
-        for flat in m:
+        for n_, r_, flat in zip(n, r, cov, strict=True):
             c = np.zeros((p, p))
             for (i, j), v in zip(pairs, flat, strict=True):
                 c[i, j] = c[j, i] = v
-            out.append(np.linalg.pinv(c, hermitian=True).ravel().tolist())
-        return pd.Series(out)
-
-    inverted.__annotations__ = {"m": pd.Series, "return": pd.Series}
-    inverse = F.pandas_udf(inverted, "array<double>")
-    middle = df.groupBy(*keys).agg(*(F.median(c).alias(f"_m{i}") for i, c in enumerate(columns)), *((F.stddev_pop(c) + 1e-12).alias(f"_s{i}") for i, c in enumerate(columns)))
-    d2 = sum(((F.col(c) - F.col(f"_m{i}")) / F.col(f"_s{i}")) ** 2 for i, c in enumerate(columns))
-    rows = df.join(middle, keys).withColumn("outlier", d2 > cutoff * cutoff).select(*df.columns, "outlier")
-    for _ in range(rounds):
-        basic = rows.filter(~F.col("outlier"))
+            scale = np.sqrt(np.diag(c))
+            full = bool((scale > 0).all()) and np.linalg.matrix_rank(c / np.outer(scale, scale), tol=1e-9, hermitian=True) == p
+            out.append({"inv": np.linalg.inv(c).ravel().tolist() if full else None, "cut": bacon_cutoff(int(n_), p, int(r_), alpha)})
+        return pd.DataFrame(out, columns=["inv", "cut"])
+
+    shaped.__annotations__ = {"n": pd.Series, "r": pd.Series, "cov": pd.Series, "return": pd.DataFrame}
+    shape_of = F.pandas_udf(shaped, "inv array<double>, cut double")
+
+    def shape(subset: DataFrame) -> DataFrame:
         cov = F.array(*(F.coalesce(F.covar_samp(columns[i], columns[j]), F.lit(0.0)) for i, j in pairs))
-        shape = basic.groupBy(*keys).agg(*(F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)), cov.alias("_cov")).withColumn("_inv", inverse("_cov"))
+        sums = subset.groupBy(*keys).agg(F.first("_n").alias("_n"), F.count("*").alias("_r"), F.bit_xor(F.xxhash64(*columns)).alias("_rows"), *(F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)), cov.alias("_cov"))
+        return written(sums.withColumn("_s", shape_of("_n", "_r", "_cov")).select(*keys, "_n", "_r", "_rows", *(f"_m{i}" for i in range(p)), "_s.inv", "_s.cut"), "bacon")
+
+    def within(shape: DataFrame, of: DataFrame) -> DataFrame:
         off = [F.col(c) - F.col(f"_m{i}") for i, c in enumerate(columns)]
-        d2 = sum(off[i] * off[j] * F.col("_inv")[i * p + j] for i in range(p) for j in range(p))
-        rows = written(df.join(shape, keys).withColumn("outlier", d2 > cutoff * cutoff).select(*df.columns, "outlier"), "bacon")
-    return rows
+        d2 = sum((off[i] * off[j] * F.col("inv")[i * p + j] for i in range(p) for j in range(p)), F.lit(0.0))
+        return of.join(shape, keys, "left").withColumn("outlier", d2 >= F.col("cut"))
+
+    size = start * p
+    nearest = Window.partitionBy(*keys).orderBy(F.round("_d", 9))
+    while True:
+        # rank is a limit that Spark applies before the exchange, so no group is sorted as a whole
+        first = rows.join(middle, keys).withColumn("_d", far).withColumn("_k", F.rank().over(nearest)).filter(F.col("_k") <= size)
+        now = shape(first)
+        most = now.filter("inv IS NULL AND _r < _n").limit(1).count()
+        if not most:
+            break
+        size *= 2
+    for _ in range(rounds):
+        subset = within(now.filter("inv IS NOT NULL"), rows).filter("NOT outlier").select(*keys, *(c for c in columns if c not in keys), "_n")
+        new = shape(subset)
+        last = now.select(*keys, F.col("_r").alias("_r0"), F.col("_rows").alias("_rows0"))
+        changed = new.join(last, keys).filter((F.col("_r") != F.col("_r0")) | (F.col("_rows") != F.col("_rows0"))).limit(1).count()
+        settled = now.join(new, keys, "left_anti")  # groups without an inverse stay as they are
+        now = new.unionByName(settled)
+        if not changed:
+            break
+    return within(now, df).select(*df.columns, "outlier")
