@@ -83,7 +83,8 @@ def mix(docs: DataFrame, budget: float = 1.0, target_entropy: float | None = 0.9
     src, n, u, b = own.values()
     order = F.xxhash64(F.lit(seed), F.col(key), F.col(text))
     rows = docs.withColumn(src, F.struct(F.col(source).cast("string").alias("s"))).withColumn(n, tokens(text) if count is None else count).withColumn(u, order).withColumn(b, F.pmod(F.xxhash64(F.lit(seed), F.col(u)), F.lit(BLOCKS)))
-    blocks = written(rows.groupBy(F.col(src).alias("src"), F.col(b).alias("b")).agg(F.sum(n).alias("n")), "blocks")
+    narrow = written(rows.select(src, n, u, b), "counted")  # texts are counted and hashed once for all that plans the mix
+    blocks = written(narrow.groupBy(F.col(src).alias("src"), F.col(b).alias("b")).agg(F.sum(n).alias("n")), "blocks")
     sources = blocks.groupBy("src").agg(F.sum("n").alias("n"))
     total = sources.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
     alpha = exponent(sources, budget, target_entropy, repetition)
@@ -100,7 +101,7 @@ def mix(docs: DataFrame, budget: float = 1.0, target_entropy: float | None = 0.9
         return left.join(F.broadcast(right) if right.count() <= BROADCAST_ROWS else right, on)
 
     cut = placed.filter("state = 0").select(F.col("src").alias("cut_src"), F.col("b").alias("cut_b"), "room")
-    inside = beside(rows.select(src, n, u, b), cut, (F.col(src) == F.col("cut_src")) & (F.col(b) == F.col("cut_b")))
+    inside = beside(narrow, cut, (F.col(src) == F.col("cut_src")) & (F.col(b) == F.col("cut_b")))
     last = last_taken(inside.select("cut_src", "room", F.col(u).alias("u"), F.col(n).alias("n")))
     placed = placed.join(last, F.col("src") == F.col("cut_src"), "left").drop("cut_src")
     names = dict(zip(placed.columns, fresh(docs.select("*", *(F.lit(0).alias(c) for c in own.values())), *(f"mix_{c}" for c in placed.columns)), strict=True))
