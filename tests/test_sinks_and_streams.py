@@ -6,14 +6,14 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import core, frames, spectral
 from tidemark.plans import registry, streams
-from tidemark.sources import files, requests
+from tidemark.sources import files, requests, store
 from tidemark.streaming import jobs
 
 
 def test_replace_into(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     rows = lambda *r: spark.createDataFrame(list(r), "k long, v string")
-    read = lambda: sorted((r["k"], r["v"]) for r in spark.read.parquet(path).select("k", "v").collect())
+    read = lambda: sorted((r["k"], r["v"]) for r in store.read(spark, path).select("k", "v").collect())
     files.replace_into(path, rows(*((i, "a") for i in range(100))), ["k"])
     for _ in range(2):  # a save that is done again changes nothing
         files.replace_into(path, rows((3, "b"), (200, "b")), ["k"])
@@ -34,7 +34,7 @@ def test_tail_overwriting_against_brute_force(spark, tmp_path):
         table = [r for r in table if r[0] not in first or r[1] < first[r[0]]] + batch
         for _ in range(2):  # a batch that is done again changes nothing
             put(spark.createDataFrame([*batch, (0, None, number)], schema), number)
-        got = jobs.tail_table(spark, f"file://{tmp_path}/tail", spark.createDataFrame([], schema).schema, "t")
+        got = jobs.tail_table(spark, f"file://{tmp_path}/tail", spark.createDataFrame([], schema).schema)
         assert sorted(map(tuple, got.collect())) == sorted(table)
 
 
@@ -91,7 +91,7 @@ def test_best_basis(spark):
 
 def test_bacon_sees_what_each_column_hides(spark):
     rows = [(i, float(i % 50), float(i % 50) + 0.1 * (i % 7)) for i in range(500)] + [(1000, 5.0, 45.0)]
-    got = frames.bacon(spark.createDataFrame(rows, "i long, x double, y double").withColumn("k", F.lit(1)), ["k"], ["x", "y"], 4.0)
+    got = frames.bacon(spark.createDataFrame(rows, "i long, x double, y double").withColumn("k", F.lit(1)), ["k"], ["x", "y"])
     assert [r["i"] for r in got.filter("outlier").collect()] == [1000]
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import core
 from tidemark.operators.core import DAY, HOUR, micros
 from tidemark.shared import shared_path
-from tidemark.sources import files, requests
+from tidemark.sources import files, requests, store
 from tidemark.streaming import jobs
 
 from .tables import TICKS, main_series, query, r6, read, ticks
@@ -41,7 +41,7 @@ def key_replace_sink(spark, d):
     to, o = folder(spark, "saved"), read(spark, d, "orders").select("o_orderkey")
     files.replace_into(to, o.withColumn("state", F.lit("old")), ["o_orderkey"])
     files.replace_into(to, o.filter("o_orderkey % 3 = 0").withColumn("state", F.lit("new")), ["o_orderkey"])
-    return spark.read.parquet(to).select("o_orderkey", "state")
+    return store.read(spark, to).select("o_orderkey", "state")
 
 
 @query("row_upsert_sink", "SELECT series, max(t) AS t, arg_max(price, t) AS price FROM {ticks} GROUP BY series")
@@ -50,7 +50,7 @@ def row_upsert_sink(spark, d):
     to, t = folder(spark, "upserted"), ticks(spark, d).select("series", "t", "price")
     files.upsert_into(to, t.filter(F.col("t") < CUT), ["series"], "t")
     files.upsert_into(to, t.filter(F.col("t") >= CUT), ["series"], "t")
-    return spark.read.parquet(to).select("series", "t", "price")
+    return store.read(spark, to).select("series", "t", "price")
 
 
 @query("typed_header_source", "SELECT event_id, round(price, 6) AS price, true AS absent_is_nan FROM {ticks}")
@@ -107,7 +107,7 @@ def stream_tail_overwrite(spark, d):
     to, rows = folder(spark, "tail"), lambda s: s.select("event_id", "series", F.unix_micros("ts").alias("t"), "price")
     put = jobs.tail_overwriting(f"{to}/table", "series", "t")
     jobs.replay(spark, f"{d}/events.parquet", to, lambda s: jobs.run_batches(rows(s), to, put))
-    return jobs.tail_table(spark, f"{to}/table", rows(jobs.tick_stream(spark, f"{to}/in")).schema, "t")
+    return jobs.tail_table(spark, f"{to}/table", rows(jobs.tick_stream(spark, f"{to}/in")).schema)
 
 
 @query("stream_key_replace", "SELECT slot, arg_max(price, (t, event_id)) AS price FROM (SELECT *, event_id % 100 AS slot FROM {ticks}) GROUP BY slot")
@@ -121,7 +121,7 @@ def stream_key_replace(spark, d):
 
     rows = lambda s: s.select((F.col("event_id") % 100).alias("slot"), "event_id", "ts", "price")
     jobs.replay(spark, f"{d}/events.parquet", to, lambda s: jobs.run_batches(rows(s), to, put))
-    return spark.read.parquet(f"{to}/table").select("slot", "price")
+    return store.read(spark, f"{to}/table").select("slot", "price")
 
 
 _CLOSED = f"(SELECT series, t // {HOUR} * {HOUR} AS start, avg(price) AS price, arg_min(price, t) AS open, max(price) AS high, min(price) AS low, arg_max(price, t) AS close, count(*) AS n FROM {TICKS} GROUP BY ALL)"

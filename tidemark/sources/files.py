@@ -6,10 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.core import replace_keys
-from tidemark.shared import written
 
-#: Folders of a stored table.
-PARTS = 16
+from . import store
 
 TYPES = {"double": "double", "float": "double", "int": "long", "integer": "long", "long": "long", "time": "timestamp_ntz", "date": "timestamp_ntz", "string": "string"}
 
@@ -64,34 +62,10 @@ def upserted(old: DataFrame, changes: DataFrame, keys: list[str], version: str)
     return replace_keys(old, newest.select(*old.columns), keys)
 
 
-def _placed(df: DataFrame, keys: list[str]) -> DataFrame:
-    return df.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int"))
-
-
-def replace_into(path: str, new: DataFrame, keys: list[str]) -> None:
-    """Saves rows into a stored table, which is made if it is not there: stored rows with the same keys go first, so a save that is done again changes nothing.
-
-    The table lies in PARTS folders by a hash of the keys; only folders that get new rows are written anew, each in one step at the end of the job."""
-    spark = new.sparkSession
-    rows = written(_placed(new, keys), "new-rows")
-    merged = rows
-    if (old := stored(spark, path, rows.schema)) is not None:
-        touched = [r["part"] for r in rows.select("part").distinct().collect()]  # PARTS at most
-        merged = written(replace_keys(old.filter(F.col("part").isin(touched)), rows, keys), "merged-rows")
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
-
-
-def stored(spark: SparkSession, path: str, schema) -> DataFrame | None:
-    """A table that replace_into saved, with its `part`; None if there is none."""
-    from py4j.protocol import Py4JJavaError
-
-    try:
-        place = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-            return None
-    except Py4JJavaError as e:
-        raise OSError(f"cannot look into {path}") from e
-    return spark.read.schema(schema).parquet(path)
+def replace_into(path: str, new: DataFrame, keys: list[str]) -> store.Saved:
+    """Saves rows into a stored table (see store), which is made if it is not there: stored rows with the same keys go in the same step, so a save
+    that is done again changes nothing, and readers see all of it or nothing."""
+    return store.save(path, new, keys)
 
 
 def upsert_into(path: str, changes: DataFrame, keys: list[str], version: str) -> None:

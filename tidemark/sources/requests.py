@@ -7,13 +7,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .files import replace_into, stored
+from . import store
+from .files import replace_into
 
 KEY = ["request_id"]
 
 
 def table(spark, path: str, schema) -> DataFrame:
-    got = stored(spark, path, schema)
+    got = store.read(spark, path)
     return got.select(*schema.names) if got is not None else spark.createDataFrame([], schema)
 
 

@@ -10,14 +10,13 @@ import itertools
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.operators.core import DAY, bucket, micros, overlay
-from tidemark.shared import written
-from tidemark.sources.files import replace_into, stored
+from tidemark.operators.core import micros
+from tidemark.sources import store
+from tidemark.sources.files import replace_into
 
 
 def tick_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -59,35 +58,25 @@ def run_batches(stream: DataFrame, folder: str, each) -> None:
 def tail_overwriting(folder: str, key: str, time: str):
     """foreachBatch: each batch overwrites what is stored of its series from its first time on; the table is read by tail_table.
 
-    A batch reads and writes only the days from its first one on: its folder holds all rows of these days, and stands for them from then on. A batch
-    that is done again writes the same folder. Rows without a time have no place in a series and are left out."""
+    A batch writes only files anew that hold rows it overwrites; it is one version of the stored table (see sources.store). A batch that is done again changes
+    nothing. Rows without a time have no place in a series and are left out."""
 
     def put(batch: DataFrame, number: int) -> None:
-        new = written(batch.filter(F.col(time).isNotNull()), "tail-batch")
-        first = new.agg(F.min(bucket(time, DAY)).alias("d")).first()["d"]
-        if first is None:
-            return
-        old = tail_table(batch.sparkSession, folder, batch.schema, time, number)
-        overlay(old.filter(F.col(time) >= first * DAY), new, key, time).write.mode("overwrite").parquet(f"{folder}/version={number}/first_day={first}")
+        new = batch.filter(F.col(time).isNotNull())
+        if not new.isEmpty():
+            store.save(folder, new, [key, time], how="tail")
 
     return put
 
 
-def tail_table(spark: SparkSession, folder: str, schema, time: str, before: int | None = None) -> DataFrame:
-    """The table that tail_overwriting keeps in `folder` (as it was before the batch of that number): of each version the days before the first day of any later one."""
-    rows = stored(spark, folder, StructType([*schema.fields, StructField("version", LongType()), StructField("first_day", LongType())]))
-    if rows is None:
-        return spark.createDataFrame([], schema)
-    if before is not None:
-        rows = rows.filter(F.col("version") < before)
-    versions = rows.select("version", "first_day").distinct()  # one row a batch
-    later = Window.orderBy("version").rowsBetween(1, Window.unboundedFollowing)
-    ends = versions.select("version", F.min("first_day").over(later).alias("end_day"))
-    return rows.join(ends, "version").filter(F.col("end_day").isNull() | (bucket(time, DAY) < F.col("end_day"))).select(*schema.names)
+def tail_table(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """The table that tail_overwriting keeps in `folder`."""
+    rows = store.read(spark, folder)
+    return spark.createDataFrame([], schema) if rows is None else rows.select(*schema.names)
 
 
 def key_replacing(folder: str, keys: list[str]):
-    """foreachBatch: rows of a batch win over stored ones with their keys; only folders of the table that get new rows are written anew."""
+    """foreachBatch: rows of a batch win over stored ones with their keys; only files that hold such keys are written anew."""
     return lambda batch, number: replace_into(folder, batch, keys)
 
 
