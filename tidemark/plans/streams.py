@@ -156,13 +156,34 @@ def stream_state_retention(spark, d):
     return got.groupBy("series").agg(F.max_by(F.struct("t", "kept"), "t").alias("r")).select("series", "r.*")
 
 
-@query("stream_last_good_fallback", f"""WITH s AS (SELECT series, t // {HOUR} AS slot, avg(price) AS price FROM {TICKS} GROUP BY ALL), n AS (SELECT *, lead(slot) OVER (PARTITION BY series ORDER BY slot) AS next FROM s)
-SELECT series, slot, round(price, 6) AS price, true AS fresh FROM n WHERE next IS NOT NULL
-UNION ALL SELECT series, unnest(range(slot + 1, least(next, slot + 11))) AS slot, round(price, 6), false FROM n WHERE next IS NOT NULL""")
+@query("stream_last_good_fallback", f"""WITH w AS (SELECT {_MARK.replace('{0}', str(HOUR))} // {HOUR} AS over),
+s AS (SELECT series, t // {HOUR} AS slot, avg(price) AS price FROM {TICKS} GROUP BY ALL), n AS (SELECT *, lead(slot, 1, 1000000000) OVER (PARTITION BY series ORDER BY slot) AS next FROM s)
+SELECT series, slot, round(price, 6) AS price, true AS fresh FROM n, w WHERE slot < over
+UNION ALL SELECT series, unnest(range(slot + 1, least(next, slot + 11, over))) AS slot, round(price, 6), false FROM n, w WHERE slot < over""")
 def stream_last_good_fallback(spark, d):
     return streamed(spark, d, "good", lambda s: jobs.last_good(s, HOUR, 10)).select("series", "slot", r6("price", "price"), "fresh")
 
 
+_PERIOD = 12 * HOUR
+
+
+@query("stream_asked_means", f"""WITH a AS (SELECT event_id, series, t + {6 * HOUR} AS t FROM {TICKS} WHERE event_id % 5 = 0),
+w AS (SELECT greatest((SELECT max(t) FROM {TICKS}), (SELECT max(t) FROM a)) // 1000 * 1000 - {HOUR} AS mark),
+i AS (SELECT a.event_id, a.series, a.t, q.t AS qt, q.price, lag(q.t) OVER p AS pt, lag(q.price) OVER p AS pp FROM a JOIN {TICKS} q ON q.series = a.series AND q.t <= a.t AND q.t > a.t - {_PERIOD} WINDOW p AS (PARTITION BY a.event_id ORDER BY q.t, q.price)),
+good AS (SELECT event_id, series, t, CASE WHEN sum(qt - pt) > 0 THEN sum((price + pp) / 2 * (qt - pt)) / sum(qt - pt) ELSE arg_max(price, (qt, price)) END AS price FROM i GROUP BY ALL),
+back AS (SELECT a.event_id, max(g.t) AS t, arg_max(g.price, g.t) AS price FROM a JOIN good g ON g.series = a.series AND g.t < a.t GROUP BY a.event_id)
+SELECT a.series, a.t, round(CASE WHEN g.event_id IS NOT NULL THEN g.price WHEN a.t <= b.t + 2 * {_PERIOD} THEN b.price END, 6) AS price, g.event_id IS NOT NULL AS fresh
+FROM a LEFT JOIN good g USING (event_id) LEFT JOIN back b USING (event_id), w WHERE a.t < mark""")
+def stream_asked_means(spark, d):
+    """Every fifth tick asks, six hours later, for the average of the twelve hours before; a silent series answers with its last one for a day."""
+
+    def build(s):
+        asks = s.filter("event_id % 5 = 0").select("series", (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("ts"), F.lit(None).cast("double").alias("price"), F.lit(True).alias("asked"))
+        return jobs.answered(s.select("series", "ts", "price", F.lit(False).alias("asked")).union(asks), _PERIOD, 2, "1 hour")
+
+    return streamed(spark, d, "asked", build).select("series", "t", r6("price", "price"), "fresh")
+
+
 @query("stream_self_requests")
 def stream_self_requests(spark, d):
     return streamed(spark, d, "asks", lambda s: jobs.self_requests(s, DAY, 3 * HOUR))

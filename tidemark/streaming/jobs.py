@@ -7,11 +7,14 @@ overwrites the tail.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.operators.core import micros
@@ -96,47 +99,186 @@ def trailing_twap(stream: DataFrame, period: str, slide: str, late: str) -> Data
     return got.select("series", F.col("window.end").alias("until"), F.when(dt > 0, area / dt).otherwise(F.element_at("q", -1)["price"]).alias("twap"))
 
 
-def retained(stream: DataFrame, periods: int, period_us: int) -> DataFrame:
-    """(series, t, kept): how many quotes of the last `periods` periods each batch leaves in a series' state; older ones are dropped."""
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = list(state.get[0]) if state.exists else []
-        for b in batches:
-            times += b["t"].tolist()
-        newest = max(times)
-        times = sorted(t for t in times if t > newest - periods * period_us)
-        state.update((times,))
-        yield pd.DataFrame({"series": [key[0]], "t": [newest], "kept": [len(times)]})
-
-    rows = stream.select("series", F.unix_micros("ts").alias("t"))
-    return rows.groupBy("series").applyInPandasWithState(step, "series long, t long, kept long", "times array<long>", "append", GroupStateTimeout.NoTimeout)
-
-
-def last_good(stream: DataFrame, period_us: int, valid: int) -> DataFrame:
-    """(series, slot, price, fresh): the average of each period; an empty one gets the last good one, for up to `valid` periods.
-
-    A series' newest period stays open in the state (its sum and count) and comes out once a later one begins, so results are the same however the
-    ticks are split into batches. Ticks of a period that is closed are late: they are for the batch repair job. State and each batch's sums are
-    as large as the periods that a batch spans, not as its ticks."""
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        opened, total, n = state.get if state.exists else (None, 0.0, 0)
-        sums = {opened: (total, n)} if opened is not None else {}
-        for rows in batches:
-            for s, part in rows.assign(slot=rows["t"] // period_us).groupby("slot")["price"]:
-                if opened is None or s >= opened:
-                    before = sums.get(int(s), (0.0, 0))
-                    sums[int(s)] = before[0] + float(part.sum()), before[1] + len(part)
-        slots, out = sorted(sums), []
-        for s, following in itertools.pairwise(slots):
-            price = sums[s][0] / sums[s][1]
-            out += [(key[0], s, price, True), *((key[0], x, price, False) for x in range(s + 1, min(following, s + 1 + valid)))]
-        state.update((slots[-1], *sums[slots[-1]]))
-        if out:
-            yield pd.DataFrame(out, columns=["series", "slot", "price", "fresh"])
-
-    rows = stream.select("series", F.unix_micros("ts").alias("t"), "price")
-    return rows.groupBy("series").applyInPandasWithState(step, "series long, slot long, price double, fresh boolean", "opened long, total double, n long", "append", GroupStateTimeout.NoTimeout)
+def with_state(rows: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str) -> DataFrame:
+    """(keys, schema): rows (a stream with a watermark) through a processor with states and event-time timers. The stream's session keeps such states in RocksDB."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    names = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, f"{names}, {schema}", "Append", "EventTime")
+
+
+class Timed(StatefulProcessor):
+    """A processor that is told of new rows and of the watermark: `take` puts rows into the state, `due` gives what the watermark (microseconds) lets out and
+    names the time it is to be asked at again (None: no more). Each key has one timer."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.set_up(handle)
+
+    def _let_out(self, key, watermark: int) -> Iterator[pd.DataFrame]:
+        out, again = self.due(key, watermark)
+        for old in self.handle.listTimers():
+            self.handle.deleteTimer(old)
+        if again is not None:
+            # a timer fires once the watermark is past its millisecond; one that isn't ahead of the watermark would not
+            self.handle.registerTimer(max(again // 1000 - 1, watermark // 1000 + 1))
+        if len(out):
+            yield out
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for part in rows:
+            self.take(key, part)
+        yield from self._let_out(key, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._let_out(key, timerValues.getCurrentWatermarkInMs() * 1000)
+
+    def close(self) -> None:
+        pass
+
+
+class LastGood(Timed):
+    """See last_good. State: sums of the slots that may still get ticks; the last good slot, its price, and the first slot after what has come out."""
+
+    def __init__(self, period: int, valid: int):
+        self.period, self.valid = period, valid
+
+    def set_up(self, handle) -> None:
+        self.open = handle.getMapState("open", "slot long", "total double, n long")
+        self.last = handle.getValueState("last", "slot long, price double, upto long")
+
+    def take(self, key, rows: pd.DataFrame) -> None:
+        for slot, part in rows.groupby(rows["t"] // self.period)["price"]:
+            at = (int(slot),)
+            total, n = self.open.getValue(at) if self.open.containsKey(at) else (0.0, 0)
+            self.open.updateValue(at, (total + float(part.sum()), n + len(part)))
+
+    def due(self, key, watermark: int) -> tuple[pd.DataFrame, int | None]:
+        sums = {k[0]: v for k, v in self.open.iterator()}
+        last, end, out = (tuple(self.last.get()) if self.last.exists() else None), watermark // self.period, []
+        for slot in [*sorted(sums), None]:
+            until = end if slot is None else min(slot, end)
+            if last is not None:
+                upto = min(until, last[0] + 1 + self.valid)
+                out += [(key[0], x, last[1], False) for x in range(last[2], upto)]
+                last = last[0], last[1], max(last[2], upto)
+            if slot is None or slot >= end:
+                break
+            total, n = sums.pop(slot)
+            self.open.removeKey((slot,))
+            last = slot, total / n, slot + 1
+            out.append((key[0], slot, last[1], True))
+        again = [s + 1 for s in sorted(sums)[:1]]
+        if last is not None and last[2] < last[0] + 1 + self.valid:
+            again.append(last[2] + 1)
+        if again:
+            self.last.update(last) if last is not None else None
+        elif self.last.exists():
+            self.last.clear()
+        return pd.DataFrame(out, columns=["series", "slot", "price", "fresh"]), min(again) * self.period if again else None
+
+
+def last_good(stream: DataFrame, period_us: int, valid: int, late: str = "1 hour") -> DataFrame:
+    """(series, slot, price, fresh): the average of each period once the watermark is past it; an empty one gets the last good one, for up to `valid` periods.
+
+    Timers bring the fallbacks of a series that has gone silent; after the last of them it leaves no state. Results hang on ticks and watermark alone, not
+    on batches or the order of ticks. State is as large as the periods that ticks may be late for."""
+    rows = stream.withWatermark("ts", late).select("series", "ts", F.unix_micros("ts").alias("t"), "price")
+    return with_state(rows, ["series"], LastGood(period_us, valid), "slot long, price double, fresh boolean")
+
+
+class Retained(Timed):
+    """See retained. State: the times of each period, and the newest of all."""
+
+    def __init__(self, periods: int, period: int):
+        self.periods, self.period, self.came = periods, period, False
+
+    def set_up(self, handle) -> None:
+        self.times = handle.getMapState("times", "period long", "times array<long>")
+        self.newest = handle.getValueState("newest", "t long, kept long")
+
+    def take(self, key, rows: pd.DataFrame) -> None:
+        newest, kept = self.newest.get() if self.newest.exists() else (-(1 << 62), 0)
+        for period, part in rows["t"].groupby(rows["t"] // self.period):
+            at = (int(period),)
+            old = list(self.times.getValue(at)[0]) if self.times.containsKey(at) else []
+            self.times.updateValue(at, (old + part.tolist(),))
+        self.newest.update((max(newest, int(rows["t"].max())), kept + len(rows)))
+        self.came = True
+
+    def due(self, key, watermark: int) -> tuple[pd.DataFrame, int | None]:
+        came, self.came = self.came, False
+        newest, kept = self.newest.get()
+        faded = max(newest, watermark) - self.periods * self.period if watermark > newest + self.periods * self.period else newest - self.periods * self.period
+        for at in [k for k in self.times.keys() if k[0] * self.period <= faded]:  # noqa: SIM118
+            times = list(self.times.getValue(at)[0])
+            left = [t for t in times if t > faded]
+            kept -= len(times) - len(left)
+            self.times.updateValue(at, (left,)) if left else self.times.removeKey(at)
+        if kept:
+            self.newest.update((newest, kept))
+        else:
+            self.newest.clear()
+        out = pd.DataFrame({"series": [key[0]], "t": [newest], "kept": [kept]}) if came else pd.DataFrame({"series": [], "t": [], "kept": []})
+        return out, newest + self.periods * self.period + 1000 if kept else None
+
+
+def retained(stream: DataFrame, periods: int, period_us: int, late: str = "1 hour") -> DataFrame:
+    """(series, t, kept): how many quotes of the last `periods` periods each batch leaves in a series' state; older ones are dropped.
+
+    Quotes lie in the state by period, so a batch reads those it adds to and those that fade. A series without quotes for `periods` periods leaves no state."""
+    rows = stream.withWatermark("ts", late).select("series", "ts", F.unix_micros("ts").alias("t"))
+    return with_state(rows, ["series"], Retained(periods, period_us), "t long, kept long")
+
+
+class Answers(Timed):
+    """See answered. State: quotes and questions that the watermark has not passed, the quotes of the last period, and the last answer."""
+
+    def __init__(self, period: int, valid: int):
+        self.period, self.valid = period, valid
+
+    def set_up(self, handle) -> None:
+        self.rows = handle.getListState("rows", "t long, price double, asked boolean")
+        self.last = handle.getValueState("last", "t long, price double")
+
+    def take(self, key, rows: pd.DataFrame) -> None:
+        self.rows.appendList([(int(t), float(p), bool(a)) for t, p, a in zip(rows["t"], rows["price"].fillna(0.0), rows["asked"], strict=True)])
+
+    def due(self, key, watermark: int) -> tuple[pd.DataFrame, int | None]:
+        rows = sorted(map(tuple, self.rows.get()), key=lambda r: (r[0], r[2], r[1]))
+        last, quotes, out = (tuple(self.last.get()) if self.last.exists() else None), [], []
+        for t, price, asked in rows:
+            if not asked:
+                quotes.append((t, price))
+                continue
+            if t >= watermark:
+                break
+            inside = [q for q in quotes if q[0] > t - self.period]
+            if inside:
+                span = inside[-1][0] - inside[0][0]
+                area = sum((b[0] - a[0]) * (a[1] + b[1]) / 2 for a, b in itertools.pairwise(inside))
+                last = t, area / span if span else inside[-1][1]
+                out.append((key[0], t, last[1], True))
+            elif last is not None and t <= last[0] + self.valid * self.period:
+                out.append((key[0], t, last[1], False))
+            else:
+                out.append((key[0], t, None, False))
+        left = [r for r in rows if r[0] >= watermark or not r[2] and r[0] > watermark - self.period]
+        self.rows.put(left) if left else self.rows.clear()
+        if last is not None:
+            faded = watermark > last[0] + self.valid * self.period
+            self.last.clear() if faded and not left else self.last.update(last)
+        questions = [r[0] for r in left if r[2]]
+        times = [min(questions) + 1000] if questions else [left[-1][0] + self.period + 1000] if left else []
+        if last is not None and not left and watermark <= last[0] + self.valid * self.period:
+            times.append(last[0] + self.valid * self.period + 1000)
+        return pd.DataFrame(out, columns=["series", "t", "price", "fresh"]), min(times) if times else None
+
+
+def answered(stream: DataFrame, period_us: int, valid: int, late: str) -> DataFrame:
+    """(series, t, price, fresh) for each row that asks (`asked`): the trapezoid average over (t - period, t] of the series' quotes; without quotes there, the last
+    answer with quotes, for up to `valid` periods after its time (fresh = false); then null. Answers come once the watermark is past t."""
+    rows = stream.withWatermark("ts", late).select("series", "ts", F.unix_micros("ts").alias("t"), "price", "asked")
+    return with_state(rows, ["series"], Answers(period_us, valid), "t long, price double, fresh boolean")
 
 
 def self_requests(stream: DataFrame, resolution_us: int, horizon_us: int) -> DataFrame:
@@ -155,12 +297,35 @@ def self_requests(stream: DataFrame, resolution_us: int, horizon_us: int) -> Dat
     return rows.groupBy("series").applyInPandasWithState(step, "series long, main_t long", "done long", "append", GroupStateTimeout.NoTimeout)
 
 
-def online_modes(stream: DataFrame, omegas: list[float], alpha: float = 0.5) -> DataFrame:
-    """(series, t, modes): the rotation bank's recurrence, its state carried from batch to batch."""
-    import math
+class OnlineModes(Timed):
+    """See online_modes. State: the modes, and the rows that the watermark has not passed."""
+
+    def __init__(self, turn: np.ndarray, gain: np.ndarray):
+        self.turn, self.gain = turn, gain
+
+    def set_up(self, handle) -> None:
+        self.rows = handle.getListState("rows", "t long, price double")
+        self.modes = handle.getValueState("modes", "s array<double>")
 
-    import numpy as np
+    def take(self, key, rows: pd.DataFrame) -> None:
+        self.rows.appendList([(int(t), float(p)) for t, p in zip(rows["t"], rows["price"], strict=True)])
 
+    def due(self, key, watermark: int) -> tuple[pd.DataFrame, int | None]:
+        rows = sorted(map(tuple, self.rows.get()))
+        ready, left = [r for r in rows if r[0] < watermark], [r for r in rows if r[0] >= watermark]
+        s, out = np.array(self.modes.get()[0]) if self.modes.exists() else np.zeros(len(self.gain)), []
+        for t, x in ready:
+            s = self.turn @ s + self.gain * x
+            out.append((key[0], t, s.tolist()))
+        if ready:
+            self.modes.update((s.tolist(),))
+            self.rows.put(left) if left else self.rows.clear()
+        return pd.DataFrame(out, columns=["series", "t", "modes"]), left[0][0] + 1000 if left else None
+
+
+def online_modes(stream: DataFrame, omegas: list[float], alpha: float = 0.5, late: str = "1 hour") -> DataFrame:
+    """(series, t, modes): the rotation bank's recurrence, its state carried from batch to batch. Rows go through it in order of time once the watermark is
+    past them, whatever batch brings them; those of one time by price. State is as large as what may be late."""
     k = len(omegas)
     turn = np.zeros((2 * k, 2 * k))
     for i, o in enumerate(omegas):
@@ -168,15 +333,5 @@ def online_modes(stream: DataFrame, omegas: list[float], alpha: float = 0.5) ->
     even = np.zeros(2 * k)
     even[::2] = 1.0
     a, b = (np.eye(2 * k) - alpha * np.outer(even / k, even)) @ turn, alpha * even / k
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = np.array(state.get[0]) if state.exists else np.zeros(2 * k)
-        rows, out = pd.concat(list(batches)).sort_values("t"), []
-        for x in rows["price"]:
-            s = a @ s + b * x
-            out.append(s.tolist())
-        state.update((s.tolist(),))
-        yield pd.DataFrame({"series": key[0], "t": rows["t"].to_numpy(), "modes": out})
-
-    rows = stream.select("series", F.unix_micros("ts").alias("t"), "price")
-    return rows.groupBy("series").applyInPandasWithState(step, "series long, t long, modes array<double>", "s array<double>", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.withWatermark("ts", late).select("series", "ts", F.unix_micros("ts").alias("t"), "price")
+    return with_state(rows, ["series"], OnlineModes(a, b), "t long, modes array<double>")
