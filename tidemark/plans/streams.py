@@ -168,7 +168,7 @@ _PERIOD = 12 * HOUR
 
 
 @query("stream_asked_means", f"""WITH a AS (SELECT event_id, series, t + {6 * HOUR} AS t FROM {TICKS} WHERE event_id % 5 = 0),
-w AS (SELECT greatest((SELECT max(t) FROM {TICKS}), (SELECT max(t) FROM a)) // 1000 * 1000 - {HOUR} AS mark),
+w AS (SELECT greatest((SELECT max(t) FROM {TICKS}), (SELECT max(t) FROM a)) // 1000 * 1000 - {7 * HOUR} AS mark),
 i AS (SELECT a.event_id, a.series, a.t, q.t AS qt, q.price, lag(q.t) OVER p AS pt, lag(q.price) OVER p AS pp FROM a JOIN {TICKS} q ON q.series = a.series AND q.t <= a.t AND q.t > a.t - {_PERIOD} WINDOW p AS (PARTITION BY a.event_id ORDER BY q.t, q.price)),
 good AS (SELECT event_id, series, t, CASE WHEN sum(qt - pt) > 0 THEN sum((price + pp) / 2 * (qt - pt)) / sum(qt - pt) ELSE arg_max(price, (qt, price)) END AS price FROM i GROUP BY ALL),
 back AS (SELECT a.event_id, max(g.t) AS t, arg_max(g.price, g.t) AS price FROM a JOIN good g ON g.series = a.series AND g.t < a.t GROUP BY a.event_id)
@@ -179,7 +179,7 @@ def stream_asked_means(spark, d):
 
     def build(s):
         asks = s.filter("event_id % 5 = 0").select("series", (F.col("ts") + F.expr("INTERVAL 6 HOURS")).alias("ts"), F.lit(None).cast("double").alias("price"), F.lit(True).alias("asked"))
-        return jobs.answered(s.select("series", "ts", "price", F.lit(False).alias("asked")).union(asks), _PERIOD, 2, "1 hour")
+        return jobs.answered(s.select("series", "ts", "price", F.lit(False).alias("asked")).union(asks), _PERIOD, 2, "7 hours")  # asks are six hours ahead of the ticks they come with
 
     return streamed(spark, d, "asked", build).select("series", "t", r6("price", "price"), "fresh")
 
