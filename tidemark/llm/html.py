@@ -23,7 +23,7 @@ from .common import fresh, mapped
 # Elements and words in class, id or role that mark what isn't the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody tfoot thead title tr ul".split())
-NEVER = frozenset("script style noscript template head title nav footer aside form button select option textarea input iframe object svg canvas menu dialog audio video math datalist label".split())
+NEVER = frozenset("script style noscript template head title nav footer aside form button select option textarea input iframe object svg canvas menu dialog audio video math datalist".split())
 CLOSES_P = BLOCK - {"body", "html"}
 HOLDS_P = frozenset("article div section td main body li".split())
 LISTS = frozenset("ul ol menu".split())
@@ -32,6 +32,7 @@ NOISE = frozenset("ad ads adv advert adverts advertisement advertising banner br
 ASIDE = frozenset("ad ads advert comment comments promo related reply sponsored teaser".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 REGIONS = frozenset("article main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A class such as "with-sidebar" tells of a page's layout, not of what the element is.
 ABOUT = frozenset("with has no without hide is".split())
 _TOKEN = re.compile("[a-z]+")
@@ -40,7 +41,7 @@ RADIUS, SIGMA = 3, 1.5
 
 
 class Lines(HTMLParser):
-    """Lines of a page: text, tags in it, characters in links, and the region it stands in. Each event costs the same however deep it stands."""
+    """Lines of a page: its pieces of text, each with the region it stands in. Each event costs the same however deep it stands."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -48,25 +49,28 @@ class Lines(HTMLParser):
         self.stack: list[tuple[str, int, bool]] = []  # element, region, left out
         self.open: dict[str, list[int]] = {}  # of each element its places in the stack
         self.never = 0  # open elements that never belong to an article
-        self.regions = [(-1, "", False)]  # parent region, element, inside an article
-        self.lines: list[tuple[str, int, int, int]] = []
-        self.text: list[str] = []
-        self.tags = self.linked = 0
+        self.headings = 0
+        self.regions = [(-1, "", False, False)]  # parent region, element, inside an article, suspect
+        self.freed: set[int] = set()  # suspects that hold the first article
+        self.lines: list[tuple[list[tuple[str, int, bool]], list[int], int, bool]] = []  # pieces (text, region, link), regions of tags, region, heading
+        self.pieces: list[tuple[str, int, bool]] = []
+        self.tags: list[int] = []
         self.in_link = 0
 
+    def _region(self) -> int:
+        return self.stack[-1][1] if self.stack else 0
+
     def _end_line(self):
-        if self.text:
-            text = " ".join("".join(self.text).split())
-            if text:
-                region = self.stack[-1][1] if self.stack else 0
-                self.lines.append((text, self.tags, self.linked, region))
-                self.tags = self.linked = 0
-        self.text = []
+        if any(not t.isspace() for t, _, _ in self.pieces):
+            self.lines.append((self.pieces, self.tags, self._region(), self.headings > 0))
+            self.tags = []
+        self.pieces = []
 
     def _inside_article(self) -> bool:
-        return self.regions[self.stack[-1][1] if self.stack else 0][2]
+        return self.regions[self._region()][2]
 
     def _left_out(self, tag: str, attrs: list) -> bool:
+        """Whether an element never belongs to an article."""
         if tag in NEVER:
             return True
         if tag == "header":
@@ -74,19 +78,25 @@ class Lines(HTMLParser):
         for name, value in attrs:
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and "display:none" in value.replace(" ", "").lower():
                 return True
+            if name == "role" and value and value.lower() in ROLES:
+                return True
+        return False
+
+    def _suspect(self, tag: str, attrs: list) -> bool:
+        """Whether a class or id says that an element may not belong to the article."""
+        for name, value in attrs:
             if name in ("class", "id") and value and tag not in ("html", "body", "article", "main"):
                 for words in map(_TOKEN.findall, value.lower().split()):
                     if words and words[0] not in ABOUT and (not NOISE.isdisjoint(words) or "header" in words and not self._inside_article()):
                         return True
             elif name in ("class", "id") and value and tag == "article" and not ASIDE.isdisjoint(_TOKEN.findall(value.lower())):
                 return True
-            if name == "role" and value and value.lower() in ROLES:
-                return True
         return False
 
     def _push(self, tag: str, region: int, out: bool) -> None:
         self.in_link += tag == "a"
         self.never += tag in NEVER
+        self.headings += tag in HEADINGS
         self.open.setdefault(tag, []).append(len(self.stack))
         self.stack.append((tag, region, out))
 
@@ -94,10 +104,11 @@ class Lines(HTMLParser):
         out = bool(self.stack) and self.stack[-1][2]
         if tag in VOID:
             if tag == "br":
-                self.text.append(" ")
+                self.pieces.append((" ", self._region(), False))
             elif tag == "hr":
                 self._end_line()
-            self.tags += not out
+            if not out:
+                self.tags.append(self._region())
             return
         if tag in BLOCK:
             self._end_line()
@@ -106,19 +117,24 @@ class Lines(HTMLParser):
             if tag == "li":
                 self._close("li", LISTS)
         elif tag in ("td", "th"):
-            self.text.append(" ")
-        out = bool(self.stack) and self.stack[-1][2]
-        self.tags += not out
-        region = self.stack[-1][1] if self.stack else 0
-        if tag in REGIONS and not self.seen_region and not self.never:
-            out, self.seen_region = False, True  # the first article counts, whatever its wrapper is called
-        if not out:
-            out = self._left_out(tag, attrs)
-            if out:
-                self._end_line()
-            elif tag in BLOCK and tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "dt", "dd", "pre", "html"):
-                self.regions.append((region, tag, tag in REGIONS or self.regions[region][2]))
+            self.pieces.append((" ", self._region(), False))
+        out, region = bool(self.stack) and self.stack[-1][2], self._region()
+        first = tag in REGIONS and not self.seen_region and not self.never
+        if first:
+            out = False  # the first article counts, whatever its wrapper is called
+        if not out and not self._left_out(tag, attrs):
+            self.tags.append(region)
+            suspect = self._suspect(tag, attrs)
+            if first and not suspect:
+                self.seen_region, at = True, region
+                while at >= 0:
+                    self.freed.add(at)
+                    at = self.regions[at][0]
+            if suspect or tag in BLOCK and tag not in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "dt", "dd", "pre", "html"):
+                self.regions.append((region, tag, tag in REGIONS or self.regions[region][2], suspect))
                 region = len(self.regions) - 1
+        else:
+            out = True
         self._push(tag, region, out)
 
     def _close(self, tag: str, until: frozenset) -> None:
@@ -132,20 +148,18 @@ class Lines(HTMLParser):
             self.open[name].pop()
             self.in_link -= name == "a"
             self.never -= name in NEVER
+            self.headings -= name in HEADINGS
 
     def handle_endtag(self, tag):
-        if tag in BLOCK or tag in NEVER:
+        if tag in BLOCK:
             self._end_line()
         self._close(tag, ARTICLES if tag not in ("article", "main", "body", "html") else frozenset())
 
     def handle_data(self, data):
-        if self.stack and self.stack[-1][2]:
-            return
-        self.text.append(data)
-        if self.in_link > 0:
-            self.linked += len(data.strip())
+        if not (self.stack and self.stack[-1][2]):
+            self.pieces.append((data, self._region(), self.in_link > 0))
 
-    def result(self) -> list[tuple[str, int, int, int]]:
+    def result(self) -> list[tuple[list[tuple[str, int, bool]], list[int], int, bool]]:
         self.close()
         self._end_line()
         return self.lines
@@ -169,33 +183,65 @@ def threshold(x: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def main_text(html: str | None) -> str:
-    """The article's blocks, one a line; empty where there is none."""
+def visible(page: Lines, lines: list, freed: set[int]) -> list[tuple[str, int, int, int, bool]]:
+    """(text, tags, characters in links, region, heading) of the lines that no suspect holds, but for the freed ones."""
+    noise = [False] * len(page.regions)
+    for r, (parent, _, _, suspect) in enumerate(page.regions):  # a region's children stand behind it
+        noise[r] = parent >= 0 and noise[parent] and r not in freed or suspect and r not in freed
+    out = []
+    for pieces, tags, region, heading in lines:
+        if text := " ".join("".join([t for t, r, _ in pieces if not noise[r]]).split()):
+            out.append((text, sum(not noise[r] for r in tags), sum(len(t.strip()) for t, r, link in pieces if link and not noise[r]), region, heading))
+    return out
+
+
+def judged(lines: list[tuple[str, int, int, int, bool]], cut=threshold) -> np.ndarray:
+    """Whether each line's smoothed text-to-tag ratio is over the threshold between the two clusters."""
+    ratio = np.array([max(0, len(t) - linked) / (1 + tags) for t, tags, linked, _, _ in lines])
+    level = smoothed(np.log1p(ratio))
+    return level >= cut(level)
+
+
+def main_text(html: str | None, cut=threshold) -> str:
+    """The article's blocks, one a line; empty where there is none.
+
+    Where no line outside the suspects has text of its own, the suspect with the most such text that lies in no other one is freed, until there is some."""
     page = Lines()
     page.feed(html or "")
-    lines = page.result()
-    if not lines:
-        return ""
-    ratio = np.array([max(0, len(t) - linked) / (1 + tags) for t, tags, linked, _ in lines])
-    level = smoothed(np.log1p(ratio))
-    chosen = level >= threshold(level)
+    lines, freed = page.result(), set(page.freed)
+    while True:
+        shown = visible(page, lines, freed)
+        if any(len(t) > linked for t, _, linked, _, _ in shown):
+            break
+        own: dict[int, int] = {}
+        for pieces, _, _, _ in lines:
+            for t, r, link in pieces:
+                outer = -1
+                while r >= 0:
+                    outer = r if page.regions[r][3] and r not in freed else outer
+                    r = page.regions[r][0]
+                if outer >= 0 and not link:
+                    own[outer] = own.get(outer, 0) + len(t.strip())
+        if not any(own.values()):
+            return ""
+        freed.add(max(own, key=own.__getitem__))
+    chosen = judged(shown, cut)
     mass, plain, links = ([0] * len(page.regions) for _ in range(3))
-    for (text, _, linked, region), keep in zip(lines, chosen, strict=True):
-        own = max(0, len(text) - linked)
-        mass[region] += keep * own
-        plain[region] += own
+    for (text, _, linked, region, _), keep in zip(shown, chosen, strict=True):
+        own_text = max(0, len(text) - linked)
+        mass[region] += keep * own_text
+        plain[region] += own_text
         links[region] += linked
-    # a region's children stand behind it
     for r in range(len(mass) - 1, 0, -1):
         for sums in (mass, plain, links):
             sums[page.regions[r][0]] += sums[r]
     if not mass[0]:
         return ""
-    best = content_regions(page.regions, mass, plain, links)
+    best = content_regions([r[:3] for r in page.regions], mass, plain, links)
     inside = [False] * len(mass)
-    for r, (parent, _, _) in enumerate(page.regions):
+    for r, (parent, *_) in enumerate(page.regions):
         inside[r] = r in best or parent >= 0 and inside[parent]
-    return "\n".join(text for text, _, _, region in lines if inside[region])
+    return "\n".join(text for (text, _, linked, region, heading), over in zip(shown, chosen, strict=True) if inside[region] and (over or heading or 2 * linked <= len(text)))
 
 
 def content_regions(regions: list[tuple[int, str, bool]], mass: list[int], plain: list[int], linked: list[int]) -> set[int]:
