@@ -29,6 +29,7 @@ HOLDS_P = frozenset("article div section td main body li".split())
 LISTS = frozenset("ul ol menu".split())
 ARTICLES = frozenset("article main body".split())
 NOISE = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices notification outbrain pager pagination paywall popup promo promoted promotion related respond responses share sharing sidebar skip social sponsor sponsored subscribe subscription taboola toolbar widget alert signup login search reviews replies reply tags topbar".split())
+NOISE_OUTSIDE = NOISE | {"header"}
 ASIDE = frozenset("ad ads advert comment comments promo related reply sponsored teaser".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 REGIONS = frozenset("article main".split())
@@ -50,7 +51,7 @@ class Lines(HTMLParser):
         self.open: dict[str, list[int]] = {}  # of each element its places in the stack
         self.never = 0  # open elements that never belong to an article
         self.headings = 0
-        self.regions = [(-1, "", False, False)]  # parent region, element, inside an article, suspect
+        self.regions = [(-1, "", False, 0)]  # parent region, element, inside an article, suspect
         self.freed: set[int] = set()  # suspects that hold the first article
         self.lines: list[tuple[list[tuple[str, int, bool]], list[int], int, bool]] = []  # pieces (text, region, link), regions of tags, region, heading
         self.pieces: list[tuple[str, int, bool]] = []
@@ -82,16 +83,17 @@ class Lines(HTMLParser):
                 return True
         return False
 
-    def _suspect(self, tag: str, attrs: list) -> bool:
-        """Whether a class or id says that an element may not belong to the article."""
+    def _suspect(self, tag: str, attrs: list) -> int:
+        """What a class or id says of an element: 0, it may belong to the article; 1, it may not, though there are other names or the word is not the last
+        of its name (social-science-article); 2, all its names end in such words."""
         for name, value in attrs:
-            if name in ("class", "id") and value and tag not in ("html", "body", "article", "main"):
-                for words in map(_TOKEN.findall, value.lower().split()):
-                    if words and words[0] not in ABOUT and (not NOISE.isdisjoint(words) or "header" in words and not self._inside_article()):
-                        return True
-            elif name in ("class", "id") and value and tag == "article" and not ASIDE.isdisjoint(_TOKEN.findall(value.lower())):
-                return True
-        return False
+            if name not in ("class", "id") or not value or tag in ("html", "body", "main"):
+                continue
+            names = [w for w in map(_TOKEN.findall, value.lower().split()) if w]
+            odd = ASIDE if tag == "article" else NOISE if self._inside_article() else NOISE_OUTSIDE
+            if any((w[0] not in ABOUT or tag == "article") and not odd.isdisjoint(w) for w in names):
+                return 2 if all(w[-1] in odd for w in names) else 1
+        return 0
 
     def _push(self, tag: str, region: int, out: bool) -> None:
         self.in_link += tag == "a"
@@ -205,7 +207,8 @@ def judged(lines: list[tuple[str, int, int, int, bool]], cut=threshold) -> np.nd
 def main_text(html: str | None, cut=threshold) -> str:
     """The article's blocks, one a line; empty where there is none.
 
-    Where no line outside the suspects has text of its own, the suspect with the most such text that lies in no other one is freed, until there is some."""
+    Where no line outside the suspects has text of its own, the suspect with the most such text that lies in no other one is freed, until there is some; those whose
+    names all say so stay left out, unless they hold the page's first article."""
     page = Lines()
     page.feed(html or "")
     lines, freed = page.result(), set(page.freed)
@@ -216,11 +219,12 @@ def main_text(html: str | None, cut=threshold) -> str:
         own: dict[int, int] = {}
         for pieces, _, _, _ in lines:
             for t, r, link in pieces:
-                outer = -1
+                outer, certain = -1, False
                 while r >= 0:
-                    outer = r if page.regions[r][3] and r not in freed else outer
+                    if page.regions[r][3] and r not in freed:
+                        outer, certain = r, certain or page.regions[r][3] == 2
                     r = page.regions[r][0]
-                if outer >= 0 and not link:
+                if outer >= 0 and not certain and not link:
                     own[outer] = own.get(outer, 0) + len(t.strip())
         if not any(own.values()):
             return ""
