@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import core
 from tidemark.operators.core import DAY, HOUR, micros
 from tidemark.shared import shared_path
-from tidemark.sources import files, requests, store
+from tidemark.sources import files, messages, requests, store
 from tidemark.streaming import jobs
 
 from .tables import TICKS, main_series, query, r6, read, ticks
@@ -89,17 +89,34 @@ def libsvm_round_trip(spark, d):
 
 @query("message_source", f"SELECT 't' || series % 3 AS \"table\", t AS time, c.name AS \"column\", CASE c.name WHEN 'price' THEN price ELSE qty END AS value FROM {TICKS}, (VALUES ('price'), ('qty')) c(name)")
 def message_source(spark, d):
-    t = ticks(spark, d)
+    """The ticks as JSON messages in files, read as a stream in two runs of one query and taken apart."""
+    t, to = ticks(spark, d), folder(spark, "messages")
     row = F.struct(F.col("t").alias("time"), F.lit(1.0).alias("volume"), F.array("price", F.col("qty").cast("double")).alias("values"))
-    msg = t.select(F.to_json(F.struct(F.concat(F.lit("t"), F.col("series") % 3).alias("table"), F.array(F.lit("price"), F.lit("qty")).alias("columns"), F.array(row).alias("rows"))).alias("value"))
-    return files.exploded_messages(msg).select("table", "time", "column", "value")
+    msg = t.select("event_id", F.to_json(F.struct(F.concat(F.lit("t"), F.col("series") % 3).alias("table"), F.array(F.lit("price"), F.lit("qty")).alias("columns"), F.array(row).alias("rows"))).alias("value"))
+    got = None
+    for half in (0, 1):
+        msg.filter(F.col("event_id") % 2 == half).select("value").write.mode("append").text(f"{to}/in")
+        stream = spark.readStream.schema("value string").text(f"{to}/in")
+        got = jobs.run_once(files.exploded_messages(stream), to)
+    return got.select("table", "time", "column", "value")
 
 
 @query("response_sink", "SELECT series, t, round(price, 4) AS price, CAST(n AS DOUBLE) AS n FROM {main}")
 def response_sink(spark, d):
     m = main_series(spark, d)
     narrow = m.unpivot(["series", "t"], [F.round("price", 4).alias("price"), F.col("n").cast("double").alias("n")], "column", "value")
-    return files.merged_response(narrow, ["series", "t"], ["price", "n"])
+    return messages.complete(narrow, ["series", "t"], ["price", "n"])
+
+
+@query("stream_responses", f"SELECT series, t, round(avg(price), 6) AS price, CAST(avg(qty) AS DOUBLE) AS qty FROM (SELECT series, t, max(price) AS price, max(qty) AS qty FROM {TICKS} GROUP BY series, t) WHERE t < {{mark}} GROUP BY series, t".replace("{mark}", f"((SELECT max(t) FROM {TICKS}) // 1000 * 1000 + 1000)"))
+def stream_responses(spark, d):
+    """Prices and quantities come as results of their own, and leave as one response a time once both are there."""
+
+    def build(s):
+        parts = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in ("price", "qty")))).alias("r")
+        return messages.response_stream(s.select("series", "ts", parts).select("series", "ts", "r.*"), "series", "ts", ["price", "qty"], "1 hour")
+
+    return streamed(spark, d, "responses", build).select("series", "t", r6("price", "price"), "qty")
 
 
 @query("stream_tail_overwrite", "SELECT event_id, series, t, price FROM {ticks}")

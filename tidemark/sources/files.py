@@ -79,9 +79,3 @@ def exploded_messages(lines: DataFrame) -> DataFrame:
     schema = "table string, columns array<string>, rows array<struct<time:long,volume:double,values:array<double>>>"
     m = lines.select(F.from_json("value", schema).alias("m")).select("m.table", "m.columns", F.explode("m.rows").alias("r"))
     return m.select("table", F.col("r.time").alias("time"), F.col("r.volume").alias("volume"), F.explode(F.arrays_zip("columns", "r.values")).alias("z")).select("table", "time", "volume", F.col("z.columns").alias("column"), F.col("z.values").alias("value"))
-
-
-def merged_response(results: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """One row for each key with a value of every column; keys that lack one are left out."""
-    wide = results.groupBy(*keys).pivot("column", columns).agg(F.first("value", ignorenulls=True))
-    return wide.dropna(subset=columns)
