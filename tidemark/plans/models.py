@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import core, frames, kernels
+from tidemark.functions import tables as table_functions
+from tidemark.operators import core, frames, kernels, moments
 from tidemark.operators.core import DAY, HOUR
 from tidemark.shared import written
 
@@ -259,23 +260,6 @@ def validation_report(spark, d):
     return f.groupBy(F.col("s.source").alias("source")).agg(F.count("*").alias("n"), r6(F.avg(e), "mae"), r6(100 * F.sum(e) / F.sum(F.abs("actual")), "mape"))
 
 
-def _ridge(spec: str, folds):
-    """Grouped ridge fit of (x, y) rows: trains on fold <> held, reports the error on held."""
-    import numpy as np
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lam = float(pdf["lam"].iloc[0])
-        x, y, held = np.array(pdf["x"].tolist(), float), pdf["y"].to_numpy(float), pdf["held"].to_numpy(bool)
-        x = np.c_[x, np.ones(len(x))]
-        if held.all() or not held.any():
-            return pd.DataFrame({c: [] for c in ("lam", "fold", "n", "mae")})
-        w = np.linalg.solve(x[~held].T @ x[~held] + lam * np.eye(x.shape[1]), x[~held].T @ y[~held])
-        return pd.DataFrame({"lam": [lam], "fold": [int(pdf["fold"].iloc[0])], "n": [int(held.sum())], "mae": [float(np.abs(x[held] @ w - y[held]).mean())]})
-
-    return folds.groupBy("lam", "fold").applyInPandas(run, spec)
-
-
 def _moments(batches):
     """Of each batch and own fold X'X and X'y as one flat list (ones behind x), and the number of rows."""
     import numpy as np
@@ -332,10 +316,9 @@ def grid_search_cv(spark, d):
 
 @query("walk_forward_backtest")
 def walk_forward_backtest(spark, d):
-    """Sliding windows of rows: each trains on 100 rows and validates on the 25 behind them."""
-    v = _vectors(spark, d).withColumn("fold", F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col("vec_id") - 100) / 25)).cast("int"), F.floor(F.col("vec_id") / 25).cast("int"))))
-    windows = v.withColumn("held", F.col("vec_id") >= F.col("fold") * 25 + 100).withColumn("lam", F.lit(1.0))
-    return _ridge("lam double, fold int, n int, mae double", windows).select("fold", "n", r6("mae", "mae"))
+    """Sliding windows of rows in order of vec_id: each trains on 100 rows and validates on the 25 behind them."""
+    v = core.row_index(_vectors(spark, d).withColumn("all", F.lit(0)), "all", "vec_id", 4096, "place")
+    return moments.walk_forward(v, "all", 100, 25, 1.0).select(F.col("fold").cast("int").alias("fold"), "n", r6("mae", "mae"))
 
 
 def _predicted(weights: dict):
@@ -447,6 +430,16 @@ def gap_table_function(spark, d):
     return g.groupBy("series").agg(F.max(F.col("gap_end") - F.col("gap_start") + HOUR).alias("longest"), F.count("*").alias("gaps"))
 
 
+@query("gap_table_sql", f"""WITH h AS (SELECT DISTINCT series, t // {HOUR} * {HOUR} AS t FROM {{ticks}} WHERE t >= 1704153600000000),
+g AS (SELECT series, t, lag(t) OVER (PARTITION BY series ORDER BY t) AS pt FROM h)
+SELECT CAST(series AS VARCHAR) AS series, coalesce(pt + {HOUR}, 1704153600000000) AS gap_start, t AS gap_end FROM g WHERE t > coalesce(pt + {HOUR}, 1704153600000000)""")
+def gap_table_sql(spark, d):
+    """The table function from SQL, with the gap from the start of the range to a series' first row."""
+    table_functions.register(spark)
+    ticks(spark, d).select("series", (core.bucket("t", HOUR) * HOUR).alias("t")).distinct().createOrReplaceTempView("hours_of_ticks")
+    return spark.sql(f"SELECT * FROM gap_intervals(TABLE(SELECT series, t FROM hours_of_ticks) PARTITION BY series ORDER BY (t), {HOUR}, 1704153600000000, NULL)")
+
+
 @query("running_rank_of_errors", f"SELECT series, t, rank() OVER (PARTITION BY series ORDER BY round(abs(forecast - actual), 6) DESC) AS place FROM {FORECASTS}")
 def running_rank_of_errors(spark, d):
     w = Window.partitionBy("series").orderBy(F.round(F.abs(F.col("forecast") - F.col("actual")), 6).desc())
