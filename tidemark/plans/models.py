@@ -6,9 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import tables as table_functions
-from tidemark.operators import core, frames, kernels, moments
+from tidemark.operators import core, frames, kernels, moments, scalers
 from tidemark.operators.core import DAY, HOUR
-from tidemark.shared import written
+from tidemark.shared import shared_path, written
 
 from .stats import FORECASTS, forecasts
 from .tables import query, r6, read, ticks
@@ -389,6 +389,29 @@ def min_max_scaling(spark, d):
     return e.join(m, ["label", "i"]).select("vec_id", "i", r6(-1 + 2 * (F.col("x") - F.col("lo")) / (F.col("hi") - F.col("lo")), "scaled"))
 
 
+_PRICED = "(SELECT l_returnflag, l_orderkey, l_linenumber, l_quantity AS q, l_extendedprice AS p, l_orderkey % 2 = 0 AS learn FROM lineitem)"
+
+
+@query("saved_scaling", f"""WITH f AS (SELECT l_returnflag, min(q) AS ql, max(q) AS qh, min(p) AS pl, max(p) AS ph FROM {_PRICED} WHERE learn GROUP BY 1)
+SELECT l_orderkey, l_linenumber, round((least(greatest(q, ql), qh) - (ql + qh) / 2) / ((qh - ql) / 2), 6) + 0.0 AS q, round((least(greatest(p, pl), ph) - (pl + ph) / 2) / ((ph - pl) / 2), 6) + 0.0 AS p FROM {_PRICED} JOIN f USING (l_returnflag) WHERE NOT learn""")
+def saved_scaling(spark, d):
+    """Ranges by return flag fitted to even orders, saved, loaded and applied to odd ones."""
+    rows, to = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p")), shared_path(spark, "scaler")
+    scalers.Scaler(["l_returnflag"], ["q", "p"]).fit(rows.filter("l_orderkey % 2 = 0")).save(to)
+    got = scalers.ScalerModel.load(spark, to).transform(rows.filter("l_orderkey % 2 = 1"))
+    return got.select("l_orderkey", "l_linenumber", *((F.round(c, 6) + 0.0).alias(c) for c in ("q", "p")))
+
+
+@query("centred_scaling", f"""WITH m AS (SELECT avg(q) AS qm, avg(p) AS pm, min(q) AS ql, max(q) AS qh, min(p) AS pl, max(p) AS ph FROM {_PRICED} WHERE learn),
+s AS (SELECT any_value(qm) AS qm, any_value(pm) AS pm, any_value(ql) AS ql, any_value(qh) AS qh, any_value(pl) AS pl, any_value(ph) AS ph, avg(abs(q - qm)) AS qs, avg(abs(p - pm)) AS ps FROM {_PRICED}, m WHERE learn)
+SELECT l_orderkey, l_linenumber, round((least(greatest(q, ql), qh) - qm) / qs, 6) + 0.0 AS q, round((least(greatest(p, pl), ph) - pm) / ps, 6) + 0.0 AS p FROM {_PRICED}, s WHERE NOT learn""")
+def centred_scaling(spark, d):
+    """Means and mean distances of all even orders together, applied to odd ones."""
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"))
+    model = scalers.Scaler([], ["q", "p"], "centre").fit(rows.filter("l_orderkey % 2 = 0"))
+    return model.transform(rows.filter("l_orderkey % 2 = 1")).select("l_orderkey", "l_linenumber", *((F.round(c, 6) + 0.0).alias(c) for c in ("q", "p")))
+
+
 def _bacon_sql(rounds: int, alpha: float) -> str:
     """Unrolled rounds; two columns have the closed quantile -2 ln(alpha / n)."""
     cut = f"-2 * ln({alpha} / n) * pow(1 + 3.0 / (n - 2) + 2.0 / (n - 7) + greatest(0, (((n + 3) // 2) - r) / (((n + 3) // 2) + r)), 2)"
