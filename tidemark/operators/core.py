@@ -138,10 +138,17 @@ def previous(df: DataFrame, key: str, time: str, columns: list[str], width: int
     return joined.select(*df.columns, *(F.col(f"_l.{c}").alias(f"prev_{c}") for c in columns))
 
 
-def gaps(df: DataFrame, key: str, time: str, step: int, width: int = DAY) -> DataFrame:
-    """(key, gap_start, gap_end): runs of missing grid times between neighbouring rows more than a step apart."""
-    rows = previous(df.select(key, time).distinct(), key, time, [time], width)
-    return rows.filter(F.col(time) - F.col(f"prev_{time}") > step).select(key, (F.col(f"prev_{time}") + step).alias("gap_start"), F.col(time).alias("gap_end"))
+def gaps(df: DataFrame, key: str, time: str, step: int, width: int = DAY, start: int | None = None) -> DataFrame:
+    """(key, gap_start, gap_end): runs of missing grid times between neighbouring rows more than a step apart; with `start` of the rows from it on, and the
+    run from it to a series' first row."""
+    rows = df.select(key, time).distinct()
+    rows = rows if start is None else rows.filter(F.col(time) >= start)
+    near = previous(rows, key, time, [time], width)
+    found = near.filter(F.col(time) - F.col(f"prev_{time}") > step).select(key, (F.col(f"prev_{time}") + step).alias("gap_start"), F.col(time).alias("gap_end"))
+    if start is None:
+        return found
+    first = rows.groupBy(key).agg(F.min(time).alias("gap_end")).filter(F.col("gap_end") > start)
+    return found.unionByName(first.select(key, F.lit(start).cast("long").alias("gap_start"), "gap_end"))
 
 
 def overlay(old: DataFrame, new: DataFrame, key: str, time: str) -> DataFrame:

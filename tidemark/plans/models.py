@@ -453,14 +453,28 @@ def gap_table_function(spark, d):
     return g.groupBy("series").agg(F.max(F.col("gap_end") - F.col("gap_start") + HOUR).alias("longest"), F.count("*").alias("gaps"))
 
 
-@query("gap_table_sql", f"""WITH h AS (SELECT DISTINCT series, t // {HOUR} * {HOUR} AS t FROM {{ticks}} WHERE t >= 1704153600000000),
+_FROM = 1704153600000000
+_GAPS_FROM = f"""WITH h AS (SELECT DISTINCT series, t // {HOUR} * {HOUR} AS t FROM {{ticks}} WHERE t >= {_FROM}),
 g AS (SELECT series, t, lag(t) OVER (PARTITION BY series ORDER BY t) AS pt FROM h)
-SELECT CAST(series AS VARCHAR) AS series, coalesce(pt + {HOUR}, 1704153600000000) AS gap_start, t AS gap_end FROM g WHERE t > coalesce(pt + {HOUR}, 1704153600000000)""")
+SELECT {{series}} AS series, coalesce(pt + {HOUR}, {_FROM}) AS gap_start, t AS gap_end FROM g WHERE t > coalesce(pt + {HOUR}, {_FROM})"""
+
+
+def _hours(spark, d):
+    return ticks(spark, d).select("series", (core.bucket("t", HOUR) * HOUR).alias("t")).distinct()
+
+
+@query("gaps_from_a_start", _GAPS_FROM.replace("{series}", "series"))
+def gaps_from_a_start(spark, d):
+    """Missing hours from the start of a range on, those before a series' first row included."""
+    return core.gaps(_hours(spark, d), "series", "t", HOUR, start=_FROM)
+
+
+@query("gap_table_sql", _GAPS_FROM.replace("{series}", "CAST(series AS VARCHAR)"))
 def gap_table_sql(spark, d):
-    """The table function from SQL, with the gap from the start of the range to a series' first row."""
+    """The same by the table function from SQL."""
     table_functions.register(spark)
-    ticks(spark, d).select("series", (core.bucket("t", HOUR) * HOUR).alias("t")).distinct().createOrReplaceTempView("hours_of_ticks")
-    return spark.sql(f"SELECT * FROM gap_intervals(TABLE(SELECT series, t FROM hours_of_ticks) PARTITION BY series ORDER BY (t), {HOUR}, 1704153600000000, NULL)")
+    _hours(spark, d).createOrReplaceTempView("hours_of_ticks")
+    return spark.sql(f"SELECT * FROM gap_intervals(TABLE(SELECT series, t FROM hours_of_ticks) PARTITION BY series ORDER BY (t), {HOUR}, {_FROM}, NULL)")
 
 
 @query("running_rank_of_errors", f"SELECT series, t, rank() OVER (PARTITION BY series ORDER BY round(abs(forecast - actual), 6) DESC) AS place FROM {FORECASTS}")
