@@ -111,11 +111,12 @@ def emd(df: DataFrame, key: str, value: str, masks: list[list[float]], siftings:
     return levels if levels is not None else rest.select(key, "row_ix", F.lit(0).alias("level"), F.col("_rest").alias("value"))
 
 
-def recompose(levels: DataFrame, keys: list[str], product: bool = False) -> DataFrame:
-    """(keys, value): the sum of levels, or their product."""
-    if not product:
-        return levels.groupBy(*keys).agg(F.sum("value").alias("value"))
-    return levels.groupBy(*keys).agg(F.product("value").alias("value"))
+def recompose(levels: DataFrame, keys: list[str], product: bool = False, skip: int | None = None, factors: DataFrame | None = None) -> DataFrame:
+    """(keys, value): the sum of levels, or their product. `skip`, the transitional level, takes no part; `factors` (level, dc, sf) scale the levels' values back first."""
+    used = levels if skip is None else levels.filter(F.col("level") != skip)
+    if factors is not None:
+        used = used.join(factors, "level").withColumn("value", F.col("value") * F.col("sf") + F.col("dc"))
+    return used.groupBy(*keys).agg((F.product if product else F.sum)("value").alias("value"))
 
 
 HAAR = [math.sqrt(0.5), math.sqrt(0.5)]

@@ -76,6 +76,25 @@ def self_similarity(df: DataFrame, key: str, value: str, offsets: list[int]) ->
     return pairs.groupBy(key, "offset").agg(F.avg(F.when(size == 0, 0.0).otherwise(F.abs(F.col("_x") - F.col("_y")) / size)).alias("distance"))
 
 
+def best_stretch(df: DataFrame, key: str, value: str, offsets: list[int], multiplier: float, limit: float) -> DataFrame:
+    """(key, offset, stretch, distance): how the first `offset` rows of a series resemble its last ones, row i beside row floor(i * stretch), at the stretch
+    (1, multiplier, multiplier^2, ... above the limit) with the least mean |x - y| / (|x| + |y|); of equals the largest. Series shorter than an offset have no row for it."""
+    stretches, now = [], 1.0
+    while now > limit:
+        stretches.append(now)
+        now *= multiplier
+    asked = F.array(*(F.struct(F.lit(o).cast("long").alias("offset"), F.lit(s).alias("stretch")) for o in offsets for s in stretches))
+    n = df.groupBy(key).agg((F.max("row_ix") + 1).alias("_n"))
+    first = df.filter(F.col("row_ix") < max(offsets)).join(n, key).select(key, "row_ix", "_n", F.col(value).alias("_x"), F.explode(asked).alias("_a")).select(key, "row_ix", "_n", "_x", "_a.*")
+    first = first.filter((F.col("row_ix") < F.col("offset")) & (F.col("offset") <= F.col("_n")))
+    at = F.col("_n") - F.col("offset") + F.floor(F.col("row_ix") * F.col("stretch")).cast("long")
+    pairs = first.withColumn("row_ix", at).join(df.select(key, "row_ix", F.col(value).alias("_y")), [key, "row_ix"])
+    size = F.abs("_x") + F.abs("_y")
+    each = pairs.groupBy(key, "offset", "stretch").agg(F.avg(F.when(size == 0, 0.0).otherwise(F.abs(F.col("_x") - F.col("_y")) / size)).alias("d"))
+    best = F.min(F.struct(F.round("d", 9).alias("d"), (-F.col("stretch")).alias("s"))).alias("b")
+    return each.groupBy(key, "offset").agg(best).select(key, "offset", (-F.col("b.s")).alias("stretch"), F.col("b.d").alias("distance"))
+
+
 def worst_rows(df: DataFrame, key: str, label: str, drop: int) -> DataFrame:
     """df without the `drop` rows of each series whose summed distance to all labels is largest.
 

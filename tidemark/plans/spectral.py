@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import core, fourier
+from tidemark.operators import core, fourier, stats
 from tidemark.operators import spectral as sp
 
 from .tables import query, r6, read, ticks
@@ -73,6 +73,16 @@ def level_reconstruction(spark, d):
     return sp.recompose(levels, ["series", "row_ix"]).select("series", "row_ix", r6("value", "value"))
 
 
+@query("scaled_level_reconstruction", f"SELECT series, row_ix, round(price * 0.7, 6) AS value FROM {R}")
+def scaled_level_reconstruction(spark, d):
+    """Three levels, each centred and scaled by its own factors, summed without the transitional one and in their own units."""
+    shares = F.array(*(F.struct(F.lit(i).alias("level"), (F.col("price") * s).alias("value")) for i, s in enumerate((0.5, 0.3, 0.2))))
+    levels = rows(spark, d).select("series", "row_ix", F.explode(shares).alias("l")).select("series", "row_ix", "l.*")
+    factors = stats.scaling(levels, ["level"], "value")
+    scaled = levels.join(factors, "level").select("series", "row_ix", "level", ((F.col("value") - F.col("dc")) / F.col("sf")).alias("value"))
+    return sp.recompose(scaled, ["series", "row_ix"], skip=1, factors=factors).select("series", "row_ix", r6("value", "value"))
+
+
 @query("product_reconstruction", "SELECT o_custkey, round(exp(sum(ln(1 + (o_totalprice % 97) / 1000))), 6) AS value FROM orders GROUP BY 1")
 def product_reconstruction(spark, d):
     o = read(spark, d, "orders").select("o_custkey", F.col("o_orderkey").alias("level"), (1 + (F.col("o_totalprice") % 97) / 1000).alias("value"))

@@ -198,10 +198,13 @@ def best_parameters_per_group(spark, d):
 
 
 @query("running_evaluation", f"""SELECT series, t, round(avg(abs(forecast - actual)) OVER w + 1e-9, 4) AS mae, round(100 * sum(abs(forecast - actual)) OVER w / sum(abs(actual)) OVER w + 1e-9, 4) AS mape,
+  round(100 * (sum(abs(known - actual)) OVER w / nullif(sum(abs(forecast - actual)) OVER w, 0) - 1) + 1e-9, 4) AS alpha,
   round(100 * avg(CASE WHEN sign(forecast - known) = sign(actual - known) THEN 1.0 ELSE 0.0 END) OVER w, 4) AS direction FROM {FORECASTS} WINDOW w AS (PARTITION BY series ORDER BY t ROWS UNBOUNDED PRECEDING)""")
 def running_evaluation(spark, d):
     e, f = F.abs(F.col("forecast") - F.col("actual")), forecasts(spark, d)
     hit = (F.signum(F.col("forecast") - F.col("known")) == F.signum(F.col("actual") - F.col("known"))).cast("double")
-    run = core.running(f, "series", "t", {"e": e, "a": F.abs("actual"), "hits": hit, "n": F.lit(1)}, width=7 * DAY)
-    return run.select("series", "t", F.round(F.col("e") / F.col("n") + 1e-9, 4).alias("mae"), F.round(100 * F.col("e") / F.col("a") + 1e-9, 4).alias("mape"), F.round(100 * F.col("hits") / F.col("n"), 4).alias("direction"))
+    last = F.abs(F.col("known") - F.col("actual"))
+    run = core.running(f, "series", "t", {"e": e, "a": F.abs("actual"), "last": last, "hits": hit, "n": F.lit(1)}, width=7 * DAY)
+    alpha = F.round(100 * (F.col("last") / F.when(F.col("e") != 0, F.col("e")) - 1) + 1e-9, 4).alias("alpha")
+    return run.select("series", "t", F.round(F.col("e") / F.col("n") + 1e-9, 4).alias("mae"), F.round(100 * F.col("e") / F.col("a") + 1e-9, 4).alias("mape"), alpha, F.round(100 * F.col("hits") / F.col("n"), 4).alias("direction"))
 

@@ -85,6 +85,16 @@ def lagged_self_similarity(spark, d):
     return got.select("series", F.col("offset").cast("long").alias("offset"), r6("distance", "distance"))
 
 
+@query("best_stretch", f"""WITH a AS (SELECT o AS "offset", s AS stretch FROM (VALUES (2), (4), (8)) x(o), (VALUES (1.0::DOUBLE), (0.75::DOUBLE), (0.5625::DOUBLE)) y(s)),
+d AS (SELECT f.series, "offset", stretch, round(avg(CASE WHEN abs(f.price) + abs(g.price) = 0 THEN 0 ELSE abs(f.price - g.price) / (abs(f.price) + abs(g.price)) END), 9) AS d
+FROM {R} f JOIN a ON f.row_ix < "offset" AND "offset" <= f.n JOIN {R} g ON g.series = f.series AND g.row_ix = f.n - "offset" + CAST(floor(f.row_ix * stretch) AS BIGINT) GROUP BY ALL)
+SELECT series, "offset", round(arg_min(stretch, (d, -stretch)), 6) AS stretch, round(min(d), 6) AS distance FROM d GROUP BY series, "offset" """)
+def best_stretch(spark, d):
+    """The best stretch of a series' end over its beginning."""
+    got = win.best_stretch(rows(spark, d), "series", "price", [2, 4, 8], 0.75, 0.5)
+    return got.select("series", "offset", r6("stretch", "stretch"), r6("distance", "distance"))
+
+
 @query("time_sort", "SELECT event_id, series, t FROM {ticks} ORDER BY series, t")
 def time_sort(spark, d):
     return ticks(spark, d).select("event_id", "series", "t").orderBy("series", "t")
