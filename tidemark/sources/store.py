@@ -172,12 +172,15 @@ def save(path: str, new: DataFrame, keys: list[str], file_rows: int = FILE_ROWS,
     stay. Only files that may hold rows that go are written anew. A save that is done again changes nothing, unless it appends. Repeated keys among
     the new rows all stay. Keys with a null come first in their order and equal no other."""
     spark = new.sparkSession
-    rows = written(new.repartitionByRange(*[F.col(k) for k in keys]).withColumn("_part", F.spark_partition_id()), "save")
+    rows = None
     for _ in range(attempts):
         known = versions(spark, path)
         version = known[-1] + 1 if known else 0
-        fresh = rows.drop("_part")
+        fresh = new
         if known:
+            if rows is None:  # the rows are read several times, so they are made once
+                rows = written(new.repartitionByRange(*[F.col(k) for k in keys]).withColumn("_part", F.spark_partition_id()), "save")
+            fresh = rows.drop("_part")
             files = manifest(spark, path, known[-1])
             gone = touched(rows, files, keys) if how == "replace" else behind(rows, files, *keys) if how == "tail" else []
             if gone:
@@ -186,7 +189,7 @@ def save(path: str, new: DataFrame, keys: list[str], file_rows: int = FILE_ROWS,
             left = files.filter(~F.col("file").isin(gone)) if gone else files
         else:
             gone, left = [], None
-            rows.drop("_part").limit(0).write.mode("ignore").parquet(f"{path}/schema")
+            spark.createDataFrame([], new.schema).write.mode("ignore").parquet(f"{path}/schema")
         folder, name = f"d{version:012d}-{uuid.uuid4().hex}", f"m{version:012d}-{uuid.uuid4().hex}"
         fresh.repartitionByRange(*[F.col(k) for k in keys]).sortWithinPartitions(*keys).write.option("maxRecordsPerFile", file_rows).parquet(f"{path}/data/{folder}")
         made = _described(spark, path, folder, keys)
