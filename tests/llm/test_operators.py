@@ -327,6 +327,37 @@ def test_near_copies_in_a_mixed_bucket(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 24, 2))
 
 
+def repeated_line(seed):
+    """Two texts of one line thirty times and an end of their own, with 16 of 20 shingles of five words in common."""
+    rnd = random.Random(seed)
+    line, a, b = (" ".join("".join(rnd.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(n)) for n in (16, 2, 2))
+    return [f"{' '.join([line] * 30)} {end}" for end in (a, b)]
+
+
+def test_near_copies_come_from_fingerprints(spark):
+    """Alike texts within three bits are linked by multi-index hashing, also where no MinHash band holds both."""
+    texts = [t for seed in (1932, 4014, 5403) for t in repeated_line(seed)]
+    sets = [np.unique(simhash.shingle_hashes(t, 5)) for t in texts]
+    for i in range(0, len(texts), 2):
+        x, y = sets[i : i + 2]
+        assert (brute_fp(texts[i]) ^ brute_fp(texts[i + 1])).bit_count() <= 3 and not {*simhash.band_keys(x)} & {*simhash.band_keys(y)}
+        assert len({*x} & {*y}) == 0.8 * len({*x} | {*y})
+    kept = simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4]
+
+
+def test_near_fingerprints_are_verified(spark):
+    """Texts within three bits whose shingles are less alike than asked for all stay, and so do their links with others."""
+    rnd = random.Random(8)
+    line = " ".join(f"w{rnd.randrange(10**9)}" for _ in range(9))
+    ends = [" ".join(f"e{rnd.randrange(10**9)}" for _ in range(6)) for _ in range(8)]
+    texts = [f"{' '.join([line] * 200)} {end}{more}" for end in ends for more in ("", " last")]
+    fps = [brute_fp(t) for t in texts]
+    assert len(set(components(fps))) == 1
+    kept = simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(0, 16, 2))
+
+
 @pytest.mark.parametrize("block", [2, 256])
 def test_all_members_of_a_bucket_are_compared(spark, block, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", block)

@@ -28,6 +28,8 @@ BROADCAST_ROWS = 1_000_000
 SKETCH = 256
 #: Pairs of which a sketch says less than this from the similarity asked for (four deviations) are counted on their whole shingle sets.
 NEAR = 0.1
+#: Words of a shingle of the fingerprints.
+SHINGLE = 3
 #: MinHash bands of ROWS hashes each: at a similarity of 0.8 a pair shares a band with probability 0.9993.
 BANDS, ROWS = 24, 6
 #: Members of one side that a comparison of blocks of a bucket takes.
@@ -227,13 +229,18 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return key
 
 
-def _banded(words: int):
+def _marks(words: int):
+    """Of each text its fingerprint, and its band keys over shingles of `words` words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [band_keys(shingle_hashes(t.as_py(), words)) for t in batch.column(2)]
+            texts = [t.as_py() for t in batch.column(2)]
+            fps = np.fromiter((fingerprint(t, SHINGLE) for t in texts), np.uint64, len(texts))
+            keys = [band_keys(shingle_hashes(t, words)) for t in texts]
             flat = pa.array(np.concatenate(keys).view(np.int64) if keys else np.empty(0, np.int64))
             ends = pa.array(np.arange(batch.num_rows + 1, dtype="i4") * BANDS)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "h", "keys"])
+            columns = [batch.column(0), batch.column(1), pa.array(fps.view(np.int64)), pa.ListArray.from_arrays(ends, flat)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "fp", "keys"])
 
     return run
 
@@ -297,16 +304,20 @@ def counted(texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -
     return got.filter(F.col("both") >= similarity * (F.size("xu") + F.size("xv") - F.col("both"))).select("u", "v")
 
 
+def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose ends are in two components by roots (node, root)."""
+    for c in ("u", "v"):
+        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
+    return pairs.filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
+
+
 def settled(edges: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The edges (u, v, sure) that hold. One that isn't sure is counted unless the sure ones link its ends anyway."""
     sure, rest = edges.filter("sure").select("u", "v"), edges.filter("not sure").select("u", "v").distinct()
     if rest.isEmpty():
         return sure
-    roots = written(components(sure), "sure-roots")
-    for c in ("u", "v"):
-        rest = rest.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
-    apart = F.coalesce("root_u", "u") != F.coalesce("root_v", "v")
-    return sure.union(written(counted(texts, written(rest.filter(apart).select("u", "v"), "unsure"), words, similarity), "counted"))
+    rest = apart(rest, written(components(sure), "sure-roots"))
+    return sure.union(written(counted(texts, written(rest, "unsure"), words, similarity), "counted"))
 
 
 def overlap(x: np.ndarray, many: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -384,29 +395,54 @@ def strays(members: DataFrame, roots: DataFrame, sets: DataFrame, similarity: fl
     return mapped(dealt, _compared(similarity), "u long, v long, sure boolean").distinct()
 
 
+def near_members(nodes: DataFrame) -> DataFrame:
+    """(b, h, first): the texts of nodes (h, fp) in one bucket for each component of fingerprints within RADIUS bits that holds several; first is its smallest h."""
+    texts = nodes.select(F.col("h").alias("doc_id"), "fp")
+    placed = written(grouped(texts, near_groups(texts)), "placed")
+    several = written(placed.groupBy("component_id").agg(F.count("*").alias("n")).filter("n > 1").select("component_id"), "several")
+    members = placed.join(sized(several), "component_id")
+    return written(members.select(F.col("component_id").alias("b"), F.col("doc_id").alias("h"), F.col("component_id").alias("first")), "near-members")
+
+
+def band_members(nodes: DataFrame) -> DataFrame:
+    """(b, h, first): the texts of nodes (h, keys) in one bucket for each MinHash band that several share; first is its smallest h."""
+    each = nodes.select(F.explode("keys").alias("b"), "h")
+    buckets = written(each.groupBy("b").agg(F.min("h").alias("first"), F.count("*").alias("n")).filter("n > 1").select("b", "first"), "buckets")
+    return written(each.join(sized(buckets), "b").select("b", "h", "first"), "members")
+
+
+def verified(members: DataFrame, known: DataFrame, sets: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The edges `known` (u > v), and those that link what members (b, h, first) of one bucket have alike beyond them.
+
+    Each text that known edges don't link with its bucket's first text is verified against it; where that leaves a bucket in several
+    components, all pairs across them are verified too (see strays), so every two texts of a bucket are linked or have been compared."""
+    pairs = members.filter("h <> first").select(F.col("h").alias("u"), F.col("first").alias("v")).distinct()
+    edges = written(apart(pairs, written(components(known), "known-roots")), "candidates")
+    held = written(known.union(settled(written(alike(sets, edges, similarity), "linked"), texts, words, similarity)), "settled")
+    more = written(strays(members.select("b", "h"), components(held), sets, similarity), "strays")
+    return written(settled(held.withColumn("sure", F.lit(True)).union(more), texts, words, similarity), "verified")
+
+
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of docs that stay when of texts alike (shingles of `words` words, Jaccard of `similarity`) one is kept: the smallest key's.
 
-    Equal texts are one node. Texts that share a MinHash band are in one bucket. Each is verified against its bucket's first text; where that leaves a
-    bucket in several components, all pairs across them are verified too (see strays), so every two texts of a bucket are linked or
-    have been compared. All columns stay as they are; null keys come last; repeated rows count as copies."""
+    Equal texts are one node. Components of fingerprints within RADIUS bits, by multi-index hashing, are the first buckets, and what is alike in them
+    is linked. Alike texts may be more than RADIUS bits apart, so texts that share a MinHash band are in one bucket too, and its pairs not linked yet
+    are verified in turn. All columns stay as they are; null keys come last; repeated rows count as copies."""
     whole = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("t"))
-    marked = written(mapped(whole, _banded(words), "doc_id long, h long, keys array<long>"), "marked")
-    nodes = written(marked.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")), "texts")
-    each = nodes.select(F.explode("keys").alias("b"), "h")
-    buckets = written(each.groupBy("b").agg(F.min("h").alias("first"), F.count("*").alias("n")).filter("n > 1").select("b", "first"), "buckets")
-    members = written(each.join(sized(buckets), "b"), "members")
-    edges = written(members.filter("h <> first").select(F.col("h").alias("u"), F.col("first").alias("v")).distinct(), "candidates")
-    sets = sketched(whole.select("h", "t"), written(members.select("h").distinct(), "involved"), words)
+    marked = written(mapped(whole, _marks(words), "doc_id long, h long, fp long, keys array<long>"), "marked")
+    nodes = written(marked.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "texts")
+    near, banded = near_members(nodes), band_members(nodes)
     texts = whole.select("h", "t")
-    edges = written(settled(written(alike(sets, edges, similarity), "linked"), texts, words, similarity), "settled")
-    more = strays(members.select("b", "h"), components(edges), sets, similarity)
-    edges = settled(edges.withColumn("sure", F.lit(True)).union(written(more, "strays")), texts, words, similarity)
+    sets = sketched(texts, written(near.select("h").union(banded.select("h")).distinct(), "involved"), words)
+    edges = docs.sparkSession.createDataFrame([], "u long, v long")
+    for members in (near, banded):
+        edges = verified(members, edges, sets, texts, words, similarity)
     roots = components(edges)
     order = F.struct(F.col("least").isNull(), "least", "h")
-    grouped = nodes.join(roots.withColumnRenamed("node", "h"), "h").select("root", "h", "least")
-    best = written(grouped.groupBy("root").agg(F.min(order).alias("s")).select("root", F.col("s.h").alias("best")), "best")
-    gone = grouped.join(best, "root").filter("h <> best").select(F.col("h").alias("gone"))
+    copies = nodes.join(roots.withColumnRenamed("node", "h"), "h").select("root", "h", "least")
+    best = written(copies.groupBy("root").agg(F.min(order).alias("s")).select("root", F.col("s.h").alias("best")), "best")
+    gone = copies.join(best, "root").filter("h <> best").select(F.col("h").alias("gone"))
     rows = first_rows(docs, marked, nodes, gone, text, key)
     if not marked.groupBy("doc_id", "h").count().filter("count > 1").isEmpty():
         rows = rows.dropDuplicates([key, *(c for c in rows.columns if c not in docs.columns)])
