@@ -20,7 +20,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, chat, html, mixing, pieces, quality, registry, secrets, simhash, sstable, vafile, winnow
+from tidemark.llm import bpe, chat, common, html, mixing, pieces, quality, registry, secrets, simhash, sstable, vafile, winnow
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = "word " * 30_000
@@ -375,6 +375,43 @@ def test_all_members_of_a_bucket_are_compared(spark, block, monkeypatch):
     assert all(r == h // 100 * 100 for h, r in root.items())
 
 
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName() for f in (files.apply(i) for i in range(files.size())) if f.getName().startswith("shuffle_")}
+
+
+def test_near_copies_leave_no_shuffle_files(spark):
+    """A written table's shuffle files go with its write, however long the driver's garbage waits; the session's setting stays as it was."""
+    before, setting = shuffle_files(spark), spark.conf.get(common.CLEANUP)
+    kept = common.written(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    for _ in range(50):
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left and kept.count() == 7 and spark.conf.get(common.CLEANUP) == setting
+
+
+@pytest.mark.parametrize("most", [0, 1_000_000])
+def test_stars_take_no_round_and_roots_take_edges(spark, most, monkeypatch):
+    """Stars are written once; edges added to roots, by joins of either kind, give what all edges give at once."""
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", most)
+    names = []
+    monkeypatch.setattr(simhash, "written", lambda df, name: names.append(name) or common.written(df, name))
+    stars = spark.createDataFrame([(10 * g + i, 10 * g) for g in range(5) for i in range(1, 5)], "u long, v long")
+    assert {tuple(r) for r in simhash.components(stars).collect()} == {(10 * g + i, 10 * g) for g in range(5) for i in range(5)}
+    assert names == ["edges", "least"]
+    rnd = random.Random(6)
+    steps = [[tuple(sorted(rnd.sample(range(80), 2), reverse=True)) for _ in range(20)] for _ in range(3)]
+    roots = common.written(spark.range(80).select(F.col("id").alias("node"), F.col("id").alias("root")), "own")
+    for edges in [*steps, []]:
+        roots = simhash.joined(roots, spark.createDataFrame(edges, "u long, v long"))
+    want = list(range(80))
+    for _ in range(80):
+        for u, v in sum(steps, []):
+            want[u] = want[v] = min(want[u], want[v])
+    assert sorted(tuple(r) for r in roots.collect()) == list(enumerate(want))
+
+
 def test_all_pairs_near_the_similarity(spark):
     """Long texts with scattered changes, similarities from 0.76 to 0.84 included: what stays is what all pairs counted leave."""
     rnd, rows = random.Random(9), []

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 
 BATCH = "4m"
+#: Whether an execution's shuffle files are removed at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,10 +31,16 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: its lineage ends here, and a lost executor costs no recomputation."""
+    """df as a table in the shared folder: its lineage ends here, and a lost executor costs no recomputation.
+
+    The write's shuffle files go when it has ended, not when the driver happens to collect its garbage."""
     spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
+    path, before = shared_path(spark, name), spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

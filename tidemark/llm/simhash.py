@@ -160,21 +160,22 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of the edges (u > v) reaches. Roots are rows too.
 
-    Alternates large and small stars until the edges stay as they are; every round is written to the shared folder."""
-    now, before = written(edges.select("u", "v"), "edges"), None
+    Alternates large and small stars until every node is a root or has its root for only neighbour; edges that are such stars already
+    take no round. Every round is written to the shared folder."""
+    now = written(edges.select("u", "v"), "edges")
     while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before or not state[0]:
-            break
-        before = state
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written, so that the join's shuffle is its own and a hub's many edges can be split
-        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most"))
+        least = written(least.select("u", F.least("u", "m").alias("m"), ((F.col("m") > F.col("u")) | (F.col("m") == F.col("most"))).alias("star")), "least")
+        nodes, other = least.agg(F.count("*"), F.count_if(~F.col("star"))).first()
+        least = least.select("u", "m")
+        if not other:
+            return least.toDF("node", "root")
+        large = both.filter("v > u").join(F.broadcast(least) if nodes <= BROADCAST_ROWS else least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.greatest("v", "m").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u > v").distinct()
         now = written(small, "edges")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v")).distinct()
 
 
 def near_groups(docs_fp: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -304,20 +305,30 @@ def counted(texts: DataFrame, pairs: DataFrame, words: int, similarity: float) -
     return got.filter(F.col("both") >= similarity * (F.size("xu") + F.size("xv") - F.col("both"))).select("u", "v")
 
 
-def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose ends are in two components by roots (node, root)."""
+def rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose ends are in two components by a written table (node, root) of all nodes, with root_u and root_v."""
+    table = sized(roots)
     for c in ("u", "v"):
-        pairs = pairs.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c, "left")
-    return pairs.filter(F.coalesce("root_u", "u") != F.coalesce("root_v", "v")).select("u", "v")
+        pairs = pairs.join(table.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")), c)
+    return pairs.filter("root_u <> root_v")
 
 
-def settled(edges: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The edges (u, v, sure) that hold. One that isn't sure is counted unless the sure ones link its ends anyway."""
-    sure, rest = edges.filter("sure").select("u", "v"), edges.filter("not sure").select("u", "v").distinct()
+def joined(roots: DataFrame, edges: DataFrame) -> DataFrame:
+    """The table roots (node, root) with the edges (u, v) added. Only edges between two of its components are followed, as edges between their roots."""
+    top = components(rooted(edges, roots).select(F.greatest("root_u", "root_v").alias("u"), F.least("root_u", "root_v").alias("v")))
+    if top.isEmpty():
+        return roots
+    moved = roots.join(sized(top).select(F.col("node").alias("root"), F.col("root").alias("now")), "root", "left")
+    return written(moved.select("node", F.coalesce("now", "root").alias("root")), "roots")
+
+
+def settled(edges: DataFrame, roots: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The table roots (node, root) with those edges (u, v, sure) added that hold. One that isn't sure is counted unless its ends are linked anyway."""
+    roots = joined(roots, edges.filter("sure").select("u", "v"))
+    rest = written(rooted(edges.filter("not sure").select("u", "v").distinct(), roots).select("u", "v"), "unsure")
     if rest.isEmpty():
-        return sure
-    rest = apart(rest, written(components(sure), "sure-roots"))
-    return sure.union(written(counted(texts, written(rest, "unsure"), words, similarity), "counted"))
+        return roots
+    return joined(roots, written(counted(texts, rest, words, similarity), "counted"))
 
 
 def overlap(x: np.ndarray, many: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -380,7 +391,7 @@ def strays(members: DataFrame, roots: DataFrame, sets: DataFrame, similarity: fl
 
     Every member outside its bucket's largest component is compared with every member of another component. Sides are dealt into blocks, so that
     no task holds a bucket, and pairs that are not alike never become rows."""
-    placed = members.join(roots.select(F.col("node").alias("h"), "root"), "h", "left").select("b", "h", F.coalesce("root", "h").alias("root"))
+    placed = members.join(sized(roots).select(F.col("node").alias("h"), "root"), "h", "left").select("b", "h", F.coalesce("root", "h").alias("root"))
     counts = written(placed.groupBy("b", "root").agg(F.count("*").alias("n")), "bucket-roots")
     mixed = counts.groupBy("b").agg(F.count("*").alias("kinds"), F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most")).filter("kinds > 1")
     mixed = written(mixed.select("b", "n", F.col("most.root").alias("main"), (F.col("n") - F.col("most.n")).alias("k")), "mixed")
@@ -411,16 +422,16 @@ def band_members(nodes: DataFrame) -> DataFrame:
     return written(each.join(sized(buckets), "b").select("b", "h", "first"), "members")
 
 
-def verified(members: DataFrame, known: DataFrame, sets: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The edges `known` (u > v), and those that link what members (b, h, first) of one bucket have alike beyond them.
+def verified(members: DataFrame, roots: DataFrame, sets: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The table roots (node, root) of all texts in buckets, with what members (b, h, first) of one bucket have alike added.
 
-    Each text that known edges don't link with its bucket's first text is verified against it; where that leaves a bucket in several
+    Each text that isn't linked with its bucket's first text is verified against it; where that leaves a bucket in several
     components, all pairs across them are verified too (see strays), so every two texts of a bucket are linked or have been compared."""
     pairs = members.filter("h <> first").select(F.col("h").alias("u"), F.col("first").alias("v")).distinct()
-    edges = written(apart(pairs, written(components(known), "known-roots")), "candidates")
-    held = written(known.union(settled(written(alike(sets, edges, similarity), "linked"), texts, words, similarity)), "settled")
-    more = written(strays(members.select("b", "h"), components(held), sets, similarity), "strays")
-    return written(settled(held.withColumn("sure", F.lit(True)).union(more), texts, words, similarity), "verified")
+    edges = written(rooted(pairs, roots).select("u", "v"), "candidates")
+    roots = settled(written(alike(sets, edges, similarity), "linked"), roots, texts, words, similarity)
+    more = written(strays(members.select("b", "h"), roots, sets, similarity), "strays")
+    return settled(more, roots, texts, words, similarity)
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -434,11 +445,11 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, t
     nodes = written(marked.groupBy("h").agg(F.min("doc_id").alias("least"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "texts")
     near, banded = near_members(nodes), band_members(nodes)
     texts = whole.select("h", "t")
-    sets = sketched(texts, written(near.select("h").union(banded.select("h")).distinct(), "involved"), words)
-    edges = docs.sparkSession.createDataFrame([], "u long, v long")
+    involved = written(near.select("h").union(banded.select("h")).distinct(), "involved")
+    sets = sketched(texts, involved, words)
+    roots = involved.select(F.col("h").alias("node"), F.col("h").alias("root"))
     for members in (near, banded):
-        edges = verified(members, edges, sets, texts, words, similarity)
-    roots = components(edges)
+        roots = verified(members, roots, sets, texts, words, similarity)
     order = F.struct(F.col("least").isNull(), "least", "h")
     copies = nodes.join(roots.withColumnRenamed("node", "h"), "h").select("root", "h", "least")
     best = written(copies.groupBy("root").agg(F.min(order).alias("s")).select("root", F.col("s.h").alias("best")), "best")
