@@ -205,6 +205,8 @@ def running_evaluation(spark, d):
     hit = (F.signum(F.col("forecast") - F.col("known")) == F.signum(F.col("actual") - F.col("known"))).cast("double")
     last = F.abs(F.col("known") - F.col("actual"))
     run = core.running(f, "series", "t", {"e": e, "a": F.abs("actual"), "last": last, "hits": hit, "n": F.lit(1)}, width=7 * DAY)
+    # as long as all prices are zero: infinite, or no number where there is no error either
+    mape = F.when(F.col("a") != 0, 100 * F.col("e") / F.col("a")).when(F.col("a") == 0, F.when(F.col("e") > 0, F.lit(float("inf"))).otherwise(F.lit(float("nan"))))
     alpha = F.round(100 * (F.col("last") / F.when(F.col("e") != 0, F.col("e")) - 1) + 1e-9, 4).alias("alpha")
-    return run.select("series", "t", F.round(F.col("e") / F.col("n") + 1e-9, 4).alias("mae"), F.round(100 * F.col("e") / F.col("a") + 1e-9, 4).alias("mape"), alpha, F.round(100 * F.col("hits") / F.col("n"), 4).alias("direction"))
+    return run.select("series", "t", F.round(F.col("e") / F.col("n") + 1e-9, 4).alias("mae"), F.round(mape + 1e-9, 4).alias("mape"), alpha, F.round(100 * F.col("hits") / F.col("n"), 4).alias("direction"))
 
