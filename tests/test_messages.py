@@ -3,6 +3,7 @@
 import json
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,3 +91,52 @@ def test_sink_shows_committed_epochs(spark, tmp_path):
     assert read().count(("b", 7.0, 8.0)) == 1
     writer.abort([writer.write(iter([Row(series="c", x=0.0, y=0.0)]))], 100)
     assert len(read()) == 3 and not list(out.glob("_*"))
+
+
+class Kept(dict):
+    """A map state that counts the calls that change it or read one entry."""
+
+    calls = 0
+
+    def exists(self):
+        return bool(self)
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self[key]
+
+
+def test_whole_responses_stay_out_of_the_state():
+    """Only pairs that lack a column are put into the state and taken from it, in whatever key and batch they come."""
+    pairs, state = messages.Pairs(["x", "y"], True), Kept()
+    pairs.values = state
+    table = lambda rows: pd.DataFrame(rows, columns=["key", "t", "place", "value"])
+    pairs.take((0,), table([(str(n), t, c, n + t + c / 4) for n in range(50) for t in range(20) for c in (0, 1)]))
+    pairs.take((0,), table([("7", 99, 1, 5.0), (None, 100, 0, 6.0)]))
+    got, again = pairs.due((0,), 0)
+    assert len(got) == 1000 and (got["y"] - got["x"] == 0.25).all() and (got["x"] == got["key"].astype(int) + got["t"]).all()
+    assert state.calls == 2 and set(state) == {("7", 99), (None, 100)} and again == 99 + 1000
+    pairs.take((0,), table([("7", 99, 0, 4.0), ("8", 3, 1, 1.0), ("8", 3, 0, 2.0)]))
+    got, again = pairs.due((0,), 50)
+    assert sorted(zip(got["key"], got["t"], got["x"], got["y"], strict=True)) == [("7", 99, 4.0, 5.0), ("8", 3, 2.0, 1.0)]
+    assert state.calls == 3 and set(state) == {(None, 100)} and again == 100 + 1000
+    with pytest.raises(messages.IncompleteResponse, match="None at 100: no y"):
+        pairs.due((0,), 101)
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "date"])
+def test_response_keys_keep_their_type(spark, tmp_path, kind):
+    keys = {"long": [2**60 + 1, None], "string": ["a", None], "date": [datetime(2024, 2, 29).date(), None]}[kind]
+    rows = [(k, START, c, v) for k in keys for c, v in (("x", 1.0), ("y", 2.0))] + [(keys[0], None, "x", 3.0)]
+    schema = f"series {kind}, ts timestamp, column string, value double"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    stream = messages.response_stream(spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in"), "series", "ts", ["x", "y"], "1 minute")
+    got = jobs.run_once(stream, f"file://{tmp_path}").collect()
+    assert {(r["series"], r["x"], r["y"]) for r in got} == {(k, 1.0, 2.0) for k in keys} and len(got) == 2

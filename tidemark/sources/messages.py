@@ -18,11 +18,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, DataSourceStreamWriter, InputPartition, WriterCommitMessage
 
+from tidemark.streaming.jobs import Timed, with_state
+
 MESSAGE = "file string, line long, value string"
 
 
@@ -144,36 +147,66 @@ def complete(results: DataFrame, keys: list[str], columns: list[str]) -> DataFra
     return wide.withColumn(columns[0], checked)
 
 
-def response_stream(results: DataFrame, key: str, time: str, columns: list[str], late: str, strict: bool = True):
+class Pairs(Timed):
+    """See response_stream. Each key of the stream's is a bucket of the results' keys. State: the values of pairs that lack a column, and nothing of others."""
+
+    def __init__(self, columns: list[str], strict: bool):
+        self.columns, self.strict, self.new = columns, strict, []
+
+    def set_up(self, handle) -> None:
+        self.values = handle.getMapState("values", "key string, t long", "value array<double>, there array<boolean>")
+
+    def take(self, key, rows: pd.DataFrame) -> None:
+        self.new.append(rows[["key", "t", "place", "value"]])
+
+    def due(self, key, watermark: int) -> tuple[pd.DataFrame, int | None]:
+        k = len(self.columns)
+        rows, self.new = pd.concat(self.new, ignore_index=True) if self.new else None, []
+        held = dict(self.values.iterator()) if self.values.exists() else {}
+        if rows is not None:
+            pair = rows.groupby(["key", "t"], sort=False, dropna=False).ngroup().to_numpy()
+            first = np.unique(pair, return_index=True)[1]
+            names = rows["key"].to_numpy(object)[first]
+            names[pd.isna(names)] = None
+            t = rows["t"].to_numpy(np.int64)[first]
+            values, there = np.zeros((len(first), k)), np.zeros((len(first), k), bool)
+            values[pair, rows["place"].to_numpy()] = rows["value"].to_numpy()
+            there[pair, rows["place"].to_numpy()] = True
+        else:
+            names, t, values, there = np.empty(0, object), np.empty(0, np.int64), np.empty((0, k)), np.empty((0, k), bool)
+        fresh = len(names)
+        if held:
+            at = {p: i for i, p in enumerate(zip(names, t.tolist(), strict=True))}
+            for p, (value, was) in held.items():
+                if (i := at.get(p)) is not None:
+                    old = np.array(was) & ~there[i]
+                    values[i, old], there[i] = np.array(value)[old], there[i] | old
+            alone = [p for p in held if p not in at]
+            if alone:
+                names, t = np.concatenate([names, np.array([p[0] for p in alone], object)]), np.concatenate([t, np.array([p[1] for p in alone], np.int64)])
+                values, there = np.concatenate([values, [held[p][0] for p in alone]]), np.concatenate([there, np.array([held[p][1] for p in alone], bool)])
+        whole = there.all(axis=1)
+        out = whole | (t < watermark)
+        if self.strict and (bad := np.flatnonzero(out & ~whole)).size:
+            i = bad[np.argmin(t[bad])]
+            raise IncompleteResponse(f"{names[i]} at {t[i]}: no {', '.join(c for c, has in zip(self.columns, there[i], strict=True) if not has)}")
+        for i in np.flatnonzero(~out[:fresh]):
+            self.values.updateValue((names[i], int(t[i])), (values[i].tolist(), there[i].tolist()))
+        for p in [p for p, leaves in zip(zip(names, t.tolist(), strict=True), out, strict=True) if leaves and p in held] if held else ():
+            self.values.removeKey(p)
+        got = pd.DataFrame({"bucket": key[0], "key": names[out], "t": t[out]} | {c: np.where(there[out, i], values[out, i], np.nan) for i, c in enumerate(self.columns)})
+        return got, int(t[~out].min()) + 1000 if not out.all() else None
+
+
+def response_stream(results: DataFrame, key: str, time: str, columns: list[str], late: str, strict: bool = True, buckets: int = 1024):
     """(key, time, columns) of a stream (key, time timestamp, column, value), each as soon as all columns are there.
 
     A pair that the watermark passes without one of the columns is an error (strict) or comes out with what it has. Nothing of a pair is left in the state
-    once it is out; a repeated value of a pair that is out begins a new one."""
-    from tidemark.streaming.jobs import Timed, with_state
-
-    class Pairs(Timed):
-        def set_up(self, handle) -> None:
-            self.values = handle.getMapState("values", "t long, c string", "value double")
-
-        def take(self, key, rows: pd.DataFrame) -> None:
-            for t, c, v in zip(rows["t"], rows["column"], rows["value"], strict=True):
-                self.values.updateValue((int(t), c), (float(v),))
-
-        def due(self, key, watermark: int) -> tuple[pd.DataFrame, int | None]:
-            held: dict[int, dict[str, float]] = {}
-            for (t, c), (v,) in self.values.iterator():
-                held.setdefault(t, {})[c] = v
-            out = []
-            for t, values in sorted(held.items()):
-                if all(c in values for c in columns) or t < watermark:
-                    if strict and not all(c in values for c in columns):
-                        raise IncompleteResponse(f"{key[0]} at {t}: no {', '.join(c for c in columns if c not in values)}")
-                    out.append((key[0], t, *(values.get(c) for c in columns)))
-                    for c in values:
-                        self.values.removeKey((t, c))
-                    values.clear()
-            left = [t for t, values in held.items() if values]
-            return pd.DataFrame(out, columns=["key", "t", *columns]), min(left) + 1000 if left else None
-
-    rows = results.withWatermark(time, late).select(F.col(key).alias("key"), time, F.unix_micros(time).alias("t"), "column", "value").filter(F.col("column").isin(columns) & F.col("value").isNotNull())
-    return with_state(rows, ["key"], Pairs(), ", ".join(["t long", *(f"`{c}` double" for c in columns)])).withColumnRenamed("key", key)
+    once it is out; a repeated value of a pair that is out begins a new one. Keys share `buckets` states, so that a batch is worked on in as many parts and not one
+    key at a time; a pair that comes whole in one batch is never put into the state. Rows without a time belong to no response and are left out."""
+    kind = results.schema[key].dataType
+    place = F.array_position(F.array(*map(F.lit, columns)), F.col("column")) - 1
+    rows = results.withWatermark(time, late).filter(F.col("column").isin(columns) & F.col("value").isNotNull() & F.col(time).isNotNull())
+    rows = rows.select(F.pmod(F.xxhash64(key), F.lit(buckets)).alias("bucket"), F.col(key).cast("string").alias("key"), time, F.unix_micros(time).alias("t"), place.alias("place"), F.col("value").cast("double").alias("value"))
+    got = with_state(rows, ["bucket"], Pairs(columns, strict), ", ".join(["key string", "t long", *(f"`{c}` double" for c in columns)]))
+    return got.select(F.col("key").cast(kind).alias(key), "t", *(F.col(f"`{c}`") for c in columns))
