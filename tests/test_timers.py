@@ -2,6 +2,7 @@
 
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,3 +84,61 @@ def test_dead_series_leave_no_state(spark, tmp_path):
 def test_retained_quotes_fade(spark, tmp_path):
     got = feed(spark, f"file://{tmp_path}", lambda s: jobs.retained(s, 2, HOUR), [[tick("a", 0, 1.0), tick("a", 3600, 1.0)], [tick("a", 3600 * 2.5, 1.0), tick("a", 3600 * 2.6, 1.0)], [tick("b", 3600 * 50, 1.0)], [tick("a", 3600 * 50, 1.0)]])
     assert sorted((s, kept) for s, _, kept in got) == [("a", 1), ("a", 2), ("a", 3), ("b", 1)]
+
+
+class Kept:
+    """A handle, and a value state, that count the calls."""
+
+    def __init__(self):
+        self.calls, self.value, self.timers, self.states = 0, None, set(), {}
+
+    def getValueState(self, name, schema):
+        return self.states.setdefault(name, Kept())
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def clear(self):
+        self.calls, self.value = self.calls + 1, None
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.calls += 1
+        self.timers.remove(at)
+
+
+def test_calls_to_the_state_do_not_grow_with_the_slots():
+    """A batch of a series costs a read, a write and a timer, however many slots its ticks are in, and as much when they come out."""
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    handle, hours = Kept(), 200
+    good = jobs.LastGood(HOUR, 3)
+    good.init(handle)
+    calls = lambda: handle.calls + sum(s.calls for s in handle.states.values())
+    ticks = pd.DataFrame({"t": [h * HOUR + 1 for h in range(0, hours, 2) for _ in range(2)], "price": [float(h + i) for h in range(0, hours, 2) for i in (0, 2)]})
+    assert not list(good.handleInputRows(("a",), iter([ticks[:50], ticks[50:]]), Now(0))) and calls() == 3
+    assert handle.timers == {HOUR // 1000 - 1}
+    (got,) = good.handleExpiredTimer(("a",), Now(100 * HOUR // 1000), Now(handle.timers.pop()))
+    slots = [(x, p, f and x == a) for a, b, p, f in got[["slot", "upto", "price", "fresh"]].itertuples(index=False) for x in range(a, b)]
+    assert slots == [(x, x // 2 * 2 + 1.0, x % 2 == 0) for x in range(100)] and calls() == 3 + 5
+    ends = [g for g in good.handleExpiredTimer(("a",), Now(1000 * HOUR // 1000), Now(handle.timers.pop()))]
+    assert [(r.slot, r.upto) for r in ends[0].itertuples()][-1] == (hours - 2, hours + 2)
+    assert not handle.timers and handle.states["open"].value is None and handle.states["last"].value is None
+
+
+def test_periods_of_unknown_prices_are_as_in_sql(spark, tmp_path):
+    """Prices that are not there don't count; a period without others has no price, and it is what the next ones get."""
+    got = feed(spark, f"file://{tmp_path}", lambda s: jobs.last_good(s, HOUR, 1), [[tick("a", 10, None), tick("a", 20, 3.0), tick("a", 7300, None), tick(None, 7300, 4.0), tick("b", 40_000, 9.0)]])
+    first = min(slot for _, slot, _, _ in got)
+    want = [(None, 2, 4.0, True), (None, 3, 4.0, False), ("a", 0, 3.0, True), ("a", 1, 3.0, False), ("a", 2, None, True), ("a", 3, None, False)]
+    assert [(s, slot - first, p, f) for s, slot, p, f in got if s != "b"] == sorted([(s, x, p, f) for s, x, p, f in want], key=repr)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -136,54 +137,100 @@ class Timed(StatefulProcessor):
         pass
 
 
-class LastGood(Timed):
-    """See last_good. State: sums of the slots that may still get ticks; the last good slot, its price, and the first slot after what has come out."""
+class LastGood(StatefulProcessor):
+    """See last_good. State: sums of the slots that may still get ticks, with the timer that is set; the last good slot, its price, and the first slot after what
+    has come out. Each is one value, as every call to the state is a message to the JVM; ticks that no slot is due with cost a read and a write. Sums lie packed,
+    a slot (long), its total (double) and number of prices (long) each."""
+
+    SUMS = struct.Struct("<qdq")
 
     def __init__(self, period: int, valid: int):
         self.period, self.valid = period, valid
 
-    def set_up(self, handle) -> None:
-        self.open = handle.getMapState("open", "slot long", "total double, n long")
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "sums binary, timer long")
         self.last = handle.getValueState("last", "slot long, price double, upto long")
 
-    def take(self, key, rows: pd.DataFrame) -> None:
-        for slot, part in rows.groupby(rows["t"] // self.period)["price"]:
-            at = (int(slot),)
-            total, n = self.open.getValue(at) if self.open.containsKey(at) else (0.0, 0)
-            self.open.updateValue(at, (total + float(part.sum()), n + len(part)))
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        packed, timer = self.open.get() or (b"", None)
+        sums = {slot: (total, n) for slot, total, n in self.SUMS.iter_unpack(packed)}
+        for part in rows:
+            for slot, price in zip((part["t"].to_numpy() // self.period).tolist(), part["price"].tolist(), strict=True):
+                total, n = sums.get(slot, (0.0, 0))
+                sums[slot] = (total, n) if math.isnan(price) else (total + price, n + 1)
+        if timer is not None and timer <= watermark or sums and min(sums) < watermark * 1000 // self.period:
+            yield from self._let_out(key, watermark, sums, timer, None)
+        elif sums:
+            self._keep(sums, timer, min([self._timer(min(sums) + 1, watermark), *([] if timer is None else [timer])]), None)
 
-    def due(self, key, watermark: int) -> tuple[pd.DataFrame, int | None]:
-        sums = {k[0]: v for k, v in self.open.iterator()}
-        last, end, out = (tuple(self.last.get()) if self.last.exists() else None), watermark // self.period, []
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        packed, timer = self.open.get() or (b"", None)
+        sums = {slot: (total, n) for slot, total, n in self.SUMS.iter_unpack(packed)}
+        yield from self._let_out(key, timerValues.getCurrentWatermarkInMs(), sums, timer, expiredTimerInfo.getExpiryTimeInMs())
+
+    def close(self) -> None:
+        pass
+
+    def _timer(self, slot: int, watermark: int) -> int:
+        """The millisecond after which the watermark has reached a slot's begin; one that isn't ahead of the watermark would not fire."""
+        return max(slot * self.period // 1000 - 1, watermark + 1)
+
+    def _keep(self, sums: dict, old: int | None, timer: int, fired: int | None) -> None:
+        """Open slots and one timer instead of the old one; one that has fired goes by itself."""
+        if old != timer:
+            if old is not None and old != fired:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(timer)
+        self.open.update((b"".join(self.SUMS.pack(slot, total, n) for slot, (total, n) in sums.items()), timer))
+
+    def _let_out(self, key, watermark: int, sums: dict, timer: int | None, fired: int | None) -> Iterator[pd.DataFrame]:
+        """Each row stands for a run of slots, of which the first is a good one (fresh) or none is."""
+        last, end, out = self.last.get(), watermark * 1000 // self.period, []
+        was = last
         for slot in [*sorted(sums), None]:
             until = end if slot is None else min(slot, end)
             if last is not None:
                 upto = min(until, last[0] + 1 + self.valid)
-                out += [(key[0], x, last[1], False) for x in range(last[2], upto)]
-                last = last[0], last[1], max(last[2], upto)
+                if upto > last[2]:
+                    if out and out[-1][1] == last[2]:
+                        out[-1][1] = upto
+                    else:
+                        out.append([last[2], upto, last[1], False])
+                    last = last[0], last[1], upto
             if slot is None or slot >= end:
                 break
             total, n = sums.pop(slot)
-            self.open.removeKey((slot,))
-            last = slot, total / n, slot + 1
-            out.append((key[0], slot, last[1], True))
-        again = [s + 1 for s in sorted(sums)[:1]]
+            last = slot, total / n if n else None, slot + 1
+            out.append([slot, slot + 1, last[1], True])
+        again = [min(sums) + 1] if sums else []
         if last is not None and last[2] < last[0] + 1 + self.valid:
             again.append(last[2] + 1)
         if again:
-            self.last.update(last) if last is not None else None
-        elif self.last.exists():
-            self.last.clear()
-        return pd.DataFrame(out, columns=["series", "slot", "price", "fresh"]), min(again) * self.period if again else None
+            if last is not None and tuple(last) != (None if was is None else tuple(was)):
+                self.last.update(tuple(last))
+            self._keep(sums, timer, self._timer(min(again), watermark), fired)
+        else:
+            if was is not None:
+                self.last.clear()
+            if timer is not None and timer != fired:
+                self.handle.deleteTimer(timer)
+            self.open.clear()
+        if out:
+            first, upto, price, fresh = zip(*out, strict=True)
+            yield pd.DataFrame({"series": [key[0]] * len(out), "slot": np.array(first), "upto": np.array(upto), "price": np.array(price, float), "fresh": np.array(fresh)})
 
 
 def last_good(stream: DataFrame, period_us: int, valid: int, late: str = "1 hour") -> DataFrame:
     """(series, slot, price, fresh): the average of each period once the watermark is past it; an empty one gets the last good one, for up to `valid` periods.
 
     Timers bring the fallbacks of a series that has gone silent; after the last of them it leaves no state. Results hang on ticks and watermark alone, not
-    on batches or the order of ticks. State is as large as the periods that ticks may be late for."""
-    rows = stream.withWatermark("ts", late).select("series", "ts", F.unix_micros("ts").alias("t"), "price")
-    return with_state(rows, ["series"], LastGood(period_us, valid), "slot long, price double, fresh boolean")
+    on batches or the order of ticks. State is as large as the periods that ticks may be late for. Python gives a row for each run of equal slots; Spark makes rows of them."""
+    rows = stream.withWatermark("ts", late).filter(F.col("ts").isNotNull()).select("series", "ts", F.unix_micros("ts").alias("t"), F.col("price").cast("double").alias("price"))
+    runs = with_state(rows, ["series"], LastGood(period_us, valid), "slot long, upto long, price double, fresh boolean")
+    each = runs.withColumn("at", F.explode(F.sequence(F.col("slot"), F.col("upto") - 1)))
+    return each.select("series", F.col("at").alias("slot"), "price", (F.col("fresh") & (F.col("at") == F.col("slot"))).alias("fresh"))
 
 
 class Retained(Timed):
