@@ -79,3 +79,22 @@ def test_medians_by_places(spark):
     got = {r["k"]: r["median"] for r in stats.median(spark.createDataFrame(rows, "k long, v double").repartition(4), "k", F.col("v")).collect()}
     want = {k: float(np.median([v for j, v in rows if j == k and v is not None])) for k in (0, 1, 2, 3, 5)}
     assert got == want
+
+
+def test_only_rows_near_the_least_are_ranked(spark):
+    """Of 20,000 rows of a group few are left to rank, and all ties of the last place are among them; small groups come whole."""
+    values = RNG.permutation(np.r_[[0.5] * 3, [1.0] * 6, RNG.uniform(2, 1e6, 19_991)])
+    rows = spark.createDataFrame([(1, float(v)) for v in values] + [(2, 3.0)] * 5, "g long, v double").repartition(3)
+    left = frames.least_rows(rows, "g", "v", 8).collect()
+    ones = sorted(r["v"] for r in left if r["g"] == 1)
+    assert ones[:9] == [0.5] * 3 + [1.0] * 6 and len(ones) < 200
+    assert sum(r["g"] == 2 for r in left) == 5
+
+
+def test_groups_by_several_keys_and_without_a_key(spark, table):
+    """Keys of any type, also some that are not there (those rows are in no subset) and columns that are keys."""
+    rows = spark.createDataFrame(table.assign(k="x")).withColumn("k", F.when(F.col("g") != 2, F.col("k")).when(F.col("id") > 200, F.lit("y")))
+    got = frames.bacon(rows.repartition(5), ["k", "g"], ["a", "b", "c"]).toPandas()
+    assert got[got["k"].isna()]["outlier"].isna().all() and got["k"].isna().sum() == 201
+    for g, part in got[got["k"].notna()].groupby(["k", "g"]):
+        assert (part["outlier"].to_numpy(bool) == plain(part[["a", "b", "c"]].to_numpy())).all(), g

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -223,6 +224,17 @@ def bacon_cutoff(n: int, p: int, r: int, alpha: float) -> float:
     return chi_square_quantile(p, alpha / n) * (small + max(0.0, (h - r) / (h + r))) ** 2
 
 
+def least_rows(rows: DataFrame, key: str, value: str, size: int) -> DataFrame:
+    """Rows of each key that hold all of its `size` least values (to nine places, ties included), and few others; no key is sorted or sent as a whole.
+
+    Rows are dealt out in 4 * size shares. Of the least values of a key's shares, the size-th is no less than the size-th of all its rows, so rows up to it will do.
+    A key with rows in fewer shares comes whole."""
+    least = rows.withColumn("_share", F.pmod(F.monotonically_increasing_id(), F.lit(4 * size))).groupBy(key, "_share").agg(F.min(value).alias("_least"))
+    bound = written(least.groupBy(key).agg(F.get(F.array_sort(F.collect_list("_least")), F.lit(size - 1)).alias("_bound")), "bacon")
+    upto = F.col("_bound") * (1 + 1e-12) + 2e-9  # what rounds to the same
+    return rows.join(bound, key).filter(F.col("_bound").isNull() | (F.col(value) <= upto)).drop("_bound")
+
+
 def bacon(df: DataFrame, keys: list[str], columns: list[str], alpha: float = 0.01, start: int = 4, rounds: int = 100, accuracy: int = 10_000) -> DataFrame:
     """df with `outlier`: rows that blocked adaptive outlier nomination leaves out of the basic subset.
 
@@ -236,11 +248,21 @@ def bacon(df: DataFrame, keys: list[str], columns: list[str], alpha: float = 0.0
 
     p = len(columns)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    whole = F.lit(True)
+    whole, known = F.lit(True), F.lit(True)
     for c in columns:
         whole = whole & F.col(c).isNotNull()
-    rows = df.filter(whole)
-    middle = rows.groupBy(*keys).agg(F.count("*").alias("_n"), *(F.percentile_approx(c, 0.5, accuracy).alias(f"_m{i}") for i, c in enumerate(columns)))
+    for c in keys:
+        known = known & F.col(c).isNotNull()
+    rows = df.filter(whole & known)
+    # written: its size is known to the joins, so rows are not dealt out by group for it
+    middle = written(rows.groupBy(*keys).agg(F.count("*").alias("_n"), *(F.percentile_approx(c, 0.5, accuracy).alias(f"_m{i}") for i, c in enumerate(columns))), "bacon")
+    # a number for each group, with a salt that gives no two of them the same: joins by a number cost a fraction of those by text
+    for salt in itertools.count():
+        group = F.xxhash64(*keys, F.lit(salt))
+        if not middle.groupBy(group).count().filter("count > 1").limit(1).count():
+            break
+    rows = rows.select(*columns, group.alias("_g"))
+    middle = middle.withColumn("_g", group).drop(*keys)
     far = sum(((F.col(c) - F.col(f"_m{i}")) * (F.col(c) - F.col(f"_m{i}")) for i, c in enumerate(columns)), F.lit(0.0))
 
     def shaped(n: pd.Series, r: pd.Series, cov: pd.Series) -> pd.DataFrame:
@@ -260,31 +282,31 @@ def bacon(df: DataFrame, keys: list[str], columns: list[str], alpha: float = 0.0
 
     def shape(subset: DataFrame) -> DataFrame:
         cov = F.array(*(F.coalesce(F.covar_samp(columns[i], columns[j]), F.lit(0.0)) for i, j in pairs))
-        sums = subset.groupBy(*keys).agg(F.first("_n").alias("_n"), F.count("*").alias("_r"), F.bit_xor(F.xxhash64(*columns)).alias("_rows"), *(F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)), cov.alias("_cov"))
-        return written(sums.withColumn("_s", shape_of("_n", "_r", "_cov")).select(*keys, "_n", "_r", "_rows", *(f"_m{i}" for i in range(p)), "_s.inv", "_s.cut"), "bacon")
+        sums = subset.groupBy("_g").agg(F.first("_n").alias("_n"), F.count("*").alias("_r"), F.bit_xor(F.xxhash64(*columns)).alias("_rows"), *(F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns)), cov.alias("_cov"))
+        return written(sums.withColumn("_s", shape_of("_n", "_r", "_cov")).select("_g", "_n", "_r", "_rows", *(f"_m{i}" for i in range(p)), "_s.inv", "_s.cut"), "bacon")
 
     def within(shape: DataFrame, of: DataFrame) -> DataFrame:
         off = [F.col(c) - F.col(f"_m{i}") for i, c in enumerate(columns)]
         d2 = sum((off[i] * off[j] * F.col("inv")[i * p + j] for i in range(p) for j in range(p)), F.lit(0.0))
-        return of.join(shape, keys, "left").withColumn("outlier", d2 >= F.col("cut"))
+        return of.join(shape, "_g", "left").withColumn("outlier", d2 >= F.col("cut"))
 
     size = start * p
-    nearest = Window.partitionBy(*keys).orderBy(F.round("_d", 9))
+    nearest = Window.partitionBy("_g").orderBy(F.round("_d", 9))
+    distant = rows.join(middle, "_g").withColumn("_d", far)
     while True:
-        # rank is a limit that Spark applies before the exchange, so no group is sorted as a whole
-        first = rows.join(middle, keys).withColumn("_d", far).withColumn("_k", F.rank().over(nearest)).filter(F.col("_k") <= size)
+        first = least_rows(distant, "_g", "_d", size).withColumn("_k", F.rank().over(nearest)).filter(F.col("_k") <= size)
         now = shape(first)
         most = now.filter("inv IS NULL AND _r < _n").limit(1).count()
         if not most:
             break
         size *= 2
     for _ in range(rounds):
-        subset = within(now.filter("inv IS NOT NULL"), rows).filter("NOT outlier").select(*keys, *(c for c in columns if c not in keys), "_n")
+        subset = within(now.filter("inv IS NOT NULL"), rows).filter("NOT outlier").select("_g", *columns, "_n")
         new = shape(subset)
-        last = now.select(*keys, F.col("_r").alias("_r0"), F.col("_rows").alias("_rows0"))
-        changed = new.join(last, keys).filter((F.col("_r") != F.col("_r0")) | (F.col("_rows") != F.col("_rows0"))).limit(1).count()
-        settled = now.join(new, keys, "left_anti")  # groups without an inverse stay as they are
+        last = now.select("_g", F.col("_r").alias("_r0"), F.col("_rows").alias("_rows0"))
+        changed = new.join(last, "_g").filter((F.col("_r") != F.col("_r0")) | (F.col("_rows") != F.col("_rows0"))).limit(1).count()
+        settled = now.join(new, "_g", "left_anti")  # groups without an inverse stay as they are
         now = new.unionByName(settled)
         if not changed:
             break
-    return within(now, df).select(*df.columns, "outlier")
+    return within(now, df.withColumn("_g", F.when(known, group))).select(*df.columns, "outlier")
